@@ -64,7 +64,9 @@ def figures(docs: DataFrame, into: str = "_figures") -> DataFrame:
         "n_chars": F.length(t),
         "longest_word": F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)),
     }
-    return docs.withColumn(into, F.struct(*(v.cast("bigint").alias(k) for k, v in out.items()))).drop(*own.values())
+    # the one-row explode keeps the optimiser from copying these expressions into every later use of a figure
+    one = F.explode(F.array(F.struct(*(v.cast("bigint").alias(k) for k, v in out.items()))))
+    return docs.withColumn(into, one).drop(*own.values())
 
 
 def base_failed(f: Column) -> Column:
