@@ -1,46 +1,28 @@
-"""Helpers that the operators share: checkpoints, fixed-size membership filters, Arrow maps."""
+"""Helpers that the operators share: checkpoints and fixed-size membership filters."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coomat.session import ensure_checkpoints, settled
+
+__all__ = ["ensure_checkpoints", "filter_bits", "maybe_in", "membership", "settled"]
+
 #: Most bits of a membership filter: 2**24 bits are at most 266,306 rows of (slot, bits), about 4 MB when broadcast.
 FILTER_BITS = 1 << 24
 #: A filter keeps 63 bits in a row, so that the shifted bit never meets the sign.
 SLOT = 63
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; set a local one only where the cluster names none (tests, local mode)."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
-
-
-def settled(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut the lineage with a checkpoint in the shared folder, so that a lost executor costs no recomputation."""
-    ensure_checkpoints(df.sparkSession)
-    return df.checkpoint(eager)
-
-
-def text_key(*columns: str) -> Column:
-    """A 64-bit key of a row, from the named columns; equal rows have equal keys."""
-    return F.xxhash64(*columns)
-
-
 def _place(key: Column, bits: int) -> tuple[Column, Column]:
     place = F.pmod(F.xxhash64(key, F.lit(11)), F.lit(bits))
     return F.floor(place / SLOT), (place % SLOT).cast("int")
 
 
 def filter_bits(rows: int) -> int:
-    """Bits for so many keys: 16 for each, within fixed bounds."""
-    return int(min(FILTER_BITS, max(1 << 12, 1 << max(1, (16 * rows - 1)).bit_length())))
+    """Bits for so many keys: 64 for each, within fixed bounds."""
+    return int(min(FILTER_BITS, max(1 << 12, 1 << max(1, (64 * rows - 1)).bit_length())))
 
 
 def membership(keys: DataFrame, column: str, rows: int) -> tuple[DataFrame, int]:
@@ -57,7 +39,3 @@ def maybe_in(df: DataFrame, key: Column, table: tuple[DataFrame, int], negate: b
     marked = df.withColumns({"_at": slot, "_bit": bit}).join(F.broadcast(words), F.col("_at") == F.col("_slot"), "left")
     hit = F.coalesce(F.call_function("shiftright", F.col("_bits"), F.col("_bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1, F.lit(False))
     return marked.filter(~hit if negate else hit).drop("_at", "_bit", "_slot", "_bits")
-
-
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)

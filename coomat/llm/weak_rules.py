@@ -20,6 +20,10 @@ from pyspark.sql import functions as F
 
 from coomat.llm.tables import settled
 
+#: How often a rule is right when it votes so, before any data, and how many times its votes that counts.
+BELIEF = {("symbols", -1): 0.95, ("repeats", -1): 0.95, ("dup_lines", -1): 0.9, ("upper", -1): 0.95, ("bangs", -1): 0.95, ("word_length", -1): 0.9, ("stops", -1): 0.9, ("longest", -1): 0.9, ("none_bad", 1): 0.98}
+WEIGHT = 3.0
+
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
 SYMBOLS = "#*$%&|<>"
@@ -84,10 +88,10 @@ def votes(f: Column) -> dict[str, Column]:
     return {
         "symbols": bad(f["n_symbols"] / words >= 0.15),
         "repeats": bad(f["n_repeat_words"] / words >= 0.2),
-        "dup_lines": bad(f["n_dup_lines"] / lines >= 0.3),
+        "dup_lines": bad((f["n_lines"] >= 5) & (f["n_dup_lines"] / lines >= 0.3)),
         "upper": bad(f["n_upper"] / chars >= 0.4),
         "bangs": bad(f["n_bang"] / words >= 0.2),
-        "word_length": F.when((length < 2) | (length > 14), -1).when((length > 3) & (length < 10), 1).otherwise(0),
+        "word_length": F.when(f["n_words"] < 30, 0).when((length < 2) | (length > 14), -1).when((length > 3) & (length < 10), 1).otherwise(0),
         "stops": F.when(f["n_words"] < 30, 0).when(f["n_stops"] / words < 0.005, -1).when(f["n_stops"] / words > 0.03, 1).otherwise(0),
         "longest": bad(f["longest_word"] > 200),
     }
@@ -96,26 +100,30 @@ def votes(f: Column) -> dict[str, Column]:
 def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
     """EM over (votes, count): the prior log odds of good, and for each rule the log likelihood ratio of each vote.
 
-    A document starts as bad when any rule says so; counts are smoothed, so no likelihood is 0.  A rule that abstains
-    says nothing: bad documents are mostly bad in one way, so silence of the other rules is no evidence for good.
+    Each rule comes with a belief about how often it is right when it speaks (BELIEF), worth WEIGHT times its votes;
+    EM moves it by what the rules say together.  One rule more, the last, votes good where no other votes bad.  A rule
+    that abstains says nothing: bad documents are mostly bad in one way, so silence of single rules is no evidence.
     """
-    good = [0.05 if -1 in v else 0.95 for v, _ in patterns]
-    prior, ratios = 0.0, [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in RULES]
+    patterns = [((*v, 0 if -1 in v else 1), n) for v, n in patterns]
+    names = (*RULES, "none_bad")
+    spoken = [{k: sum(n for v, n in patterns if v[j] == k) for k in (-1, 1)} for j in range(len(names))]
     total = sum(n for _, n in patterns)
-    if not total:
-        return 1.0, [{-1: -3.0, 0: 0.0, 1: 0.2} for _ in RULES]
-    for _ in range(rounds):
+    good = [0.02 if -1 in v else 0.98 for v, _ in patterns]
+    prior, ratios = 1.0, [{-1: -3.0, 0: 0.0, 1: 0.0} for _ in names]
+    for _ in range(rounds if total else 0):
         mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
         prior = math.log((mass + 1) / (total - mass + 1))
-        for j in range(len(RULES)):
-            up, down = dict.fromkeys((-1, 0, 1), 0.0), dict.fromkeys((-1, 0, 1), 0.0)
-            for g, (v, n) in zip(good, patterns, strict=True):
-                up[v[j]] += g * n
-                down[v[j]] += (1 - g) * n
-            for k in up:
-                ratios[j][k] = math.log((up[k] + 0.5) / (mass + 1.5)) - math.log((down[k] + 0.5) / (total - mass + 1.5))
-            # a rule is better than chance: saying bad never counts for good, nor the other way round
-            ratios[j] = {-1: min(ratios[j][-1], 0.0), 0: 0.0, 1: max(ratios[j][1], 0.0)}
+        for j, name in enumerate(names):
+            for k in (-1, 1):
+                up = sum(g * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == k)
+                down = spoken[j][k] - up
+                if (name, k) in BELIEF:
+                    right = BELIEF[name, k] * WEIGHT * spoken[j][k]
+                    wrong = WEIGHT * spoken[j][k] - right
+                    up, down = up + (wrong if k < 0 else right), down + (right if k < 0 else wrong)
+                ratio = math.log((up + 0.5) / (mass + 1.5)) - math.log((down + 0.5) / (total - mass + 1.5))
+                # a rule is no worse than chance: saying bad never counts for good, nor the other way round
+                ratios[j][k] = min(ratio, 0.0) if k < 0 else max(ratio, 0.0)
         was, good = good, [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(r[x] for r, x in zip(ratios, v, strict=True)))))) for v, _ in patterns]
         if max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-6:
             break
@@ -130,10 +138,13 @@ def learn(judged: DataFrame, into: str = "_figures") -> tuple[float, list[dict[i
 
 
 def posterior(model: tuple[float, list[dict[int, float]]], f: Column) -> Column:
+    """The probability of "good" given all votes."""
     prior, ratios = model
-    odds = F.lit(float(prior))
-    for r, by in zip(votes(f).values(), ratios, strict=True):
+    odds, none_bad = F.lit(float(prior)), F.lit(True)
+    for r, by in zip(votes(f).values(), ratios, strict=False):
         odds = odds + F.when(r == -1, by[-1]).when(r == 1, by[1]).otherwise(by[0])
+        none_bad = none_bad & (r != -1)
+    odds = odds + F.when(none_bad, ratios[-1][1]).otherwise(0.0)
     return 1 / (1 + F.exp(-odds))
 
 
