@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coomat.llm import kernels as K
+from coomat.llm.tables import aside, only
 
 #: Fixed masks: 1 counts, 0 is ignored.  Five tokens count in each; the first is for items of five tokens and for dense stretches.
 MASKS = ("11111", "1101011", "10110011", "110010101")
@@ -125,7 +126,7 @@ class Items:
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """The test side in blocks of about ``size`` bytes of text; one is in memory at a time."""
-    rows = benchmark.select("item_id", "text").filter("text is not null")
+    rows = only(benchmark, "item_id", "text").filter("text is not null")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // size)
     for k in range(n):
@@ -134,8 +135,8 @@ def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, text, ...) -> a row for each overlapping document and item: doc_id, item_id, start, agree, width."""
-    spark, out = docs.sparkSession, None
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {benchmark.schema['item_id'].dataType.simpleString()}, start bigint, agree int, width int"
+    spark, docs, out = docs.sparkSession, only(docs, "doc_id", "text"), None
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, item_id {only(benchmark, 'item_id').schema['item_id'].dataType.simpleString()}, start bigint, agree int, width int"
     for rows in blocks(benchmark):
         shared = spark.sparkContext.broadcast(Items(rows))
 
@@ -154,6 +155,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that overlap no item, with their columns; rows are judged by themselves, so nothing is shuffled."""
+    names, docs = docs.columns, aside(docs, "text")
     for rows in blocks(benchmark):
         shared = docs.sparkSession.sparkContext.broadcast(Items(rows))
 
@@ -164,4 +166,4 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from coomat.llm.tables import settled
+from coomat.llm.tables import only, settled
 from coomat.llm.url_filter import parse as parse_url
 
 MIN_PAGES = 8
@@ -237,6 +237,7 @@ def weak_branches(pages: DataFrame, threshold: float = THRESHOLD, least: int = M
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(keep..., url, html) -> keep, url, text, n_chars."""
+    pages = only(pages, *keep, "url", "html")
     weak = settled(weak_branches(pages))
     many = weak.count()
     lists = weak.groupBy("host").agg(F.collect_set("path").alias("weak"))

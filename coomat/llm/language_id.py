@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coomat.llm import kernels as K
-from coomat.llm.tables import settled
+from coomat.llm.tables import only, settled
 
 GRAM_BITS = 16
 #: Trigrams beyond about so many add ever less, because they are not independent.
@@ -164,6 +164,7 @@ def identify(rows: DataFrame, model: tuple[list[str], np.ndarray], keep: tuple[s
 
 def identify_all(docs: DataFrame, pages: DataFrame, train_docs: int = 4000) -> DataFrame:
     """Every document and every page: doc_id (null for pages), page_id (null for documents), lang, confidence, text_lang."""
+    docs, pages = only(docs, "doc_id", "text", "lang", "source"), only(pages, "page_id", "url", "html")
     model = learn(docs, train_docs)
     some = docs.select("doc_id", F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), "text", F.concat(F.coalesce("source", F.lit("")), F.lit("")).alias("host"), F.lit("").alias("declared"))
     rest = page_rows(pages).select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("id").alias("page_id"), "text", "host", "declared")

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from coomat.llm.tables import only
+
 CAPACITIES = (2048, 4096, 8192, 16384)
 #: The price of a bin in tokens: OPENING for any sequence, one for each place, and attention, which grows with the square.
 OPENING = 64
@@ -86,6 +88,7 @@ def packed_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
     A bin is named part:run:number.
     """
     if length is None:
+        docs = only(docs, "doc_id", "text")
         length = F.octet_length(F.coalesce(F.col("text"), F.lit(""))) + 1
     kind = docs.schema["doc_id"].dataType.simpleString()
 

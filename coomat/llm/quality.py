@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coomat.llm import kernels as K
+from coomat.llm.tables import only
 
 BUCKET_BITS = 18
 GRAMS = (3, 4)
@@ -161,4 +162,5 @@ def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = 0
 
 
 def classify(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> DataFrame:
-    return score(docs, fit(docs, labels, train_docs))
+    docs = only(docs, "doc_id", "text")
+    return score(docs, fit(docs, only(labels, "doc_id", "quality"), train_docs))

@@ -70,4 +70,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.oracle_sql()}
+    return {"op1_url_filters": url_filter.oracle_sql(), "op5_ngram_jaccard_join": ngram_join.oracle_sql()}

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coomat.llm.kernels import U, mix
-from coomat.llm.tables import settled
+from coomat.llm.tables import only, settled
 
 ROUNDS = 6
 #: The table of bucket sizes, which is broadcast, has at most so many rows.
@@ -90,6 +90,6 @@ def sharded(rows: DataFrame, keys: list[str], shards: int = 40, seed: int = 20)
 def sharded_documents(docs: DataFrame, shards: int = 40, seed: int = 20) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
+    rows = only(docs, "doc_id", "text").select("doc_id", (F.octet_length(text) + 16).cast("bigint").alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
     out = sharded(rows, ["doc_id", "size", "text_crc32"], shards, seed)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row")

@@ -7,7 +7,23 @@ from pyspark.sql import functions as F
 
 from coomat.session import ensure_checkpoints, settled
 
-__all__ = ["ensure_checkpoints", "filter_bits", "maybe_in", "membership", "settled"]
+__all__ = ["aside", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "settled"]
+
+
+
+def aside(df: DataFrame, *names: str) -> DataFrame:
+    """The same columns in order, all but the named ones under names that clash with nothing (``toDF`` gives them back).
+
+    Names are told apart exactly, so other columns may differ from these in case only or repeat them.
+    """
+    seen: set[str] = set()
+    return df.toDF(*(c if c in names and not (c in seen or seen.add(c)) else f"__other_{k}" for k, c in enumerate(df.columns)))
+
+
+def only(df: DataFrame, *names: str) -> DataFrame:
+    """Just the named columns, whatever else the table has."""
+    return aside(df, *names).select(*names)
+
 
 #: Most bits of a membership filter: 2**24 bits are at most 266,306 rows of (slot, bits), about 4 MB when broadcast.
 FILTER_BITS = 1 << 24

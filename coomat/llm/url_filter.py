@@ -28,6 +28,8 @@ import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 
+from coomat.llm.tables import only
+
 MOST_BYTES = 256 << 20
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -160,7 +162,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
     Rules decide first; a url that no rule fits is blocked if the blocklist lists it, and else allowed.
     """
-    spark = pages.sparkSession
+    spark, pages = pages.sparkSession, only(pages, *keep, "url")
     rule_files, block_files = publish(spark, rules), publish(spark, blocklist)
 
     def run(batches):

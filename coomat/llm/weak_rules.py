@@ -18,7 +18,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coomat.llm.tables import settled
+from coomat.llm.tables import aside, only, settled
 
 #: How often a rule is right when it votes so, before any data, and how many times its votes that counts.
 BELIEF = {("symbols", -1): 0.95, ("repeats", -1): 0.95, ("dup_lines", -1): 0.9, ("upper", -1): 0.95, ("bangs", -1): 0.95, ("word_length", -1): 0.9, ("stops", -1): 0.9, ("longest", -1): 0.9, ("none_bad", 1): 0.98}
@@ -150,7 +150,7 @@ def posterior(model: tuple[float, list[dict[int, float]]], f: Column) -> Column:
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, the base figures, base_failed, quality (the posterior), kept."""
-    judged = settled(figures(docs.select("doc_id", "text")).drop("text"))
+    judged = settled(figures(only(docs, "doc_id", "text")).drop("text"))
     f, model = F.col("_figures"), learn(judged)
     quality = posterior(model, f)
     return judged.select("doc_id", *(f[x].alias(x) for x in BASE), base_failed(f).alias("base_failed"), quality.alias("quality"), (~base_failed(f) & (quality >= threshold)).alias("kept"))
@@ -158,6 +158,7 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their columns; each row is judged by itself, so no join is needed."""
+    names, docs = docs.columns, aside(docs, "doc_id", "text")
     model = learn(figures(docs.select("text")).drop("text"))
     f = F.col("_figures")
-    return figures(docs).filter(~base_failed(f) & (posterior(model, f) >= threshold)).drop("_figures")
+    return figures(docs).filter(~base_failed(f) & (posterior(model, f) >= threshold)).drop("_figures").toDF(*names)
