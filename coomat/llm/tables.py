@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coomat.session import ensure_checkpoints, settled
 
-__all__ = ["aside", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "settled"]
+__all__ = ["aside", "compact", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "settled"]
 
 
 
@@ -20,6 +20,12 @@ def aside(df: DataFrame, *names: str) -> DataFrame:
     return df.toDF(*(c if c in names and not (c in seen or seen.add(c)) else f"__other_{k}" for k, c in enumerate(df.columns)))
 
 
+def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """Settled, and in no more partitions than its rows need: small results then cost later shuffles few files."""
+    df = settled(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, whatever else the table has."""
     return aside(df, *names).select(*names)

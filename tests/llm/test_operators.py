@@ -365,3 +365,17 @@ def test_empty_tables(spark):
         pii.find(docs), pii.sanitise(docs), packing.packed_documents(docs), sharding.sharded_documents(docs), url_filter.judge_urls(pages), html_text.extract(pages), quality.classify(docs, labels), language_id.identify_all(docs, pages),
     ):
         assert out.count() == 0
+
+
+def test_suffix_filter_never_drops_a_link():
+    rng = np.random.default_rng(13)
+    for size in (1, 30, 900, 1100, 5000):
+        base = np.unique(K.mix(rng.integers(0, 1 << 62, size).astype(K.U)))
+        for share in (0.75, 0.8, 0.9, 1.0):
+            other = np.unique(np.concatenate([base[: max(1, int(np.ceil(share * len(base))))], K.mix(rng.integers(0, 1 << 62, int(size * 0.1)).astype(K.U))]))
+            x, y = (np.frombuffer(ngram_join.bit_sketch(s), "<u8") for s in (base, other))
+            both = len(np.intersect1d(base, other))
+            if 100 * both >= 75 * (len(base) + len(other) - both):
+                assert ngram_join.may_link(x, y[None], 75)[0] and ngram_join.may_link(y, x[None], 75)[0]
+        far = np.unique(K.mix(rng.integers(0, 1 << 62, size + 40).astype(K.U)))
+        assert not ngram_join.may_link(np.frombuffer(ngram_join.bit_sketch(base), "<u8"), np.frombuffer(ngram_join.bit_sketch(far), "<u8")[None], 75)[0]
