@@ -8,7 +8,7 @@ has fewer words).  Two sets link when 100 * |A & B| >= 75 * |A | B|.  The steps:
 2. Each set sends the first n - ceil(0.75 n) + 1 shingles in that order (its prefix).  Two sets that link share one.
 3. Prefix shingles are dealt to buckets and meet there.  Equal sets are one node, so exact copies never pair.
    Pairs must pass the length filter and the positional filter.  Within a bucket only pairs with a leader are made
-   (a star), never all pairs.  Shingles of very many documents are salted into bounded groups.
+   (a star), never all pairs.  All sets of a shingle meet in one bucket, however many they are.
 4. Pairs pass the suffix filter (bit sketches bound the Hamming distance of two sets from below) and are
    verified once, on the exact sets of the few documents that take part.
 5. Connected components.  A bucket whose sets are by now all in one component is done.  In the others first the
@@ -35,8 +35,8 @@ SKETCH_BITS = 18
 CHUNK = 1 << 12
 #: Least bits of the suffix filter's sketches; larger sets have at least two bits a shingle.
 BITS = 2048
-#: Shingles of more documents than this are dealt in groups of about this size.
-SALT_OVER = 4096
+#: A group goes on in batches of at most so many rows.
+SALT_OVER = 2_000
 #: So many leaders take turns over the shingles of a group.
 LEADERS = 3
 MEMBER = np.dtype([("fp", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -148,12 +148,6 @@ def unpacked(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).ravel()
 
 
-def salt(e: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The group of an entry among those of its shingle: one for each SALT_OVER documents that may have it."""
-    groups = (order[slot(e["token"])] // SALT_OVER + 1).astype(K.U)
-    return K.mix(e["fp"].astype(K.U) ^ K.mix(e["token"])) % groups
-
-
 def dealt(docs: DataFrame, counts, buckets: int, n: int, percent: int) -> DataFrame:
     """Prefix entries of all documents as packed blocks (bucket, block); a task sends each distinct set once."""
 
@@ -164,7 +158,7 @@ def dealt(docs: DataFrame, counts, buckets: int, n: int, percent: int) -> DataFr
         e["token"] = np.concatenate(tokens) & TOKEN
         e["fp"], e["n"] = np.repeat(np.array(fps, np.int64), lens), np.repeat(np.array(ns, np.uint32), lens)
         e["pos"] = np.arange(len(e)) - np.repeat(np.cumsum(lens) - lens, lens)
-        bucket = (K.mix(e["token"] + salt(e, counts.value)) % K.U(buckets)).astype(np.int64)
+        bucket = (K.mix(e["token"]) % K.U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         e, at = e[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(at))
@@ -197,7 +191,7 @@ def possible(a, b, percent: int) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
 
 
-def meet(blocks: DataFrame, counts, percent: int) -> DataFrame:
+def meet(blocks: DataFrame, percent: int) -> DataFrame:
     """(bucket, block) -> rows: pairs with a leader (a, b), and groups of three sets and more (a, members).
 
     A group goes by the hash of its members, a: copies share many shingles, and one of those groups does for all,
@@ -215,11 +209,9 @@ def meet(blocks: DataFrame, counts, percent: int) -> DataFrame:
             e = e[by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
         if not len(e):
             return
-        group = salt(e, counts.value)
         lead = K.mix(e["fp"].astype(K.U) ^ K.mix((e["token"] >> K.U(16)) % K.U(LEADERS) + K.U(7)))
-        by = np.lexsort((lead, group, e["token"]))
-        e, group = e[by], group[by]
-        apart = (e["token"][1:] != e["token"][:-1]) | (group[1:] != group[:-1])
+        e = e[np.lexsort((lead, e["token"]))]
+        apart = e["token"][1:] != e["token"][:-1]
         new = np.concatenate([[True], apart | (e["fp"][1:] != e["fp"][:-1])])  # a set sent by several tasks counts once
         first = np.concatenate([[True], apart])[new]
         e = e[new]
@@ -243,10 +235,10 @@ def meet(blocks: DataFrame, counts, percent: int) -> DataFrame:
             p = pairs[x : x + 50_000]
             k = len(p)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(k, pa.binary())], names)
-        for x in range(0, len(one), 2_000):
-            some = one[x : x + 2_000]
+        for x in range(0, len(one), SALT_OVER):
+            some = one[x : x + SALT_OVER]
             blobs = [members[at[i] : at[i] + size[i]].tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(name[x : x + 2_000].view(np.int64)), pa.nulls(len(some), pa.int64()), pa.array(blobs, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(name[x : x + SALT_OVER].view(np.int64)), pa.nulls(len(some), pa.int64()), pa.array(blobs, pa.binary())], names)
 
     return blocks.mapInArrow(run, "a bigint, b bigint, members binary")
 
@@ -394,7 +386,7 @@ def similar_documents(docs: DataFrame, n: int = K.SHINGLE, percent: int = 75) ->
     entries = (sets.agg(F.sum("n").alias("s")).first().s or 0) * (100 - percent) // 100
     tasks = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // (1 << 20)))
     blocks = dealt(docs, counts, 8 * tasks, n, percent).repartition(tasks, "bucket")
-    met = settled(meet(blocks, counts, percent))
+    met = settled(meet(blocks, percent))
     pairs = compact(met.filter("members is null").select("a", "b").distinct())
     groups = compact(entries_of(met.filter("members is not null").select("a", "members").dropDuplicates(["a"])))
 

@@ -101,6 +101,18 @@ def test_join_with_salted_groups(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(documents(spark, texts)).collect()} == dict(enumerate(roots))
 
 
+def test_pairs_of_frequent_slots_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALT_OVER", 5)
+    monkeypatch.setattr(ngram_join, "sketch", lambda texts, n: np.full(1 << ngram_join.SKETCH_BITS, 18_000))  # as at 30 GB
+    rng = random.Random(21)
+    texts = []
+    for _ in range(40):
+        base = words(rng, 60, 9000).split(" ")
+        texts += [" ".join(base), " ".join([*base[:30], "changed", *base[31:]])]
+    rows = ngram_join.similar_documents(documents(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == {k: k - k % 2 for k in range(len(texts))}
+
+
 def test_one_of_each(spark):
     texts = corpus()
     _, roots = brute_components(texts)
