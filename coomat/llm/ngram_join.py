@@ -35,8 +35,8 @@ SKETCH_BITS = 18
 CHUNK = 1 << 12
 #: Least bits of the suffix filter's sketches; larger sets have at least two bits a shingle.
 BITS = 2048
-#: A group goes on in batches of at most so many rows.
-SALT_OVER = 2_000
+#: A group goes on in rows of at most so many of the sets that it has.
+SALT_OVER = 4096
 #: So many leaders take turns over the shingles of a group.
 LEADERS = 3
 MEMBER = np.dtype([("fp", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -195,7 +195,7 @@ def meet(blocks: DataFrame, percent: int) -> DataFrame:
     """(bucket, block) -> rows: pairs with a leader (a, b), and groups of three sets and more (a, members).
 
     A group goes by the hash of its members, a: copies share many shingles, and one of those groups does for all,
-    because the filters' bounds hold at every shared shingle.
+    because the filters' bounds hold at every shared shingle.  b is that shingle; large groups have several rows.
     """
 
     def run(batches):
@@ -222,7 +222,7 @@ def meet(blocks: DataFrame, percent: int) -> DataFrame:
         ok = ~first & possible(a, b, percent)
         lo, hi = np.minimum(a["fp"], b["fp"])[ok], np.maximum(a["fp"], b["fp"])[ok]
         pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-        names = ["a", "b", "members"]
+        names, kinds = ["a", "b", "members"], (pa.int64(), pa.int64(), pa.binary())
         at, size = at[size > 2], size[size > 2]
         inner = K.mix(e["fp"].astype(K.U))
         sums = np.concatenate([[0], np.cumsum(inner, dtype=K.U)]).astype(K.U)
@@ -235,10 +235,17 @@ def meet(blocks: DataFrame, percent: int) -> DataFrame:
             p = pairs[x : x + 50_000]
             k = len(p)
             yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(k, pa.binary())], names)
-        for x in range(0, len(one), SALT_OVER):
-            some = one[x : x + SALT_OVER]
-            blobs = [members[at[i] : at[i] + size[i]].tobytes() for i in some]
-            yield pa.RecordBatch.from_arrays([pa.array(name[x : x + SALT_OVER].view(np.int64)), pa.nulls(len(some), pa.int64()), pa.array(blobs, pa.binary())], names)
+        rows, of = [], 0
+        for x, i in zip(name.view(np.int64).tolist(), one.tolist(), strict=True):
+            start, stop, token = int(at[i]), int(at[i] + size[i]), int(e["token"][at[i]].view(np.int64))
+            for lo in range(start, stop, SALT_OVER):
+                rows.append((x, token, members[lo : min(lo + SALT_OVER, stop)].tobytes()))
+                of += min(SALT_OVER, stop - lo)
+                if of > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    rows, of = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return blocks.mapInArrow(run, "a bigint, b bigint, members binary")
 
@@ -388,7 +395,8 @@ def similar_documents(docs: DataFrame, n: int = K.SHINGLE, percent: int = 75) ->
     blocks = dealt(docs, counts, 8 * tasks, n, percent).repartition(tasks, "bucket")
     met = settled(meet(blocks, percent))
     pairs = compact(met.filter("members is null").select("a", "b").distinct())
-    groups = compact(entries_of(met.filter("members is not null").select("a", "members").dropDuplicates(["a"])))
+    held = met.filter("members is not null")
+    groups = compact(entries_of(held.join(held.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_semi").select("a", "members")))
 
     def check(new: DataFrame) -> DataFrame:
         """The pairs that link; only texts that pass the suffix filter are cut into sets again."""

@@ -113,6 +113,22 @@ def test_pairs_of_frequent_slots_are_found(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_near_copies_of_heavily_copied_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SALT_OVER", 2)
+    rng = random.Random(22)
+    texts, roots = [], []
+    for _ in range(10):
+        base, first = words(rng, 60, 9000).split(" "), len(texts)
+        texts += [" ".join(base)] * 50 + [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in (20, 40)]
+        roots += [first] * 52
+    lines = [words(rng, 8, 9000) + "\n" for _ in range(12)]
+    texts += ["".join(lines) * 300, "".join(lines[:6]) + "new word\n" + "".join(lines[6:]) * 2]
+    roots += brute_components(texts)[1][-2:]
+    rows = ngram_join.similar_documents(documents(spark, texts)).collect()
+    assert {r.doc_id: r.component_id for r in rows} == dict(enumerate(roots))
+    assert ngram_join.one_of_each(documents(spark, texts)).count() == len(set(roots))
+
+
 def test_one_of_each(spark):
     texts = corpus()
     _, roots = brute_components(texts)
