@@ -8,12 +8,13 @@ term t discloses of e
     ratio = log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
 of its information (pointwise mutual information over information content).  A term is generalised in the documents
-that hold e, if the ratio reaches ``disclosure`` and at least SUPPORT different documents show e and t together.
-An entity that keeps more than MOST_TERMS such neighbours stands in copies of one passage; that shows the passage, not
-an association, so it is no evidence.
+that hold e, if the ratio reaches ``disclosure`` and at least SUPPORT different documents and SUPPORT different contexts
+show e and t together.  A context is the run of words around e that has t in it and at least NEAR words on each side:
+copies of one passage are one context, which shows the passage, not an association.
 
 All counts are grouped sums over all documents, equal texts once.  Term counts are made only for terms that stand near
-an entity often enough: a filter of fixed size picks them while texts are read.
+an entity often enough and aren't already in too many documents with entities for the ratio: a filter of fixed size
+picks them while texts are read.
 
 Defined cases: a null text has no spans; a null doc_id is carried; repeated rows get equal spans and count once;
 offsets are in code points, ends exclusive; spans of one kind never overlap, and terms never lie in another span;
@@ -38,7 +39,7 @@ KINDS = ("email", "ip", "card", "phone", "secret", "term")
 BASE_KINDS = 4
 REACH = 8
 SUPPORT = 3
-MOST_TERMS = 6
+NEAR = 4
 DISCLOSURE = 0.8
 
 #: Fixed patterns.
@@ -126,8 +127,8 @@ def term_hashes(words: list[str]) -> np.ndarray:
     return K.word_hashes(data, offs[:-1], offs[1:], value).view(np.int64) if len(words) else np.zeros(0, np.int64)
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, list[str]]]:
-    """For each span its entity and the words within REACH words, none of them inside a span."""
+def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[str, int]]]]:
+    """For each span its entity and the words within REACH words, none of them inside a span, with their contexts."""
     covered = sorted((s, e) for _, s, e in spans)
     out = []
     for span in spans:
@@ -135,7 +136,11 @@ def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         lo, hi = max(0, start - REACH * 40), min(len(text), end + REACH * 40)
         before = [m for m in _WORD.finditer(text, lo, start) if lo == 0 or m.start() > lo][-REACH:]
         after = [m for m in _WORD.finditer(text, end, hi) if hi == len(text) or m.end() < hi][:REACH]
-        out.append((entity_key(text, span), [m[0] for m in before + after if not any(s < m.end() and m.start() < e for s, e in covered)]))
+        before, after = ([m[0] for m in side if not any(s < m.end() and m.start() < e for s, e in covered)] for side in (before[::-1], after))
+        low = [[w.lower() for w in side] for side in (before, after)]
+        runs = {(i, j): _hash(*low[0][:i], "", *low[1][:j]) for i, j in {(NEAR, NEAR), *((i, NEAR) for i in range(NEAR, len(before) + 1)), *((NEAR, j) for j in range(NEAR, len(after) + 1))}}
+        words = [(w, runs[max(NEAR, i), NEAR]) for i, w in enumerate(before, 1)] + [(w, runs[NEAR, max(NEAR, j)]) for j, w in enumerate(after, 1)]
+        out.append((entity_key(text, span), words))
     return out
 
 
@@ -160,19 +165,22 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFra
                 spans = entities(text)
                 if spans:
                     for e, terms in neighbours(text, spans):
-                        rows.add((e, None, doc))
-                        words += terms
-                        of += [(e, doc)] * len(terms)
-            rows.update((e, h, doc) for (e, doc), h in zip(of, term_hashes(words).tolist(), strict=True))
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["entity", "term", "doc"])
-
-    seen = settled(texts.mapInArrow(near, "entity bigint, term bigint, doc bigint").distinct())
-    together = seen.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n"))
+                        rows.add((e, None, doc, None))
+                        words += [w for w, _ in terms]
+                        of += [(e, doc, c) for _, c in terms]
+            rows.update((e, h, doc, c) for (e, doc, c), h in zip(of, term_hashes(words).tolist(), strict=True))
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["entity", "term", "doc", "context"])
+
+    seen = settled(texts.mapInArrow(near, "entity bigint, term bigint, doc bigint, context bigint").distinct())
+    together = seen.groupBy("entity", "term").agg(F.countDistinct("doc").alias("n"), F.countDistinct("context").alias("contexts"))
     of_entity = together.filter("term is null").select("entity", F.col("n").alias("n_entity")).filter(F.col("n_entity") >= SUPPORT)
-    both = together.filter(F.col("term").isNotNull() & (F.col("n") >= SUPPORT)).join(of_entity, "entity").filter("2 * n >= n_entity")
-    few = both.groupBy("entity").agg(F.count(F.lit(1)).alias("terms")).filter(F.col("terms") <= MOST_TERMS).select("entity")
-    both = settled(both.join(few, "entity", "left_semi"))
+    total = texts.select("doc").distinct().count()
+    # a term is in at least the documents where it stands near any entity; beyond ``most`` the ratio is too low
+    near_any = seen.filter("term is not null").groupBy("term").agg(F.countDistinct("doc").alias("n_near"))
+    most = F.col("n") * F.pow(F.lit(float(total)) / F.col("n_entity"), F.lit(1.0 - disclosure)) * 1.000001
+    both = together.filter(F.col("term").isNotNull() & (F.col("n") >= SUPPORT) & (F.col("contexts") >= SUPPORT)).join(of_entity, "entity")
+    both = settled(both.join(near_any, "term").filter(F.col("n_near") <= most).select("entity", "term", "n", "n_entity"))
     wanted = settled(both.select("term").distinct())
     bits = filter_bits(wanted.count())
     table = np.zeros(bits, bool)
@@ -194,7 +202,6 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["term", "doc"])
 
     n_term = texts.mapInArrow(count, "term bigint, doc bigint").distinct().groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = texts.select("doc").distinct().count()
     pmi = F.log(F.col("n") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     held = F.log(F.lit(float(total)) / F.col("n_entity"))
     rated = both.join(n_term, "term").withColumn("ratio", F.when(held > 0, pmi / held).otherwise(0.0))

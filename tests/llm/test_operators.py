@@ -239,6 +239,18 @@ def test_disclosing_terms_go_and_copies_prove_nothing(spark):
     assert all("fox jumps over [EMAIL] with" in clean[k].text for k in range(6, 12)) and all(clean[k].text == plain[k - 12] for k in range(12, 72))
 
 
+def test_many_terms_and_part_time_terms_go(spark):
+    rng = random.Random(23)
+    some = lambda n: words(rng, n, 5000)
+    full = [f"{some(6)} please contact Zebulon Quark from Acme office {some(1)} zeb@example.org near Springfield {some(6)}" for _ in range(8)]
+    part = [f"{some(6)} {'Nick' if k < 4 else some(1)} {some(1)} ann@example.org {some(6)}" for k in range(10)]
+    plain = [f"please contact our office from near {some(40)}" for _ in range(900)]
+    clean = {r.doc_id: r.text for r in pii.sanitise(documents(spark, full + part + plain)).collect()}
+    for k in range(8):
+        assert not any(x in clean[k] for x in ("Zebulon", "Quark", "Acme", "Springfield")) and "please contact" in clean[k] and "office" in clean[k]
+    assert all("Nick" not in clean[k] for k in range(8, 18)) and all(clean[k] == plain[k - 18] for k in range(18, 918))
+
+
 def test_sanitise_keeps_columns_and_secrets_go(spark):
     docs = odd_columns(documents(spark, [None, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "plain", "plain"]))
     out = pii.sanitise(docs)
