@@ -7,8 +7,9 @@ share tells nothing about any).  Importance is combined from the leaves up, and
 from each page of the host.
 
 Elements that say themselves what they are (menus, forms, scripts, page headers, comments and so on) carry a prior of
-0 and go without statistics.  A branch under ``article`` or ``main`` is never removed for being alike: articles are
-copied.  Statistics count different pages only, so mirrored pages don't look like templates, and need MIN_PAGES.
+0 and go without statistics.  Branches under ``article`` or ``main`` are weighed like all others; only these elements
+themselves stay, and a page whose article or main would lose all text keeps it whole: articles are copied.  Statistics
+count different pages only, so mirrored pages don't look like templates, and need MIN_PAGES.
 
 Blocks are joined by one newline in page order; white space inside a block becomes one space.
 
@@ -162,6 +163,19 @@ def blocks(page: str | None, stripped: frozenset[str] = frozenset()) -> tuple[li
     return out, layouts
 
 
+def is_main(name: str) -> bool:
+    """Whether a style name is that of an article or main element."""
+    return name.split(".")[0].split("#")[0] in ("article", "main")
+
+
+def main_text(page: str | None, stripped: frozenset[str]) -> list[str]:
+    """The page's blocks without the stripped branches, but an article or main that these would empty stays whole."""
+    found = blocks(page, stripped)[0]
+    if stripped and not any(inside for _, _, inside in found) and any(inside for _, _, inside in blocks(page)[0]):
+        found = blocks(page, frozenset(p for p in stripped if not any(map(is_main, p.split("/")))))[0]
+    return [t for _, t, _ in found]
+
+
 def _hash(*parts: str) -> int:
     return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
@@ -176,7 +190,7 @@ def style_facts(pages: DataFrame) -> DataFrame:
                 host = parse_url(url)[0]
                 found, layouts = blocks(page)
                 whole = _hash(*(t for _, t, _ in found))
-                rows.extend({(host, path, "c", _hash(t), whole) for path, t, inside in found if not inside})
+                rows.extend({(host, path, "c", _hash(t), whole) for path, t, _ in found})
                 rows.extend({(host, path, "p", _hash(*names), whole) for path, names in layouts})
             columns = list(zip(*rows, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "kind", "value", "page"])
@@ -227,7 +241,7 @@ def weak_branches(pages: DataFrame, threshold: float = THRESHOLD, least: int = M
                 inner = (1 - GAMMA**kinds) * entropy + GAMMA**kinds * inner
             parts = [x for x in (own, inner) if x is not None]
             importance[path] = max(parts) if parts else 1.0
-        guarded = {p for p in importance if any(s.split(".")[0].split("#")[0] in ("article", "main") for s in p.split("/"))}
+        guarded = {p for p in importance if is_main(p.rpartition("/")[2])}
         holders = {a for p in guarded for a in [p[:i] for i in range(len(p)) if p[i] == "/"]}
         weak = [p for p, x in importance.items() if p and x < threshold and p not in guarded and p not in holders and weight.get(p, 0.0) >= least]
         return pa.table({"host": pa.array([key[0].as_py()] * len(weak), pa.string()), "path": pa.array(weak, pa.string())})
@@ -259,7 +273,7 @@ def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame
             texts = []
             for url, page, own in zip(b.column("url").to_pylist(), b.column("html").to_pylist(), b.column("weak").to_pylist(), strict=True):
                 stripped = weak_of.get(parse_url(url)[0], frozenset()) if weak_of else frozenset(own or ())
-                texts.append("\n".join(t for _, t, _ in blocks(page, stripped)[0]))
+                texts.append("\n".join(main_text(page, stripped)))
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), b.column("url"), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], [*keep, "url", "text", "n_chars"])
 
     return rows.mapInArrow(run, f"{kinds}, url string, text string, n_chars bigint")

@@ -358,6 +358,19 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert all(r.n_chars == len(r.text) for r in out.values()) and out[0].url == "http://site.org/0"
 
 
+def test_style_tree_removes_repeats_inside_articles(spark):
+    rng = random.Random(24)
+    own = [words(rng, 30, 5000) for _ in range(24)]
+    box = '<div class="k7"><p>Buy one and get two</p></div>'
+    pages = [(k, f"http://a.org/{k}", f"<body><main>{box}<p>{t}</p></main></body>") for k, t in enumerate(own[:12])]
+    pages += [(12 + k, f"http://b.org/{k}", f"<body><div><article><h1>{t[:20]}</h1><p>{t}</p>{box}</article></div></body>") for k, t in enumerate(own[12:])]
+    pages += [(24 + k, f"http://c.org/{k}", f'<p class="m">{t}</p><article><p>{own[0]}</p></article>') for k, t in enumerate(own[:12])]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert [out[k] for k in range(12)] == own[:12]
+    assert [out[12 + k] for k in range(12)] == [f"{t[:20].strip()}\n{t}" for t in own[12:]]
+    assert [out[24 + k] for k in range(12)] == [f"{t}\n{own[0]}" for t in own[:12]]
+
+
 def test_quality_learns_and_holds_out(spark):
     rng = random.Random(11)
     texts = [". ".join(words(rng, 8, 900) for _ in range(4)) for _ in range(150)] + [" ".join(f"{x}###" for x in words(rng, 30, 900).split(" ")) for _ in range(150)] + ["", None]
