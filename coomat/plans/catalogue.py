@@ -112,6 +112,10 @@ def _cells(m: Matrix) -> DataFrame:
     return m.df.select("i", "j", "v")
 
 
+def _ones(t: Tables, n: int) -> Vector:
+    return Vector(span(t.spark, n).withColumn("v", F.lit(1.0)), n)
+
+
 def _row_ptr(t: Tables) -> DataFrame:
     return t.a().row_ptr()
 
@@ -148,6 +152,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "row_partition_p7": (lambda t: part_table(t.spark, t.n_supp(), 7), f"WITH {_S}, Q AS (SELECT i, (ntile(7) OVER (ORDER BY i) - 1)::integer AS part FROM S) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
     "from_dense": (lambda t: _cells(t.w().from_dense()), f"WITH {_W} SELECT i, j, v FROM W WHERE NOT isnan(v) AND abs(v) > 1e-15"),
     "to_dense_small": (lambda t: _cells(t.a().block(0, 0, 10, 50).to_dense()), f"WITH {_A}, S AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range(10) a, range(50) b) SELECT S.i, S.j, coalesce(A.v, 0.0::double) AS v FROM S LEFT JOIN A ON S.i = A.i AND S.j = A.j"),
+    "to_dense_whole": (lambda t: _cells(t.b().to_dense()), f"WITH {_B}, Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NP}) a, range(12) b) SELECT Z.i, Z.j, coalesce(B.v, 0.0::double) AS v FROM Z LEFT JOIN B ON Z.i = B.i AND Z.j = B.j"),
     "transpose": (lambda t: _cells(t.a().transpose()), f"WITH {_A} SELECT j AS i, i AS j, v FROM A"),
     "csr_csc_roundtrip": (lambda t: _cells(t.a().by_cols().by_rows()), f"WITH {_A} SELECT i, j, v FROM A"),
     "get_element": (lambda t: t.a().element(3, 5), f"WITH {_A} SELECT coalesce(sum(v), 0.0::double) AS v FROM A WHERE i = 3 AND j = 5"),
@@ -165,7 +170,9 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "spmv_broadcast": (lambda t: mul.spmv(t.a(), t.x(), "broadcast").df, _SPMV),
     "spmv_shuffle": (lambda t: mul.spmv(t.a(), t.x(), "shuffle").df, _SPMV),
     "spmv_dense": (lambda t: mul.spmv(t.a().row_slice(0, 10), t.x(), "dense").df, _SPMV + " WHERE S.i < 10"),
+    "spmv_dense_whole": (lambda t: mul.spmv(t.a(), t.x(), "dense").df, _SPMV),
     "spmv_into_slice": (lambda t: mul.multiply_into(t.a().row_slice(0, 5), t.x(), Vector(span(t.spark, 20).withColumn("v", F.lit(1.0)), 20), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i WHERE A.i < 5 GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range(20)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < 12 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
+    "spmv_into_whole": (lambda t: mul.multiply_into(t.a(), t.x(), _ones(t, t.n_supp() + 15), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range({_NS} + 15)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < {_NS} + 7 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
     "csr_dense": (lambda t: _cells(mul.matmul(Matrix(t.e().df, t.e().n_rows, 64), t.w())).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "dense_dense": (lambda t: _cells(mul.matmul(t.e(), t.w())).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "dense_dense_blocked": (lambda t: _cells(mul.blocked_matmul(t.e(), t.w(), 32)).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
@@ -174,6 +181,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "csr_csc": (lambda t: _cells(mul.matmul(t.a(), t.a().transpose())), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
     "symbolic_nnz": (lambda t: mul.symbolic_nnz(t.a(), t.b()), f"WITH {_A}, {_B}, {_S}, P AS (SELECT A.i, count(DISTINCT B.j) AS n FROM A JOIN B ON A.j = B.i GROUP BY A.i) SELECT S.i, coalesce(P.n, 0)::bigint AS n FROM S LEFT JOIN P ON S.i = P.i"),
     "matmul_add": (lambda t: _cells(mul.multiply_add(t.a().row_slice(0, 5), t.b(), Matrix.filled(t.spark, 9, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range(9) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j AND P.i < 5"),
+    "matmul_add_whole": (lambda t: _cells(mul.multiply_add(t.a(), t.b(), Matrix.filled(t.spark, t.n_supp() + 4, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NS} + 4) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j"),
     "out_degree": (lambda t: t.g().out_degree(), f"WITH {_G} SELECT src AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),
     "in_degree": (lambda t: t.g().in_degree(), f"WITH {_G} SELECT dst AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),
     "dangling": (lambda t: t.g().dangling(), f"WITH {_G} SELECT node FROM N WHERE node NOT IN (SELECT src FROM G)"),
