@@ -59,10 +59,10 @@ def grams(column: pa.Array):
 
 
 def learn(docs: DataFrame, train_docs: int = 4000) -> tuple[list[str], np.ndarray]:
-    """Languages and log P(trigram | language) from at most ``train_docs`` documents, those of smallest text hash."""
+    """Languages and log P(trigram | language) from at most ``train_docs`` different texts, those of smallest hash, each once."""
     known = docs.filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"))
-    chosen = known.orderBy("h", "lang").limit(train_docs).distinct()
-    texts = docs.select(F.col("lang").alias("_l"), F.xxhash64("text").alias("_h"), "text").join(F.broadcast(chosen), (F.col("_l") == F.col("lang")) & (F.col("_h") == F.col("h"))).select("lang", "text")
+    chosen = known.distinct().orderBy("h", "lang").limit(train_docs)
+    texts = docs.select(F.col("lang").alias("_l"), F.xxhash64("text").alias("_h"), "text").join(F.broadcast(chosen), (F.col("_l") == F.col("lang")) & (F.col("_h") == F.col("h"))).groupBy("lang", "h").agg(F.min("text").alias("text")).select("lang", "text")
 
     def count(batches):
         total: dict[str, np.ndarray] = {}

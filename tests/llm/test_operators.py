@@ -174,6 +174,16 @@ def test_em_keeps_its_classes():
     assert weak_rules.fit([])[0] == 1.0
 
 
+def test_hot_texts_leave_the_other_languages_in(spark):
+    rng = random.Random(25)
+    rows = [(f"{lang} {words(rng, 20)}", lang) for lang in ("de", "en", "es", "fr") for _ in range(5)]
+    hot = [(f"hot {words(rng, 20)}", "en") for _ in range(6)]
+    docs = spark.createDataFrame(rows + hot * 40, "text string, lang string")
+    langs, table = language_id.learn(docs, 26)
+    again, once = language_id.learn(docs.distinct(), 26)
+    assert langs == again == ["de", "en", "es", "fr"] and (table == once).all()
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     items = [words(rng, 25, 9000) for _ in range(8)] + ["a b", None, ""]
