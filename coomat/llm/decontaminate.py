@@ -29,6 +29,9 @@ from coomat.llm.tables import aside, only
 
 #: Fixed masks: 1 counts, 0 is ignored.  Five tokens count in each; the first is for items of five tokens and for dense stretches.
 MASKS = ("11111", "1101011", "10110011", "110010101")
+#: For items under SHORT tokens: with one token substituted, these still fit.  Four tokens count in each.
+SHORT_MASKS = ("1111", "10111", "11011", "11101")
+SHORT = 8
 WINDOW = 13
 PERCENT = 80
 BLOCK_BYTES = 16 << 20
@@ -82,8 +85,12 @@ class Items:
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in self.words])]).astype(np.int64)
         of = np.repeat(np.arange(len(self.words)), np.diff(bounds))
         self.masks = []
-        for mask in MASKS:
+        short = np.array([len(x) < SHORT for x in self.words], bool)
+        for mask in (*MASKS, *(SHORT_MASKS if short.any() else ())):
             at, hashes = spaced(flat, bounds, mask)
+            if mask in SHORT_MASKS:
+                some = short[of[at]]
+                at, hashes = at[some], hashes[some]
             by = np.argsort(hashes, kind="stable")
             at, hashes = at[by], hashes[by]
             table = np.zeros(1 << TABLE_BITS, bool)

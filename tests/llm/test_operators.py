@@ -203,6 +203,19 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(docs, bench.limit(0)).count() == 0 and decontaminate.clean_documents(docs, bench.limit(0)).count() == docs.count()
 
 
+def test_decontamination_of_short_items(spark):
+    items = [" ".join(f"i{n}t{k}" for k in range(n)) for n in (5, 6, 7, 8)]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    texts, want = [], set()
+    for i, item in enumerate(items):
+        own = item.split(" ")
+        for k in range(len(own)):
+            want.add((len(texts), i))
+            texts.append(" ".join(["some", "words", *own[:k], "zz", *own[k + 1 :], "more"]))
+        texts.append(" ".join(["some", "zz", "zz", *own[2:], "more"]))  # two of them: too many
+    assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(documents(spark, texts), bench).collect()} == want
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [words(rng, 20, 9000) for _ in range(9)]
