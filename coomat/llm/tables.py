@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coomat.session import ensure_checkpoints, settled
 
-__all__ = ["aside", "compact", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "settled"]
+__all__ = ["aside", "compact", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "removed", "settled", "written"]
 
 
 
@@ -26,6 +28,27 @@ def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
+#: Folders that ``written`` made and nobody has removed.
+_FOLDERS: list[str] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the shared checkpoint folder; unlike a checkpoint it is compressed and read by column."""
+    spark = df.sparkSession
+    ensure_checkpoints(spark)
+    _FOLDERS.append(f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}")
+    df.write.parquet(_FOLDERS[-1])
+    return spark.read.schema(df.schema).parquet(_FOLDERS[-1])
+
+
+def removed(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of the shared store, and those of ``written``: what was made of them must be in place."""
+    for folder in (*folders, *_FOLDERS):
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _FOLDERS.clear()
+
+
 def only(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, whatever else the table has."""
     return aside(df, *names).select(*names)

@@ -1,14 +1,19 @@
 """Operator 7: quality rules as weak supervision.
 
 Each rule votes bad, good or abstains on figures of the whole text.  Expectation-maximisation over the counts of the
-vote patterns (at most 3 ** 8 rows, whatever the number of documents) estimates how often each rule says what on good
-and on bad documents and the share of good ones.  The posterior probability of "good" replaces all-must-pass rules.
+vote patterns (at most 3 ** 10 rows, whatever the number of documents) estimates the share of good documents and, for
+each rule, how often it says good of good documents and bad of bad ones.  The posterior probability of "good" replaces
+all-must-pass rules: a bad vote weighs as much as its rule agrees with the others, and enough good votes outweigh it.
+
+Rules come in pairs and more that look at one fault from different sides (symbols and punctuation, capitals and
+exclamation marks, repeated windows, repeated lines and a small vocabulary), because agreement is all that texts
+without labels can show.  Priors are PRIOR_VOTES made-up votes for each rule, a constant, so the data decide.
 
 The main path has DataFrame functions only; the driver sees the table of vote patterns and nothing else.
 
 Defined cases: a null text has no words and fails the base rules; repeated rows count each and get equal verdicts; an
-empty table gives an empty one (the model then keeps its starting values); a null doc_id is carried along; columns
-that the caller has under the names of figures are left alone, because figures live in one struct column.
+empty table gives an empty one (the model then keeps its priors); a null doc_id is carried along; columns that the
+caller has under the names of figures are left alone, because figures live in one struct column.
 """
 
 from __future__ import annotations
@@ -18,59 +23,71 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coomat.llm.tables import aside, only, settled
+from coomat.llm.tables import aside, only, settled, written
 
-#: How often a rule is right when it votes so, before any data, and how many times its votes that counts.
-BELIEF = {("symbols", -1): 0.95, ("repeats", -1): 0.95, ("dup_lines", -1): 0.9, ("upper", -1): 0.95, ("bangs", -1): 0.95, ("word_length", -1): 0.9, ("stops", -1): 0.9, ("longest", -1): 0.9, ("none_bad", 1): 0.98}
-WEIGHT = 3.0
+#: Before any data a rule counts as PRIOR_VOTES votes on good documents, of which it calls this share good, ...
+RIGHT_ON_GOOD = 0.95
+#: ... and as many on bad documents, of which it calls this share bad: a document is mostly bad in one way of several.
+RIGHT_ON_BAD = 0.4
+PRIOR_VOTES = 10.0
 
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
-SYMBOLS = "#*$%&|<>"
+#: Fixed patterns: symbols, capitals, ASCII punctuation.
+SYMBOLS = "[#*$%&|<>]"
+UPPER = "[A-Z]"
+PUNCTUATION = "[!-/:-@\\[-`{-~]"
 WINDOW = 5
-UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-FIGURES = (*BASE, "n_lines", "n_upper", "n_bang", "n_stops", "n_chars", "longest_word")
+FIGURES = (*BASE, "n_lines", "n_upper", "n_bang", "n_stops", "n_chars", "longest_word", "n_punct", "n_distinct")
 #: Rules in the order of their votes.
-RULES = ("symbols", "repeats", "dup_lines", "upper", "bangs", "word_length", "stops", "longest")
+RULES = ("symbols", "punctuation", "repeats", "vocabulary", "dup_lines", "upper", "bangs", "word_length", "stops", "longest")
 
 
-def _without(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
 
 
 def figures(docs: DataFrame, into: str = "_figures") -> DataFrame:
     """Adds a struct column of FIGURES, each a bigint; the text is read whole."""
-    own = {x: f"{into}_{x}" for x in ("t", "w", "l", "g", "s", "p")}
-    t, w, lines, g, s, p = (F.col(f"`{own[x]}`") for x in own)
+    own = {x: f"{into}_{x}" for x in ("t", "w", "h", "l", "g", "s", "p")}
+    t, w, h, lines, g, s, p = (F.col(f"`{own[x]}`") for x in own)
     nothing = F.array().cast("array<string>")
     bare = F.btrim(t, F.lit(SPACE))
     docs = docs.withColumn(own["t"], F.coalesce(F.col("text"), F.lit("")))
-    docs = docs.withColumns({own["w"]: F.when(bare == "", nothing).otherwise(F.split(bare, SPACES)), own["l"]: F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")})
+
+    def once(value: Column) -> Column:
+        """An explode of one row: it keeps the optimiser from copying an expression into every later use of it."""
+        return F.explode(F.array(value))
+
+    docs = docs.withColumn(own["w"], once(F.when(bare == "", nothing).otherwise(F.split(bare, SPACES))))
+    docs = docs.withColumn(own["l"], once(F.filter(F.split(t, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")))
     few = F.array().cast("array<bigint>")
-    docs = docs.withColumn(own["g"], F.when(F.size(w) < WINDOW, few).otherwise(F.transform(F.sequence(F.lit(1), F.size(w) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))))
+    docs = docs.withColumn(own["h"], once(F.transform(w, lambda x: F.xxhash64(x))))
+    windows = F.transform(F.sequence(F.lit(0), F.size(h) - WINDOW), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(WINDOW))))
+    docs = docs.withColumn(own["g"], once(F.when(F.size(h) < WINDOW, few).otherwise(windows)))
     # Windows sorted by hash put equal ones side by side; only texts that repeat any window come to this.
-    docs = docs.withColumn(own["s"], F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
+    docs = docs.withColumn(own["s"], once(F.when(F.size(F.array_distinct(g)) < F.size(g), F.sort_array(F.transform(g, lambda x, i: F.struct(x.alias("h"), (i + 1).alias("i")))))))
     twice = F.filter(s, lambda x, i: x["h"].eqNullSafe(F.get(s, i - 1)["h"]) | x["h"].eqNullSafe(F.get(s, i + 1)["h"]))
-    docs = docs.withColumn(own["p"], F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"]))))
+    docs = docs.withColumn(own["p"], once(F.when(s.isNotNull(), F.sort_array(F.transform(twice, lambda x: x["i"])))))
     gaps = F.transform(p, lambda x, i: F.least(F.lit(WINDOW), F.coalesce(F.get(p, i + 1) - x, F.lit(WINDOW))))
     total = F.aggregate(gaps, F.lit(0), lambda a, x: a + x)
     out = {
         "n_words": F.size(w),
         "word_chars": F.length(F.array_join(w, "")),
-        "n_symbols": _without(t, SYMBOLS),
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOLS)),
         "n_dup_lines": F.size(lines) - F.size(F.array_distinct(lines)),
         "n_repeat_words": F.when(p.isNull(), F.lit(0)).otherwise(total),
         "n_lines": F.size(lines),
-        "n_upper": _without(t, UPPER),
-        "n_bang": _without(t, "!"),
-        "n_stops": _without(t, "."),
+        "n_upper": F.regexp_count(t, F.lit(UPPER)),
+        "n_bang": _count(t, "!"),
+        "n_stops": _count(t, "."),
         "n_chars": F.length(t),
         "longest_word": F.coalesce(F.array_max(F.transform(w, lambda x: F.length(x))), F.lit(0)),
+        "n_punct": F.regexp_count(t, F.lit(PUNCTUATION)),
+        "n_distinct": F.size(F.array_distinct(h)),
     }
-    # the one-row explode keeps the optimiser from copying these expressions into every later use of a figure
-    one = F.explode(F.array(F.struct(*(v.cast("bigint").alias(k) for k, v in out.items()))))
-    return docs.withColumn(into, one).drop(*own.values())
+    return docs.withColumn(into, once(F.struct(*(v.cast("bigint").alias(k) for k, v in out.items())))).drop(*own.values())
 
 
 def base_failed(f: Column) -> Column:
@@ -78,74 +95,85 @@ def base_failed(f: Column) -> Column:
 
 
 def votes(f: Column) -> dict[str, Column]:
-    """-1 bad, 1 good, 0 abstains."""
+    """-1 bad, 1 good, 0 abstains: by rule, in the order of RULES.  Between the two bounds of a rule it abstains."""
 
-    def bad(test: Column) -> Column:
-        return F.when(test, -1).otherwise(0)
+    def high(share: Column, bad: float, good: float, says: Column | None = None) -> Column:
+        vote = F.when(share >= bad, -1).when(share <= good, 1).otherwise(0)
+        return vote if says is None else F.when(says, vote).otherwise(0)
 
     words, chars, lines = (F.greatest(f[x], F.lit(1)).cast("double") for x in ("n_words", "word_chars", "n_lines"))
-    length = f["word_chars"] / words
-    return {
-        "symbols": bad(f["n_symbols"] / words >= 0.15),
-        "repeats": bad(f["n_repeat_words"] / words >= 0.2),
-        "dup_lines": bad((f["n_lines"] >= 5) & (f["n_dup_lines"] / lines >= 0.3)),
-        "upper": bad(f["n_upper"] / chars >= 0.4),
-        "bangs": bad(f["n_bang"] / words >= 0.2),
-        "word_length": F.when(f["n_words"] < 30, 0).when((length < 2) | (length > 14), -1).when((length > 3) & (length < 10), 1).otherwise(0),
-        "stops": F.when(f["n_words"] < 30, 0).when(f["n_stops"] / words < 0.005, -1).when(f["n_stops"] / words > 0.03, 1).otherwise(0),
-        "longest": bad(f["longest_word"] > 200),
+    length, some, many = f["word_chars"] / words, f["n_words"] >= 10, f["n_words"] >= 30
+    out = {
+        "symbols": high(f["n_symbols"] / words, 0.15, 0.02, some),
+        "punctuation": high(f["n_punct"] / chars, 0.1, 0.05, some),
+        "repeats": high(f["n_repeat_words"] / words, 0.2, 0.05, some),
+        "vocabulary": -high(f["n_distinct"] / F.sqrt(words), 4.0, 2.5, many),
+        "dup_lines": high(f["n_dup_lines"] / lines, 0.3, 0.1, f["n_lines"] >= 5),
+        "upper": high(f["n_upper"] / chars, 0.4, 0.15, some),
+        "bangs": high(f["n_bang"] / words, 0.2, 0.05, some),
+        "word_length": F.when(~many, 0).when((length < 2) | (length > 14), -1).when((length > 3) & (length < 10), 1).otherwise(0),
+        "stops": -high(f["n_stops"] / words, 0.03, 0.005, many),
+        "longest": high(f["longest_word"], 200, 60, some),
     }
+    return {r: out[r] for r in RULES}
+
 
+Model = tuple[float, list[tuple[float, float]]]
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 60) -> tuple[float, list[dict[int, float]]]:
-    """EM over (votes, count): the prior log odds of good, and for each rule the log likelihood ratio of each vote.
 
-    Each rule comes with a belief about how often it is right when it speaks (BELIEF), worth WEIGHT times its votes;
-    EM moves it by what the rules say together.  One rule more, the last, votes good where no other votes bad.  A rule
-    that abstains says nothing: bad documents are mostly bad in one way, so silence of single rules is no evidence.
+def start() -> Model:
+    """Equal odds, and rules as right as the priors say."""
+    return 0.0, [(math.log((1 - RIGHT_ON_GOOD) / RIGHT_ON_BAD), math.log(RIGHT_ON_GOOD / (1 - RIGHT_ON_BAD)))] * len(RULES)
+
+
+def odds(model: Model, pattern: tuple[int, ...]) -> float:
+    prior, ratios = model
+    return prior + sum(bad if x < 0 else good if x > 0 else 0.0 for x, (bad, good) in zip(pattern, ratios, strict=True))
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Model:
+    """EM over (votes, count): the prior log odds of good, and for each rule the log likelihood ratios of its bad and good vote.
+
+    A rule that abstains says nothing.  A rule is no worse than chance: its bad vote never counts for good, nor the other
+    way round; that and the priors tell the two classes apart.
     """
-    patterns = [((*v, 0 if -1 in v else 1), n) for v, n in patterns]
-    names = (*RULES, "none_bad")
-    spoken = [{k: sum(n for v, n in patterns if v[j] == k) for k in (-1, 1)} for j in range(len(names))]
+    model = start()
     total = sum(n for _, n in patterns)
-    good = [0.02 if -1 in v else 0.98 for v, _ in patterns]
-    prior, ratios = 1.0, [{-1: -3.0, 0: 0.0, 1: 0.0} for _ in names]
+    was: list[float] = []
     for _ in range(rounds if total else 0):
-        mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        prior = math.log((mass + 1) / (total - mass + 1))
-        for j, name in enumerate(names):
-            for k in (-1, 1):
-                up = sum(g * n for g, (v, n) in zip(good, patterns, strict=True) if v[j] == k)
-                down = spoken[j][k] - up
-                if (name, k) in BELIEF:
-                    right = BELIEF[name, k] * WEIGHT * spoken[j][k]
-                    wrong = WEIGHT * spoken[j][k] - right
-                    up, down = up + (wrong if k < 0 else right), down + (right if k < 0 else wrong)
-                ratio = math.log((up + 0.5) / (mass + 1.5)) - math.log((down + 0.5) / (total - mass + 1.5))
-                # a rule is no worse than chance: saying bad never counts for good, nor the other way round
-                ratios[j][k] = min(ratio, 0.0) if k < 0 else max(ratio, 0.0)
-        was, good = good, [1 / (1 + math.exp(-max(-500.0, min(500.0, prior + sum(r[x] for r, x in zip(ratios, v, strict=True)))))) for v, _ in patterns]
-        if max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-6:
+        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, odds(model, v))))) for v, _ in patterns]
+        if was and max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-7:
             break
-    return prior, ratios
-
-
-def learn(judged: DataFrame, into: str = "_figures") -> tuple[float, list[dict[int, float]]]:
+        was = good
+        mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
+        ratios = []
+        for j in range(len(RULES)):
+            count = {(k, c): 0.0 for k in (-1, 1) for c in (0, 1)}
+            for g, (v, n) in zip(good, patterns, strict=True):
+                if v[j]:
+                    count[v[j], 1] += g * n
+                    count[v[j], 0] += (1 - g) * n
+            of_good = (count[1, 1] + RIGHT_ON_GOOD * PRIOR_VOTES) / (count[1, 1] + count[-1, 1] + PRIOR_VOTES)
+            of_bad = (count[-1, 0] + RIGHT_ON_BAD * PRIOR_VOTES) / (count[1, 0] + count[-1, 0] + PRIOR_VOTES)
+            ratios.append((min(0.0, math.log((1 - of_good) / of_bad)), max(0.0, math.log(of_good / (1 - of_bad)))))
+        model = math.log((mass + 1) / (total - mass + 1)), ratios
+    return model
+
+
+def learn(judged: DataFrame, into: str = "_figures") -> Model:
     """Counts the vote patterns of all rows (at most 3 ** len(RULES) groups) and fits the model."""
     named = votes(F.col(into))
     rows = judged.select(*(named[r].alias(r) for r in RULES)).groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")).collect()
     return fit(sorted((tuple(r[x] for x in RULES), r["n"]) for r in rows))
 
 
-def posterior(model: tuple[float, list[dict[int, float]]], f: Column) -> Column:
+def posterior(model: Model, f: Column) -> Column:
     """The probability of "good" given all votes."""
     prior, ratios = model
-    odds, none_bad = F.lit(float(prior)), F.lit(True)
-    for r, by in zip(votes(f).values(), ratios, strict=False):
-        odds = odds + F.when(r == -1, by[-1]).when(r == 1, by[1]).otherwise(by[0])
-        none_bad = none_bad & (r != -1)
-    odds = odds + F.when(none_bad, ratios[-1][1]).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    total = F.lit(float(prior))
+    for vote, (bad, good) in zip(votes(f).values(), ratios, strict=True):
+        total = total + F.when(vote == -1, bad).when(vote == 1, good).otherwise(0.0)
+    return 1 / (1 + F.exp(-total))
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
@@ -157,8 +185,10 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents that pass, with their columns; each row is judged by itself, so no join is needed."""
+    """The documents that pass, with their columns.
+
+    Figures are computed once, beside the rows, in a table of the shared folder; the model reads only its figures.
+    """
     names, docs = docs.columns, aside(docs, "doc_id", "text")
-    model = learn(figures(docs.select("text")).drop("text"))
-    f = F.col("_figures")
-    return figures(docs).filter(~base_failed(f) & (posterior(model, f) >= threshold)).drop("_figures").toDF(*names)
+    judged, f = written(figures(docs)), F.col("_figures")
+    return judged.filter(~base_failed(f) & (posterior(learn(judged), f) >= threshold)).drop("_figures").toDF(*names)

@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from coomat.llm import decontaminate, ngram_join, packing, pii, weak_rules
-from coomat.llm.tables import ensure_checkpoints
+from coomat.llm.tables import ensure_checkpoints, removed
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +52,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies STAGES to documents; what a stage returns is written to the shared checkpoint folder and read again."""
+    """Applies STAGES to documents; what a stage returns is written to the shared checkpoint folder and read again.
+
+    The tables of earlier stages go as soon as the next one is in place; the last one is the result and stays.
+    """
     ensure_checkpoints(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
-        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+        made = stage(spark, docs, sf_dir)
+        made.write.parquet(f"{folder}/{k}-{name}")
+        removed(spark, *before)
+        docs, before = spark.read.schema(made.schema).parquet(f"{folder}/{k}-{name}"), [f"{folder}/{k}-{name}"]
     return docs

@@ -167,11 +167,56 @@ def test_rules_reject_junk_and_keep_prose(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(80))
 
 
-def test_em_keeps_its_classes():
-    patterns = [((0,) * 8, 900), ((-1, *(0,) * 7), 60), ((0, -1, *(0,) * 6), 40)]
-    prior, ratios = weak_rules.fit(patterns)
-    assert prior > 1 and ratios[0][-1] < -2 and ratios[1][-1] < -2 and ratios[-1][1] > 0
-    assert weak_rules.fit([])[0] == 1.0
+def brute_posterior(votes, right_good, right_bad, share):
+    good = bad = 1.0
+    for v, x, y in zip(votes, right_good, right_bad, strict=True):
+        good, bad = (good * (x if v > 0 else 1 - x), bad * (y if v < 0 else 1 - y)) if v else (good, bad)
+    return good * share / (good * share + bad * (1 - share))
+
+
+def test_em_recovers_planted_accuracies():
+    rng = random.Random(31)
+    k, n, share = len(weak_rules.RULES), 40_000, 0.8
+    right_good, right_bad, speaks = ([rng.uniform(*b) for _ in range(k)] for b in ((0.75, 0.99), (0.5, 0.9), (0.5, 1.0)))
+    right_bad[3] = 0.2  # says bad of a fifth of the bad documents
+    patterns, labels = collections.Counter(), []
+    for _ in range(n):
+        y = rng.random() < share
+        v = tuple((0 if rng.random() > speaks[j] else (1 if rng.random() < right_good[j] else -1) if y else (-1 if rng.random() < right_bad[j] else 1)) for j in range(k))
+        patterns[v] += 1
+        labels.append((v, y))
+    model = weak_rules.fit(sorted(patterns.items()))
+    assert abs(1 / (1 + np.exp(-model[0])) - share) < 0.03
+    for j, (bad, good) in enumerate(model[1]):
+        assert abs(np.exp(bad) - (1 - right_good[j]) / right_bad[j]) < 0.1
+        assert abs(np.exp(good) - right_good[j] / (1 - right_bad[j])) < 0.12 * right_good[j] / (1 - right_bad[j])
+    for v in sorted(patterns)[:200]:
+        assert abs(1 / (1 + np.exp(-weak_rules.odds(model, v))) - brute_posterior(v, right_good, right_bad, share)) < 0.1
+    right = lambda decide: sum(decide(v) == y for v, y in labels) / n
+    assert right(lambda v: weak_rules.odds(model, v) >= 0) > max(0.95, right(lambda v: -1 not in v) + 0.4)
+
+
+def test_size_does_not_move_the_votes_and_a_weak_rule_is_outvoted():
+    one = lambda *at: tuple(-1 if j in at else 1 for j in range(len(weak_rules.RULES)))
+    patterns = [(one(), 9000), (one(0, 1), 500), (one(5, 6), 300), (one(2, 3), 300), (one(2), 250)]  # rule 2 alone is as often wrong
+    for times in (1, 1000):
+        model = weak_rules.fit([(v, n * times) for v, n in patterns])
+        assert [weak_rules.odds(model, v) > 0 for v, _ in patterns] == [True, False, False, False, True]
+    assert weak_rules.fit([]) == weak_rules.start()
+
+
+def test_verdicts_follow_the_posterior(spark):
+    rng = random.Random(32)
+    prose = [". ".join(words(rng, 9, 5000).capitalize() for _ in range(8)) + "." for _ in range(60)]
+    docs = documents(spark, prose + [" ".join(x + "###" for x in p.split(" ")) for p in prose[:8]])
+    figures = weak_rules.figures(docs)
+    from pyspark.sql import functions as F
+
+    votes = [tuple(r) for r in figures.select(*weak_rules.votes(F.col("_figures")).values()).collect()]
+    model = weak_rules.fit(sorted(collections.Counter(votes).items()))
+    want = [1 / (1 + np.exp(-weak_rules.odds(model, v))) for v in votes]
+    got = {r.doc_id: (r.quality, r.kept) for r in weak_rules.judge(docs).collect()}
+    assert all(abs(got[k][0] - w) < 1e-9 and got[k][1] == (w >= 0.5) for k, w in enumerate(want))
 
 
 def test_hot_texts_leave_the_other_languages_in(spark):
