@@ -8,11 +8,14 @@ has fewer words).  Two sets link when 100 * |A & B| >= 75 * |A | B|.  The steps:
 2. Each set sends the first n - ceil(0.75 n) + 1 shingles in that order (its prefix).  Two sets that link share one.
 3. Prefix shingles are dealt to buckets and meet there.  Equal sets are one node, so exact copies never pair.
    Pairs must pass the length filter and the positional filter.  Within a bucket only pairs with a leader are made
-   (a star), never all pairs.  All sets of a shingle meet in one bucket, however many they are.
+   (a star), never all pairs.  A shingle that the sketch shows to be frequent beyond its slot's share is salted by set:
+   its parts meet in buckets of their own, so no task holds a hot shingle's sets, and step 5 joins the parts.
 4. Pairs pass the suffix filter (bit sketches bound the Hamming distance of two sets from below) and are
    verified once, on the exact sets of the few documents that take part.
 5. Connected components.  A bucket whose sets are by now all in one component is done.  In the others first the
-   leaders of the components meet, then all pairs across the components that are left: no link is lost.
+   leaders of the components meet, then all pairs across the components that are left, in cells: a large group is
+   cut into parts by set, and each two parts (and each part alone) meet in a task of their own.  So every two sets of
+   a shingle meet, whatever its frequency, and no link is lost.
 
 Defined cases: a null or blank text has an empty set, links with nothing and is its own component; a null doc_id
 takes part in links but is the component id only where no document of the component has an id; repeated rows are
@@ -35,8 +38,12 @@ SKETCH_BITS = 18
 CHUNK = 1 << 12
 #: Least bits of the suffix filter's sketches; larger sets have at least two bits a shingle.
 BITS = 2048
+#: A shingle counted so often beyond its slot's share is dealt in several parts.
+SALT_OVER = 1 << 16
 #: A group goes on in rows of at most so many of the sets that it has.
-SALT_OVER = 4096
+MEMBERS = 4096
+#: At most so many sets are one part of a cell.
+CELL = 1 << 14
 #: So many leaders take turns over the shingles of a group.
 LEADERS = 3
 MEMBER = np.dtype([("fp", "<i8"), ("n", "<u4"), ("pos", "<u4")])
@@ -74,6 +81,17 @@ def sketch(texts: DataFrame, n: int) -> np.ndarray:
     return out.ravel()
 
 
+def parts_of(counts: np.ndarray) -> np.ndarray:
+    """Into how many parts the shingles of each slot are dealt.  Twice the median is what light shingles add up to."""
+    usual = 2 * int(np.median(counts)) if len(counts) else 0
+    return (1 + np.maximum(0, counts - usual) // SALT_OVER).astype(np.uint32)
+
+
+def part(tokens: np.ndarray, fps: np.ndarray, parts: np.ndarray) -> np.ndarray:
+    """The part of its shingle that a set belongs to."""
+    return K.mix(fps.astype(K.U) + K.U(3)) % parts[slot(tokens)].astype(K.U)
+
+
 def slot(tokens: np.ndarray) -> np.ndarray:
     return (tokens >> K.U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -148,7 +166,7 @@ def unpacked(block: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(ENTRY.itemsize, -1).T).view(ENTRY).ravel()
 
 
-def dealt(docs: DataFrame, counts, buckets: int, n: int, percent: int) -> DataFrame:
+def dealt(docs: DataFrame, counts, salts, buckets: int, n: int, percent: int) -> DataFrame:
     """Prefix entries of all documents as packed blocks (bucket, block); a task sends each distinct set once."""
 
     def flush(held):
@@ -158,7 +176,8 @@ def dealt(docs: DataFrame, counts, buckets: int, n: int, percent: int) -> DataFr
         e["token"] = np.concatenate(tokens) & TOKEN
         e["fp"], e["n"] = np.repeat(np.array(fps, np.int64), lens), np.repeat(np.array(ns, np.uint32), lens)
         e["pos"] = np.arange(len(e)) - np.repeat(np.cumsum(lens) - lens, lens)
-        bucket = (K.mix(e["token"]) % K.U(buckets)).astype(np.int64)
+        own = part(e["token"], e["fp"], salts.value)
+        bucket = (K.mix(e["token"] + own) % K.U(buckets)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
         e, at = e[by], np.searchsorted(bucket[by], np.arange(buckets + 1))
         full = np.flatnonzero(np.diff(at))
@@ -191,12 +210,18 @@ def possible(a, b, percent: int) -> np.ndarray:
     return (100 * np.minimum(na, nb) >= percent * np.maximum(na, nb)) & (most * (100 + percent) >= percent * (na + nb))
 
 
-def meet(blocks: DataFrame, percent: int) -> DataFrame:
+def meet(blocks: DataFrame, salts, percent: int) -> DataFrame:
     """(bucket, block) -> rows: pairs with a leader (a, b), and groups of three sets and more (a, members).
 
     A group goes by the hash of its members, a: copies share many shingles, and one of those groups does for all,
     because the filters' bounds hold at every shared shingle.  b is that shingle; large groups have several rows.
+    Of a salted shingle every part has its rows (size > 0, the members in the row); there a is the xor of their hashes.
     """
+    names = ["a", "b", "members", "size"]
+
+    def rows_of(rows):
+        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def run(batches):
         held = [unpacked(x.as_py()) for b in batches for x in b.column("block")]
@@ -206,12 +231,15 @@ def meet(blocks: DataFrame, percent: int) -> DataFrame:
             by = np.argsort(e["token"], kind="stable")
             key = e["token"][by]
             same = key[1:] == key[:-1]
-            e = e[by[np.concatenate([[False], same]) | np.concatenate([same, [False]])]]
+            salted = salts.value[slot(key)] > 1
+            e = e[by[np.concatenate([[False], same]) | np.concatenate([same, [False]]) | salted]]
         if not len(e):
             return
         lead = K.mix(e["fp"].astype(K.U) ^ K.mix((e["token"] >> K.U(16)) % K.U(LEADERS) + K.U(7)))
-        e = e[np.lexsort((lead, e["token"]))]
-        apart = e["token"][1:] != e["token"][:-1]
+        own = part(e["token"], e["fp"], salts.value)
+        by = np.lexsort((lead, own, e["token"]))
+        e, own = e[by], own[by]
+        apart = (e["token"][1:] != e["token"][:-1]) | (own[1:] != own[:-1])
         new = np.concatenate([[True], apart | (e["fp"][1:] != e["fp"][:-1])])  # a set sent by several tasks counts once
         first = np.concatenate([[True], apart])[new]
         e = e[new]
@@ -222,32 +250,46 @@ def meet(blocks: DataFrame, percent: int) -> DataFrame:
         ok = ~first & possible(a, b, percent)
         lo, hi = np.minimum(a["fp"], b["fp"])[ok], np.maximum(a["fp"], b["fp"])[ok]
         pairs = np.unique(np.stack([lo, hi], 1), axis=0) if len(lo) else np.zeros((0, 2), np.int64)
-        names, kinds = ["a", "b", "members"], (pa.int64(), pa.int64(), pa.binary())
-        at, size = at[size > 2], size[size > 2]
+        salted = salts.value[slot(e["token"][at])] > 1
         inner = K.mix(e["fp"].astype(K.U))
         sums = np.concatenate([[0], np.cumsum(inner, dtype=K.U)]).astype(K.U)
         name = K.mix(sums[at + size] - sums[at] + K.mix(size.astype(K.U)))
-        name, one = np.unique(name, return_index=True)
+        one = np.flatnonzero((size > 2) & ~salted)
+        one = one[np.unique(name[one], return_index=True)[1]]
         members = np.zeros(len(e), MEMBER)
         for x in ("fp", "n", "pos"):
             members[x] = e[x]
         for x in range(0, len(pairs), 50_000):
             p = pairs[x : x + 50_000]
             k = len(p)
-            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(k, pa.binary())], names)
+            yield pa.RecordBatch.from_arrays([pa.array(p[:, 0].copy()), pa.array(p[:, 1].copy()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64())], names)
         rows, of = [], 0
-        for x, i in zip(name.view(np.int64).tolist(), one.tolist(), strict=True):
+        for i in np.concatenate([one, np.flatnonzero(salted)]).tolist():
             start, stop, token = int(at[i]), int(at[i] + size[i]), int(e["token"][at[i]].view(np.int64))
-            for lo in range(start, stop, SALT_OVER):
-                rows.append((x, token, members[lo : min(lo + SALT_OVER, stop)].tobytes()))
-                of += min(SALT_OVER, stop - lo)
+            for lo in range(start, stop, MEMBERS):
+                hi = min(lo + MEMBERS, stop)
+                if salted[i]:
+                    rows.append((int(np.bitwise_xor.reduce(inner[lo:hi]).view(np.int64)), token, members[lo:hi].tobytes(), hi - lo))
+                else:
+                    rows.append((int(name[i].view(np.int64)), token, members[lo:hi].tobytes(), 0))
+                of += hi - lo
                 if of > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield rows_of(rows)
                     rows, of = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield rows_of(rows)
+
+    return blocks.mapInArrow(run, "a bigint, b bigint, members binary, size bigint")
+
 
-    return blocks.mapInArrow(run, "a bigint, b bigint, members binary")
+def groups_of(met: DataFrame) -> DataFrame:
+    """(a, members) of the groups, each once; the parts of a salted shingle are one group under one name."""
+    held = met.filter("size = 0")
+    plain = held.join(held.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_semi").select("a", "members")
+    salted = met.filter("size > 0")
+    whole = salted.groupBy("b").agg(F.bit_xor("a").alias("x"), F.sum("size").alias("n")).filter("n > 1")
+    named = whole.groupBy("x", "n").agg(F.min("b").alias("b")).select("b", F.xxhash64("x", "n").alias("name"))
+    return plain.union(salted.select("b", "members").join(named, "b").select("name", "members"))
 
 
 def entries_of(groups: DataFrame) -> DataFrame:
@@ -321,6 +363,21 @@ def passing(pairs: DataFrame, data: DataFrame, what: str, percent: int) -> DataF
     return compact(rows.select("*", first).repartition("a", "s").sortWithinPartitions("a", "s", "o").select("a", "s", "fp", "data").mapInArrow(run, "a bigint, b bigint").distinct())
 
 
+def in_cells(entries: DataFrame, tasks: int, data: DataFrame | None = None) -> DataFrame:
+    """The entries under tokens of their own cells, dealt by these, with the sets' ``data`` if it is given.
+
+    A group of more than CELL entries is cut into parts by set; a cell holds two parts (or one), so every two entries
+    of a group are together in some cell, and no cell has more than about two CELL entries.
+    """
+    large = entries.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / CELL).alias("_g")).filter("_g > 1")
+    spread = entries.join(large, "token", "left").withColumn("_p", F.pmod(F.xxhash64("fp", F.lit(5)), F.coalesce("_g", F.lit(1))))
+    spread = spread.withColumn("_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("_g", F.lit(1)) - 1)))
+    cell = F.when(F.col("_g").isNull(), F.col("token")).otherwise(F.xxhash64("token", F.least("_p", "_q"), F.greatest("_p", "_q")))
+    spread = compact(spread.withColumn("token", cell).drop("_g", "_p", "_q"))
+    tasks = int(max(tasks, spread.count() // 100_000))
+    return (spread if data is None else spread.join(data, "fp")).repartition(tasks, "token")
+
+
 def across(entries: DataFrame, percent: int, pairs: bool) -> DataFrame:
     """Entries (token, fp, n, pos, label[, data]) dealt by token -> all pairs across labels that pass every filter.
 
@@ -352,6 +409,12 @@ def across(entries: DataFrame, percent: int, pairs: bool) -> DataFrame:
         order = np.argsort(doc, kind="stable")
         at = np.searchsorted(doc[order], np.arange(len(names) + 1))
         found, some_pair = [], np.zeros(len(names), bool)
+
+        def made():
+            out = np.array(found, np.int64).reshape(-1, 2)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+
         for d in range(len(names)):
             near = []
             for i in order[at[d] : at[d + 1]]:
@@ -369,11 +432,12 @@ def across(entries: DataFrame, percent: int, pairs: bool) -> DataFrame:
                     for w in np.unique(width[near[x : x + 4096]]):
                         some = near[x : x + 4096][width[near[x : x + 4096]] == w]
                         found.extend((min(names[d], y), max(names[d], y)) for y in names[some[may_link(bits[d], np.stack([bits[k] for k in some]), percent)]])
+                    if len(found) > 100_000:
+                        yield made()
         if not pairs:
             yield pa.RecordBatch.from_arrays([pa.array(names[some_pair])], ["fp"])
             return
-        out = np.array(found, np.int64).reshape(-1, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(out[:, 0].copy()), pa.array(out[:, 1].copy())], ["a", "b"])
+        yield made()
 
     return entries.mapInArrow(run, "a bigint, b bigint" if pairs else "fp bigint").distinct()
 
@@ -387,16 +451,16 @@ def similar_documents(docs: DataFrame, n: int = K.SHINGLE, percent: int = 75) ->
     """
     spark = docs.sparkSession
     docs = only(docs, "doc_id", "text").withColumn("key", F.xxhash64("doc_id", "text"))
-    counts = spark.sparkContext.broadcast(sketch(docs.select("text"), n))  # 2**SKETCH_BITS numbers
+    counted = sketch(docs.select("text"), n)
+    counts, salts = (spark.sparkContext.broadcast(x) for x in (counted, parts_of(counted)))  # 2**SKETCH_BITS numbers
     sets = settled(doc_sets(docs, n))
     ids = settled(sets.groupBy("fp").agg(F.min("doc_id").alias("low"), F.min("key").alias("key"), F.first("bits").alias("data")))
     entries = (sets.agg(F.sum("n").alias("s")).first().s or 0) * (100 - percent) // 100
     tasks = int(max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // (1 << 20)))
-    blocks = dealt(docs, counts, 8 * tasks, n, percent).repartition(tasks, "bucket")
-    met = settled(meet(blocks, percent))
+    blocks = dealt(docs, counts, salts, 8 * tasks, n, percent).repartition(tasks, "bucket")
+    met = settled(meet(blocks, salts, percent))
     pairs = compact(met.filter("members is null").select("a", "b").distinct())
-    held = met.filter("members is not null")
-    groups = compact(entries_of(held.join(held.groupBy("a").agg(F.min("b").alias("b")), ["a", "b"], "left_semi").select("a", "members")))
+    groups = compact(entries_of(groups_of(met)))
 
     def check(new: DataFrame) -> DataFrame:
         """The pairs that link; only texts that pass the suffix filter are cut into sets again."""
@@ -417,8 +481,8 @@ def similar_documents(docs: DataFrame, n: int = K.SHINGLE, percent: int = 75) ->
         if now.isEmpty():
             break
         if way == "all":
-            some = compact(across(now.repartition(tasks, "token"), percent, False))
-            new = across(now.join(some, "fp", "left_semi").join(ids.select("fp", "data"), "fp").repartition(tasks, "token"), percent, True)
+            some = compact(across(in_cells(now, tasks), percent, False))
+            new = across(in_cells(now.join(some, "fp", "left_semi"), tasks, ids.select("fp", "data")), percent, True)
         else:
             first = F.struct((-F.col("share")).alias("o"), "fp")
             heads = now.join(central, "fp").groupBy("token", "label").agg(F.min(F.struct(first.alias("o"), "fp", "n", "pos", "label")).alias("h"))

@@ -94,16 +94,18 @@ def test_join_equals_brute_force(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == {i: (len(s), c) for i, (s, c) in enumerate(zip(sets, roots, strict=True))}
 
 
-def test_join_with_salted_groups(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SALT_OVER", 5)
-    texts = corpus(4)
+@pytest.mark.parametrize(("salt_over", "seed"), [(1, 4), (2, 14), (5, 24)])
+def test_join_with_salted_groups(spark, monkeypatch, salt_over, seed):
+    monkeypatch.setattr(ngram_join, "SALT_OVER", salt_over)
+    monkeypatch.setattr(ngram_join, "MEMBERS", 3)
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    texts = corpus(seed)
     _, roots = brute_components(texts)
     assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(documents(spark, texts)).collect()} == dict(enumerate(roots))
 
 
-def test_pairs_of_frequent_slots_are_found(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "SALT_OVER", 5)
-    monkeypatch.setattr(ngram_join, "sketch", lambda texts, n: np.full(1 << ngram_join.SKETCH_BITS, 18_000))  # as at 30 GB
+def test_pairs_of_salted_shingles_are_found(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "parts_of", lambda counts: np.full(len(counts), 5, np.uint32))
     rng = random.Random(21)
     texts = []
     for _ in range(40):
@@ -113,6 +115,27 @@ def test_pairs_of_frequent_slots_are_found(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in rows} == {k: k - k % 2 for k in range(len(texts))}
 
 
+def test_parts_of_shingles():
+    counts = np.full(1 << ngram_join.SKETCH_BITS, 18_000)
+    counts[[3, 4]] = 36_000 + 10 * ngram_join.SALT_OVER, 36_000
+    parts = ngram_join.parts_of(counts)
+    assert parts[3] == 11 and parts[4] == 1 and parts.sum() == len(parts) + 10
+
+
+def test_links_through_dissimilar_sets_of_a_hot_shingle(spark, monkeypatch):
+    """Many sets share a passage that is most of each, but few of them link."""
+    monkeypatch.setattr(ngram_join, "SALT_OVER", 3)
+    monkeypatch.setattr(ngram_join, "CELL", 5)
+    rng = random.Random(41)
+    passage = words(rng, 24, 9000)
+    texts = []
+    for k in range(60):
+        own = words(rng, 5 + k % 9, 9000)
+        texts.append(f"{passage} {own}" if k % 3 else f"{own} {passage}")
+    _, roots = brute_components(texts)
+    assert {r.doc_id: r.component_id for r in ngram_join.similar_documents(documents(spark, texts)).collect()} == dict(enumerate(roots))
+
+
 def test_near_copies_of_heavily_copied_texts(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SALT_OVER", 2)
     rng = random.Random(22)
@@ -135,6 +158,8 @@ def test_one_of_each(spark):
     kept = ngram_join.one_of_each(odd_columns(documents(spark, texts)))
     assert sorted(r.doc_id for r in kept.collect()) == sorted(set(roots))
     again = documents(spark, ["a b c d e f"] * 4 + [""] * 3, [None, 7, 7, 3, None, None, 5])
+    found = ngram_join.similar_documents(documents(spark, ["a b c d e f"] * 2 + ["", "x y"], [None, None, None, None])).collect()
+    assert len(found) == 4 and {r.component_id for r in found} == {None} and len({r.group for r in found if r.n_shingles == 2}) == 1
     assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in ngram_join.one_of_each(again).collect()) == [(False, 3, "a b c d e f"), (False, 5, ""), (True, 0, ""), (True, 0, "")]
 
 
