@@ -435,9 +435,100 @@ PAGE = '<html><head><title>t</title><style>p{}</style></head><body><header>H</he
 
 
 def test_html_blocks():
-    assert [t for _, t, _ in html_text.blocks(PAGE)[0]] == ["T & U", "one two three four", "five six"]
-    for page, want in ((None, []), ("", []), ("a &lt; b", ["a < b"]), ("<p>x<p", ["x"]), ("<!-- <p>no</p> --><p>y", ["y"]), ("<div>" * 3000 + "deep", ["deep"]), ("<li>a<li>b", ["a", "b"])):
-        assert [t for _, t, _ in html_text.blocks(page)[0]] == want
+    texts = lambda page: [t for _, t in html_text.blocks(page)[0]]
+    assert texts(PAGE) == ["n", "T & U", "one two three four", "five six", "c"]
+    cases = ((None, []), ("", []), ("a &lt; b", ["a < b"]), ("<p>x<p", ["x"]), ("<!-- <p>no</p> --><p>y", ["y"]), ("<div>" * 3000 + "deep", ["deep"]), ("<li>a<li>b", ["a", "b"]))
+    for page, want in (*cases, ("<p>a<select><p>b<video><p>c<button>d", ["a", "b", "cd"]), ("<p>a<script>b<p>c", ["a"]), ('<div class="w-1/2 md:p">a</div>', ["a"]), ("<p>" + "long " * 200_000, [("long " * 200_000).strip()])):
+        assert texts(page) == want
+
+
+def brute_importances(pages):
+    """The style tree of one host, counted page by page; pages are (blocks, layouts)."""
+    seen, contents, layouts = {}, collections.defaultdict(list), collections.defaultdict(list)
+    for found, own in {tuple(t for _, t in p[0]): p for p in pages}.values():
+        for node, value in {(n, t) for n, t in found}:
+            seen[node.key] = node
+            contents[node.key].append(value)
+        for node, value in set(own):
+            seen[node.key] = node
+            layouts[node.key].append(value)
+    scale = np.log(len({tuple(t for _, t in p[0]) for p in pages}) + html_text.PAGES)
+    mains = {k for k, n in seen.items() if html_text.is_main(n.name)}
+
+    def below(k):
+        return [c for c, n in seen.items() if n.parent == k and c != k]
+
+    def holds(k):
+        return any(c in mains or holds(c) for c in below(k))
+
+    def size(k):
+        return sum(map(len, contents[k])) + sum(map(size, below(k)))
+
+    def use(k):
+        return max(len(contents[k]), len(layouts[k]))
+
+    def own(k):  # importance, and the highest in the branch
+        parts = []
+        if contents[k]:
+            counts = collections.Counter(contents[k]).values()
+            parts.append(max(0.0, 1 - sum(np.log(x) for x in counts) / len(counts) / scale))
+        inner = [(own(c), use(c)) for c in below(k)]
+        if inner:
+            counts = collections.Counter(layouts[k]).values()
+            entropy = min(1.0, -sum(x / sum(counts) * np.log(x / sum(counts)) for x in counts) / scale)
+            share = html_text.GAMMA ** (len(counts) - 1)
+            parts.append((1 - share) * entropy + share * sum(x[0] * u for x, u in inner) / sum(u for _, u in inner))
+        a = max(parts)
+        b = max([a, *(x[1] for x, _ in inner)])
+        if k == 0 or k in mains or holds(k):
+            return a, 1.0
+        if html_text.headed(seen[k].name, seen[k].inside) and (mains or size(k) < html_text.BODY_SHARE * size(0)):
+            return a * html_text.NAMED, b * html_text.NAMED
+        return a, b
+
+    return {k: own(k)[1] for k in seen}
+
+
+def test_style_tree_equals_brute_force(spark):
+    rng = random.Random(51)
+    some = [words(rng, 12, 5000) for _ in range(30)]
+    pages = []
+    for k in range(40):
+        host = ("a.org", "b.org", "c.org")[k % 3]
+        text = rng.choice(some[: 4 + k % 9])
+        extra = "".join(f'<div class="{rng.choice(("x", "ad", "box note", "share-price"))}"><p>{rng.choice(some)}</p></div>' for _ in range(rng.randrange(4)))
+        body = f"<article><h1>{rng.choice(some)}</h1><p>{text}</p>{extra}</article>" if host == "a.org" else f"<div><p>{text}</p>{'<p>more</p>' * rng.randrange(3)}</div>{extra}"
+        pages.append((k, f"http://{host}/{k}", f"<body><div class=top>welcome</div>{body}</body>"))
+    got = {(r.host, r.key) for r in html_text.weak_branches(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    want = set()
+    for host in ("a.org", "b.org", "c.org"):
+        own = [html_text.blocks(h) for _, u, h in pages if host in u]
+        nodes = {n.key: n for p in own for n, _ in (*p[0], *p[1])}
+        most = brute_importances(own)
+        want |= {(host, k) for k, x in most.items() if x < html_text.THRESHOLD <= most.get(nodes[k].parent, 1.0)}
+    assert got == want and want
+
+
+def test_names_are_a_prior_that_articles_and_bodies_outweigh(spark):
+    rng = random.Random(52)
+    own = [words(rng, 30, 5000) for _ in range(12)]
+    html = (
+        '<div class="content-with-sidebar"><article><p>{}</p><div class="share-price"><p>up</p></div></article></div>', '<div class="page-header-fixed"><article><p>{}</p></article></div>',
+        '<body class="sidebar"><div class="ad"><p>buy {}</p></div><article><p>{}</p><div id="user-comments"><p>nice</p></div></article>', '<div class="post-comments"><p>{}</p></div>', "<p>{}</p><button><p>end",
+        '<main><div class="related-posts"><p>{}</p></div></main>',
+    )
+    pages = [(k, f"http://h{k}.org/", h.format(*[own[k]] * h.count("{}"))) for k, h in enumerate(html)]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(pages, "page_id bigint, url string, html string")).collect()}
+    assert out == {0: f"{own[0]}\nup", 1: own[1], 2: own[2], 3: own[3], 4: f"{own[4]}\nend", 5: own[5]}
+
+
+def test_many_weak_branches_are_joined_by_host(spark, monkeypatch):
+    rng = random.Random(53)
+    own = [words(rng, 30, 5000) for _ in range(20)]
+    pages = spark.createDataFrame([(k, f"http://H{k % 4}.org?{k}", f'<div class="ad">buy {k}</div><article><p>{t}</p></article>') for k, t in enumerate(own)], "page_id bigint, url string, html string")
+    want = {r.page_id: r.text for r in html_text.extract(pages).collect()}
+    monkeypatch.setattr(html_text, "MOST_BROADCAST", 1)
+    assert want == {r.page_id: r.text for r in html_text.extract(pages).collect()} == dict(enumerate(own))
 
 
 def test_style_tree_removes_what_a_site_repeats(spark):
