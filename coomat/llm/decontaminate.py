@@ -6,12 +6,16 @@ a sorted array; every training position looks its hash up there (first in a bit
 fixes an alignment of a document with an item; around it, tokens are compared along the whole item, and the document
 overlaps the item if some window of WINDOW tokens (the item itself, if shorter) agrees in at least 80 of 100 tokens.
 
-The test side is cut into blocks of at most BLOCK_BYTES of text; each block goes through the training side in turn,
-so broadcasts are bounded however large the benchmark is.  The training side is never shuffled.
+The test side is cut into blocks of at most BLOCK_BYTES of text; each block goes through the training side in turn.
+A block's arrays take some 13 bytes for each byte of its text (16 for each token and mask), so broadcasts are bounded
+however large the benchmark is.  The training side is never shuffled.  Seeds that many items share are looked up in
+pieces of at most HITS alignments, so a common line can't fill a task's memory.
 
-Defined cases: null and empty texts overlap nothing; items under 5 tokens identify nothing and are left out; of test
-items with equal tokens the smallest id stands for all; repeated documents get equal results; an empty benchmark
-leaves every document clean; other columns pass through unread.
+Items under WHOLE tokens identify nothing inside a text; a document overlaps one only if it is that item.
+
+Defined cases: null and empty texts overlap nothing, and null and empty items nothing either; every one of several test
+items with equal tokens is reported; repeated documents get equal results; an empty benchmark leaves every document
+clean; other columns pass through unread.
 """
 
 from __future__ import annotations
@@ -34,7 +38,10 @@ SHORT_MASKS = ("1111", "10111", "11011", "11101")
 SHORT = 8
 WINDOW = 13
 PERCENT = 80
-BLOCK_BYTES = 16 << 20
+#: Items of fewer tokens match whole documents only.
+WHOLE = 5
+BLOCK_BYTES = 8 << 20
+HITS = 1 << 20
 TABLE_BITS = 20
 
 
@@ -68,19 +75,22 @@ def spaced(words: np.ndarray, bounds: np.ndarray, mask: str) -> tuple[np.ndarray
 
 
 class Items:
-    """The hashes of one block of test items."""
+    """The hashes of one block of test items; items with equal tokens are one here, with several ids."""
 
     def __init__(self, rows: list[tuple]):
-        seen: dict[bytes, tuple] = {}
+        seen: dict[bytes, tuple[list, np.ndarray]] = {}
         if rows:
             rows = sorted(rows, key=lambda r: (r[0] is None, r[0]))
             for lo, words, bounds in tokens(pa.array([r[1] for r in rows], pa.string())):
                 for i in range(len(bounds) - 1):
                     own = words[bounds[i] : bounds[i + 1]]
-                    if len(own) >= 5:
-                        seen.setdefault(own.tobytes(), (rows[lo + i][0], own))
-        self.ids = [x for x, _ in seen.values()]
-        self.words = [x for _, x in seen.values()]
+                    if len(own):
+                        seen.setdefault(own.tobytes(), ([], own))[0].append(rows[lo + i][0])
+        self.ids = [x for x, own in seen.values() if len(own) >= WHOLE]
+        self.words = [own for _, own in seen.values() if len(own) >= WHOLE]
+        tiny = [(key, x) for key, (x, own) in seen.items() if len(own) < WHOLE]
+        self.whole = {key: len(self.ids) + k for k, (key, _) in enumerate(tiny)}
+        self.ids += [x for _, x in tiny]
         flat = np.concatenate(self.words) if self.words else np.zeros(0, K.U)
         bounds = np.concatenate([[0], np.cumsum([len(x) for x in self.words])]).astype(np.int64)
         of = np.repeat(np.arange(len(self.words)), np.diff(bounds))
@@ -95,38 +105,56 @@ class Items:
             at, hashes = at[by], hashes[by]
             table = np.zeros(1 << TABLE_BITS, bool)
             table[(hashes >> K.U(64 - TABLE_BITS)).astype(np.int64)] = True
-            self.masks.append((mask, hashes, of[at], at - bounds[of[at]] if len(at) else at, table))
-
-    def overlaps(self, column: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, first token, tokens that agree, tokens of the window), the best window for each row and item."""
+            self.masks.append((mask, hashes, of[at].astype(np.int32), (at - bounds[of[at]]).astype(np.int32), table))
+
+    def alignments(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
+        """Pieces of (item, where its first token would lie), each once a piece."""
+        for mask, hashes, item, place, table in self.masks:
+            at, own = spaced(words, bounds, mask)
+            hit = np.flatnonzero(table[(own >> K.U(64 - TABLE_BITS)).astype(np.int64)])
+            at, own = at[hit], own[hit]
+            left = np.searchsorted(hashes, own)
+            n = np.searchsorted(hashes, own, "right") - left
+            ends = np.cumsum(n)
+            for lo in range(0, int(n.sum()), HITS):  # the lo-th alignment to the next
+                k = np.arange(lo, min(lo + HITS, int(ends[-1])))
+                of = np.searchsorted(ends, k, "right")
+                which = left[of] + k - (ends[of] - n[of])
+                yield np.unique(np.stack([item[which].astype(np.int64), at[of] - place[which]]), axis=1)
+
+    def overlaps(self, column: pa.Array, any_item: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
+        """(row, item, first token, tokens that agree, tokens of the window), the best window for each row and item.
+
+        With ``any_item`` a row is done with its first item.
+        """
         for lo, words, bounds in tokens(column):
-            found = []
-            for mask, hashes, item, place, table in self.masks:
-                at, own = spaced(words, bounds, mask)
-                hit = np.flatnonzero(table[(own >> K.U(64 - TABLE_BITS)).astype(np.int64)])
-                at, own = at[hit], own[hit]
-                left, right = np.searchsorted(hashes, own), np.searchsorted(hashes, own, "right")
-                n = right - left
-                which = np.repeat(left + n - np.cumsum(n), n) + np.arange(n.sum())
-                found.append(np.stack([item[which], np.repeat(at, n) - place[which]]))
-            lines = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            # the start of the alignment may lie before its document: the hit's document is that of the overlap's end
-            for i, d in lines.T.tolist():
-                other = self.words[i]
-                width = min(WINDOW, len(other))
-                for doc in range(int(np.searchsorted(bounds, max(d, 0), "right")) - 1, int(np.searchsorted(bounds, d + len(other) - 1, "right"))):
-                    if doc + 1 >= len(bounds):
-                        break
-                    s, e = max(d, int(bounds[doc])), min(d + len(other), int(bounds[doc + 1]))
-                    if e - s < width:
-                        continue
-                    same = np.concatenate([[0], np.cumsum(words[s:e] == other[s - d : e - d])])
-                    most = same[width:] - same[:-width]
-                    k = int(most.argmax())
-                    if 100 * most[k] >= PERCENT * width:
-                        key, new = (lo + doc, i), (int(most[k]), -(s + k - int(bounds[doc])), width)
-                        best[key] = max(best.get(key, new), new)
+            done: set[int] = set()
+            if self.whole:
+                for doc in np.flatnonzero((np.diff(bounds) < WHOLE) & (np.diff(bounds) > 0)).tolist():
+                    i = self.whole.get(words[bounds[doc] : bounds[doc + 1]].tobytes())
+                    if i is not None:
+                        size = int(bounds[doc + 1] - bounds[doc])
+                        best[lo + doc, i] = (size, 0, size)
+            for lines in self.alignments(words, bounds):
+                # an alignment may start before its document or end behind it, and then touches several
+                item, d = lines
+                stops = d + np.array([len(x) for x in self.words])[item]
+                docs = np.stack([np.searchsorted(bounds, np.maximum(d, 0), "right") - 1, np.searchsorted(bounds, stops - 1, "right")])
+                for i, start, stop, a, z in zip(item.tolist(), d.tolist(), stops.tolist(), *docs.tolist(), strict=True):
+                    other = self.words[i]
+                    width = min(WINDOW, len(other))
+                    for doc in range(a, min(z, len(bounds) - 1)):
+                        s, e = max(start, int(bounds[doc])), min(stop, int(bounds[doc + 1]))
+                        if e - s < width or any_item and doc in done:
+                            continue
+                        same = np.concatenate([[0], np.cumsum(words[s:e] == other[s - start : e - start])])
+                        most = same[width:] - same[:-width]
+                        k = int(most.argmax())
+                        if 100 * most[k] >= PERCENT * width:
+                            key, new = (lo + doc, i), (int(most[k]), -(s + k - int(bounds[doc])), width)
+                            best[key] = max(best.get(key, new), new)
+                            done.add(doc)
             for (row, i), (agree, start, width) in sorted(best.items()):
                 yield row, i, -start, agree, width
 
@@ -150,9 +178,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             items = shared.value
             for b in batches:
-                found = list(items.overlaps(b.column("text")))
+                found = [(x[0], i, *x[2:]) for x in items.overlaps(b.column("text")) for i in items.ids[x[1]]]
                 at = pa.array([x[0] for x in found], pa.int64())
-                ids = pa.array([items.ids[x[1]] for x in found])
+                ids = pa.array([x[1] for x in found])
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").take(at), ids.cast(pa.int64()) if pa.types.is_null(ids.type) else ids, *(pa.array([x[k] for x in found], t) for k, t in ((2, pa.int64()), (3, pa.int32()), (4, pa.int32())))], ["doc_id", "item_id", "start", "agree", "width"])
 
         part = docs.select("doc_id", "text").mapInArrow(run, schema)
@@ -169,7 +197,7 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches, shared=shared):
             for b in batches:
                 keep = np.ones(b.num_rows, bool)
-                keep[[x[0] for x in shared.value.overlaps(b.column(b.schema.get_field_index("text")))]] = False
+                keep[[x[0] for x in shared.value.overlaps(b.column(b.schema.get_field_index("text")), any_item=True)]] = False
                 yield b.filter(pa.array(keep))
 
         docs = docs.mapInArrow(run, docs.schema)
