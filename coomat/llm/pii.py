@@ -1,7 +1,7 @@
 """Operator 6: personal data, and terms that give protected entities away.
 
 Protected entities are found by fixed patterns (email, ip, card, phone) and, besides, secrets: quoted long random
-values that are assigned to a name.  Around each entity the words within REACH words are its terms.  Over the whole
+values that are assigned to a name.  Around each entity the REACH words on each side, of any length, are its terms.  Over the whole
 corpus it is counted how often a term stands near an entity e and in how many documents it stands at all.  Knowing the
 term t discloses of e
 
@@ -14,7 +14,8 @@ copies of one passage are one context, which shows the passage, not an associati
 
 All counts are grouped sums over all documents, equal texts once.  Term counts are made only for terms that stand near
 an entity often enough and aren't already in too many documents with entities for the ratio: a filter of fixed size
-picks them while texts are read.
+picks them while texts are read, and an exact join decides.  With more than some 2**20 such terms the filter lets others
+pass too; then more (term, text) pairs are shuffled, at worst those of all words, and the counts stay exact.
 
 Defined cases: a null text has no spans; a null doc_id is carried; repeated rows get equal spans and count once;
 offsets are in code points, ends exclusive; spans of one kind never overlap, and terms never lie in another span;
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -50,7 +52,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SECRET = re.compile(r"\b[A-Za-z_][A-Za-z0-9_-]*\s?[=:]\s?([\"'])([A-Za-z0-9+/_-]{20,}={0,2})\1")
 _DIGIT = re.compile(r"[0-9]")
-_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]{3,}")
+_WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
 
 def luhn(digits: str) -> bool:
@@ -127,15 +129,24 @@ def term_hashes(words: list[str]) -> np.ndarray:
     return K.word_hashes(data, offs[:-1], offs[1:], value).view(np.int64) if len(words) else np.zeros(0, np.int64)
 
 
+def words_before(text: str, end: int) -> list[re.Match]:
+    """The last REACH words before a place; the stretch that is searched doubles until it has them all."""
+    size = 64 * REACH
+    while True:
+        lo = max(0, end - size)
+        found = [m for m in _WORD.finditer(text, lo, end) if lo == 0 or m.start() > lo]
+        if lo == 0 or len(found) >= REACH:
+            return found[-REACH:]
+        size *= 4
+
+
 def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[str, int]]]]:
     """For each span its entity and the words within REACH words, none of them inside a span, with their contexts."""
     covered = sorted((s, e) for _, s, e in spans)
     out = []
     for span in spans:
         _, start, end = span
-        lo, hi = max(0, start - REACH * 40), min(len(text), end + REACH * 40)
-        before = [m for m in _WORD.finditer(text, lo, start) if lo == 0 or m.start() > lo][-REACH:]
-        after = [m for m in _WORD.finditer(text, end, hi) if hi == len(text) or m.end() < hi][:REACH]
+        before, after = words_before(text, start), list(islice(_WORD.finditer(text, end), REACH))
         before, after = ([m[0] for m in side if not any(s < m.end() and m.start() < e for s, e in covered)] for side in (before[::-1], after))
         low = [[w.lower() for w in side] for side in (before, after)]
         runs = {(i, j): _hash(*low[0][:i], "", *low[1][:j]) for i, j in {(NEAR, NEAR), *((i, NEAR) for i in range(NEAR, len(before) + 1)), *((NEAR, j) for j in range(NEAR, len(after) + 1))}}
@@ -153,6 +164,16 @@ def term_spans(text: str, spans: list[tuple[int, int, int]], terms: set[int]) ->
     return [(5, *m.span()) for m in hit if not any(s < m.end() and m.start() < e for s, e in covered)]
 
 
+def term_filter(terms: DataFrame) -> np.ndarray:
+    """Flags of a fixed number of slots (2**24 at most): whether any term falls there, by its low bits."""
+    bits = filter_bits(terms.count())
+    at = F.pmod("term", F.lit(bits))
+    rows = terms.groupBy((at / 32).cast("bigint").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (at % 32).cast("int"))).alias("bits"))
+    rows, table = rows.toArrow(), np.zeros((bits // 32, 32), bool)  # bits / 32 rows of two numbers at most
+    table[rows["at"].to_numpy()] = rows["bits"].to_numpy()[:, None] >> np.arange(32) & 1
+    return table.ravel()
+
+
 def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFrame, DataFrame]:
     """(entity, term, ratio) of terms that disclose an entity, and (doc, entity) of the texts, by hash, that hold entities."""
     spark = docs.sparkSession
@@ -182,10 +203,7 @@ def disclosing(docs: DataFrame, disclosure: float = DISCLOSURE) -> tuple[DataFra
     both = together.filter(F.col("term").isNotNull() & (F.col("n") >= SUPPORT) & (F.col("contexts") >= SUPPORT)).join(of_entity, "entity")
     both = settled(both.join(near_any, "term").filter(F.col("n_near") <= most).select("entity", "term", "n", "n_entity"))
     wanted = settled(both.select("term").distinct())
-    bits = filter_bits(wanted.count())
-    table = np.zeros(bits, bool)
-    table[[r["at"] for r in wanted.select(F.pmod("term", F.lit(bits)).alias("at")).distinct().collect()]] = True  # bits rows at most
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(term_filter(wanted))
 
     def count(batches):
         sep, value = K.byte_table(letters_only=True)

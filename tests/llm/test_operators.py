@@ -294,6 +294,66 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(documents(spark, items), bench).collect()} == {(k, k) for k in range(9)}
 
 
+def brute_overlaps(texts, items):
+    """All alignments of all documents with all items, token by token."""
+    cut = lambda t: re.findall(r"[0-9a-z\x80-\U0010ffff]+", (t or "").lower())
+    out = set()
+    for d, text in enumerate(texts):
+        t = cut(text)
+        for i, item in enumerate(items):
+            own = cut(item)
+            width = min(decontaminate.WINDOW, len(own))
+            if len(own) < decontaminate.WHOLE:
+                if own and own == t:
+                    out.add((d, i, len(own), len(own)))
+                continue
+            best = 0
+            for start in range(width - len(own), len(t)):
+                s, e = max(start, 0), min(start + len(own), len(t))
+                same = [t[k] == own[k - start] for k in range(s, e)]
+                best = max([best, *(sum(same[k : k + width]) for k in range(len(same) - width + 1))])
+            if 100 * best >= decontaminate.PERCENT * width:
+                out.add((d, i, best, width))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "HITS", 3)
+    rng = random.Random(61)
+    shared = words(rng, 15, 9000)
+    items = [words(rng, n, 9000) for n in (1, 3, 4, 5, 6, 7, 8, 9, 12, 13, 14, 30)] + [f"{shared} {words(rng, 4, 9000)}" for _ in range(4)] + [None, ""]
+    items += [items[9].upper(), items[1]]
+    texts = [None, "", items[0], f"{items[0]} more", items[1], items[2] + ".", shared, f"{words(rng, 9)} {shared}\n" * 30, "w1 " * 100_000]
+    for _ in range(90):
+        own = rng.choice(items[3:16]).split(" ")
+        lo = rng.randrange(len(own) // 2)
+        own = own[lo : lo + rng.randrange(4, 31)]
+        for _ in range(rng.randrange(5)):
+            own[rng.randrange(len(own))] = "zz"
+        texts.append(" ".join([words(rng, rng.randrange(6)), *own, words(rng, rng.randrange(6))]))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    docs = documents(spark, texts + texts[9:12])
+    want = brute_overlaps(texts + texts[9:12], items)
+    got = {(r.doc_id, r.item_id, r.agree, r.width) for r in decontaminate.overlaps(docs, bench).collect()}
+    # spaced seeds see every overlap of items up to WINDOW tokens; in longer ones a sparse window may hide
+    assert got <= want and {x for x in want if x[3] < decontaminate.WINDOW or x[2] >= 11} <= got and {(x[0], x[1]) for x in want} == {(x[0], x[1]) for x in got}
+    left = {r.doc_id for r in decontaminate.clean_documents(docs, bench).collect()}
+    assert left == set(range(len(texts) + 3)) - {x[0] for x in want}
+
+
+@pytest.mark.parametrize("width", range(5, 14))
+def test_every_allowed_substitution_is_seen(width):
+    from itertools import combinations
+
+    import pyarrow as pa
+
+    item = [f"t{k}" for k in range(width)]
+    items = decontaminate.Items([(1, " ".join(item))])
+    most = width - -(-decontaminate.PERCENT * width // 100)
+    texts = [" ".join("zz" if k in gone else x for k, x in enumerate(item)) for n in range(most + 1) for gone in combinations(range(width), n)]
+    assert [x[0] for x in items.overlaps(pa.array(texts))] == list(range(len(texts)))
+
+
 def brute_base(text):
     out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
     out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text) if all(int(x) <= 255 for x in m[0].split("."))]
@@ -332,6 +392,65 @@ def test_disclosing_terms_go_and_copies_prove_nothing(spark):
     assert all("fox jumps over [EMAIL] with" in clean[k].text for k in range(6, 12)) and all(clean[k].text == plain[k - 12] for k in range(12, 72))
 
 
+def brute_terms(texts, disclosure):
+    """(entity, term, ratio) by plain counting over different texts; entities and contexts by their strings."""
+    texts = sorted({t for t in texts if t is not None})
+    word = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
+    docs_of, near, stands = collections.defaultdict(set), collections.defaultdict(set), collections.defaultdict(set)
+    for d, text in enumerate(texts):
+        for w in word.findall(text):
+            stands[w.lower()].add(d)
+        spans = sorted((s, e) for _, s, e in brute_base(text))
+        for s, e in spans:
+            docs_of[text[s:e].lower()].add(d)
+            keep = lambda m: not any(x < m.end() and m.start() < y for x, y in spans)  # noqa: E731, B023
+            before = [m[0].lower() for m in reversed([m for m in word.finditer(text, 0, s)][-pii.REACH :]) if keep(m)]
+            after = [m[0].lower() for m in [m for m in word.finditer(text, e)][: pii.REACH] if keep(m)]
+            for i, w in enumerate(before, 1):
+                near[text[s:e].lower(), w].add((d, tuple(before[: max(i, pii.NEAR)]), tuple(after[: pii.NEAR])))
+            for i, w in enumerate(after, 1):
+                near[text[s:e].lower(), w].add((d, tuple(before[: pii.NEAR]), tuple(after[: max(i, pii.NEAR)])))
+    out = {}
+    for (e, w), rows in near.items():
+        n = len({r[0] for r in rows})
+        if n >= pii.SUPPORT and len({r[1:] for r in rows}) >= pii.SUPPORT and len(docs_of[e]) < len(texts):
+            ratio = np.log(n * len(texts) / (len(docs_of[e]) * len(stands[w]))) / np.log(len(texts) / len(docs_of[e]))
+            if ratio >= disclosure:
+                out[e, w] = ratio
+    return out
+
+
+def test_disclosure_equals_brute_force(spark):
+    rng = random.Random(71)
+    some = lambda n, v=40: words(rng, n, v)
+    texts = [None, "", "x" * 30_000 + " who a@b.org " + "y" * 30_000]
+    for k in range(140):
+        e = rng.choice(["ann@example.org", "Bob@Example.org", "10.0.0.7"])
+        tell = {"a": "Zoë Li", "B": "Dr Q7", "1": "rack"}[e[0]] if rng.random() < 0.7 else some(1)
+        texts.append(f"{some(6)} {tell}, {some(rng.randrange(9))} {e} {some(3)} {tell} {some(6)}" if k % 2 else some(30, 400))
+    texts += texts[5:30]
+    found, _ = pii.disclosing(documents(spark, texts).select("doc_id", "text"), 0.6)
+    want = brute_terms(texts, 0.6)
+    kind = lambda e: "email" if "@" in e else "ip"
+    named = {(pii._hash(kind(e), e), int(pii.term_hashes([w])[0])): x for (e, w), x in want.items()}
+    got = {(r.entity, r.term): r.ratio for r in found.collect()}
+    assert set(got) == set(named) and all(abs(got[k] - named[k]) < 1e-9 for k in got) and len({w for _, w in want}) >= 4
+    for r in pii.find(documents(spark, texts), 0.6).collect():
+        text = texts[r.doc_id] or ""
+        base = [(s, e) for _, s, e in brute_base(text)]
+        mine = {w for e, w in want if any(text[s:z].lower() == e for s, z in base)}
+        spans = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text) if m[0].lower() in mine and not any(x < m.end() and m.start() < y for x, y in base)]
+        assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")] == spans and r.n_term == len(spans)
+
+
+def test_term_filter(spark):
+    terms = spark.range(3000).selectExpr("xxhash64(id) as term")
+    table = pii.term_filter(terms)
+    want = np.zeros(len(table), bool)
+    want[[r.term % len(table) for r in terms.collect()]] = True
+    assert (table == want).all()
+
+
 def test_many_terms_and_part_time_terms_go(spark):
     rng = random.Random(23)
     some = lambda n: words(rng, n, 5000)
