@@ -12,13 +12,18 @@ other, so any size works with bounded memory.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and no rule; its verdict is allow.
 Repeated urls get equal verdicts; other columns are not read; an empty table gives an empty one; of two entries with
-the same string the later wins.
+the same string the later wins (in lists; tables have no order, so there the block wins).
+
+Lists of any size come as tables: ``judge_urls(pages, blocklist=spark.read.parquet(path))`` with columns host, path and
+verdict; nulls count as "", "" and block.  They are streamed to the index files partition by partition.
 """
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 from collections.abc import Iterable
 
@@ -27,6 +32,7 @@ import pyarrow as pa
 import xxhash
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from coomat.llm.tables import only
 
@@ -131,12 +137,24 @@ class Index:
         return best
 
 
-def publish(spark: SparkSession, entries: Iterable[tuple[str, str, str]]) -> list[str]:
-    """Writes index files of at most about MOST_BYTES and hands them to all executors; their names by SparkFiles."""
+def entries_of(entries: Iterable[tuple[str, str, str]] | DataFrame) -> Iterable[tuple[str, str, str]]:
+    """Entries of a list, or of a table (host, path, verdict) in a fixed order, one partition at a time."""
+    if not isinstance(entries, DataFrame):
+        return entries
+    rows = only(entries, "host", "path", "verdict").select(F.translate(F.coalesce("host", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.coalesce("path", F.lit("")), F.coalesce("verdict", F.lit("block")))
+    return (tuple(r) for r in rows.toDF("host", "path", "verdict").distinct().orderBy("host", "path", "verdict").toLocalIterator())
+
+
+def publish(spark: SparkSession, entries: Iterable[tuple[str, str, str]] | DataFrame) -> list[str]:
+    """Writes index files of at most about MOST_BYTES and hands them to all executors; their names by SparkFiles.
+
+    Spark serves the files from the driver's folder, which goes when the driver ends.
+    """
     names, part, size = [], [], 0
 
     def flush():
         folder = tempfile.mkdtemp()
+        atexit.register(shutil.rmtree, folder, True)
         path = os.path.join(folder, "index")
         write_index(part, path)
         with open(path, "rb") as f:
@@ -146,7 +164,7 @@ def publish(spark: SparkSession, entries: Iterable[tuple[str, str, str]]) -> lis
             spark.sparkContext.addFile(os.path.join(folder, name))
         names.append(name)
 
-    for e in entries:
+    for e in entries_of(entries):
         part.append(e)
         size += 64 + 2 * (len(e[0]) + len(e[1]))
         if size > MOST_BYTES:
@@ -157,7 +175,7 @@ def publish(spark: SparkSession, entries: Iterable[tuple[str, str, str]]) -> lis
     return names
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, blocklist: Iterable[tuple[str, str, str]] = BLOCKLIST, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] | DataFrame = RULES, blocklist: Iterable[tuple[str, str, str]] | DataFrame = BLOCKLIST, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(keep..., url) -> keep, host, path, rule (or null), verdict, listed (the blocklist entry that fits, or null).
 
     Rules decide first; a url that no rule fits is blocked if the blocklist lists it, and else allowed.
@@ -170,7 +188,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES,
 
         def best(indexes, urls):
             found = [x.longest(urls) for x in indexes]
-            return [max((y for y in ys if y), key=lambda y: len(y[0]), default=None) for ys in zip(*found, strict=True)]
+            return [max((y for y in reversed(ys) if y), key=lambda y: len(y[0]), default=None) for ys in zip(*found, strict=True)]  # of equal ones the later file's
 
         for b in batches:
             urls = [parse(u) for u in b.column("url").to_pylist()]
