@@ -13,7 +13,7 @@ Tables come from grouped sums of text posteriors over all rows.  Joins back by h
 (no text), so a host with a third of all rows is split by Spark's skew join; sums are pre-aggregated.
 
 Defined cases: null or empty text gives no text evidence; a null url or source has the host ""; a missing or odd
-declaration is "" and is evidence like any other value; repeated rows count each; with no labelled document the
+declaration is "" and is no evidence; repeated rows count each; of equally likely languages the first by name wins; with no labelled document the
 result's language is null; other columns are not read.
 """
 
