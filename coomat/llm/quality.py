@@ -11,8 +11,8 @@ Labels, language, source and id are never inputs of a score.  A document is held
 crc32(doc_id as text) mod 5 is 0.
 
 Defined cases: a null or empty text scores by the output bias alone; a null doc_id is not held out and has no label;
-of repeated labels of one id the lowest counts, null or other values than 0 and 1 are left out; repeated rows get equal
-scores; with labels of one class only the score is that class's share, smoothed; other columns are not read.
+of repeated labels of one id the lowest counts, null or other values than 0 and 1 are left out; of documents that share an
+id the text that sorts first is learned; repeated rows get equal scores; with labels of one class only the score is that class's share, smoothed; other columns are not read.
 """
 
 from __future__ import annotations
@@ -129,13 +129,13 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = 3000) -> tuple[np.
             for x in by_document(b.column("text")):
                 u, c = np.unique(x, return_counts=True)
                 ids.append(u.astype(np.int32).tobytes())
-                counts.append(np.minimum(c, 65535).astype(np.uint16).tobytes())
+                counts.append(c.astype(np.uint32).tobytes())
             yield pa.RecordBatch.from_arrays([b.column("_label"), pa.array(ids, pa.binary()), pa.array(counts, pa.binary())], ["label", "ids", "counts"])
 
-    # the chosen side has train_docs rows at most; of repeated documents one is enough
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "_label", "text")
+    # the chosen side has train_docs rows at most; of repeated documents the first text in order is learned
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(cut, "label int, ids binary, counts binary").collect()
-    samples = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.uint16).astype(np.float32), r.label) for r in rows]
+    samples = [(np.frombuffer(r.ids, np.int32), np.frombuffer(r.counts, np.uint32).astype(np.float32), r.label) for r in rows]
     samples.sort(key=lambda s: (s[2], len(s[0]), s[0].tobytes()))
     return train(samples)
 
