@@ -5,11 +5,12 @@ goes to the open bin it fills best.  If none has room, the bin size of least pro
 worth of the room that the pieces still to come can fill.  At the end each bin is downsized to the smallest permitted
 capacity that holds its contents.
 
-Pieces are dealt by a hash of the document into parts, and each part is packed by itself in runs of at most RUN
-pieces, so memory is bounded whatever one key holds; a run leaves few bins half empty.
+Pieces are dealt by a hash of the document into parts, sorted, and each part is packed by itself in runs of at most RUN
+pieces, so memory is bounded whatever one key holds, and a part that is computed again gives the same bins.  A piece
+never meets the bins of another run; each run leaves few bins half empty.
 
 Lengths default to UTF-8 bytes of the text (the tokens of byte-level models) plus one end mark; any other column of
-lengths can be given.
+lengths can be given.  Pieces are ranges of these tokens, so a cut may fall inside a character; joined pieces are whole.
 
 Defined cases: a null or empty text is one piece that holds the end mark only; a null doc_id is carried; repeated
 rows are packed each; an empty table gives an empty one; other columns are not read.
@@ -98,7 +99,7 @@ def packed_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
         part, turn = TaskContext.get().partitionId(), 0
 
         def packed(table):
-            table = table.sort_by([("part_key", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")]).combine_chunks()
+            table = table.combine_chunks()
             bins, at, sizes = pack(table.column("length").to_numpy(), capacities, opening)
             names = pa.array([f"{part}:{turn}:{k}" for k in range(len(sizes))]).take(pa.array(bins)) if len(sizes) else pa.array([], pa.string())
             columns = [*(table.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length")), names, pa.array(sizes[bins].astype(np.int32)), pa.array(at)]
@@ -118,4 +119,4 @@ def packed_documents(docs: DataFrame, capacities: tuple[int, ...] = CAPACITIES,
             yield from packed(pa.Table.from_batches(held))
 
     cut = pieces(docs, length, max(capacities))
-    return cut.repartition("part_key").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, bin string, capacity int, at bigint")
+    return cut.repartition("part_key").sortWithinPartitions("part_key", "doc_id", "piece").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, bin string, capacity int, at bigint")
