@@ -1,5 +1,9 @@
 """From raw documents to packed training sequences.
 
+Defined cases: documents with null texts fail the quality rules; null ids, sources and other columns are carried;
+repeated rows are near-duplicates of each other, so one stays; columns beside doc_id, text and n_chars pass through
+whatever their names; an empty table gives an empty one.
+
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 next stage's docs.
 """
@@ -47,7 +51,8 @@ STAGES = [
     ("packed_sequences", packed_sequences),
 ]
 
-#: Similarity components, spaced hashing and packing are not expressible in SQL; tests/llm holds brute-force versions.
+#: Similarity components, spaced hashing and packing are not expressible in SQL; tests/llm/test_pipeline.py has a
+#: brute-force version of the whole.
 ORACLE_SQL = None
 
 

@@ -496,6 +496,46 @@ def test_best_fit_chooses_sizes():
     assert packing.pack(np.zeros(0, np.int64))[2].size == 0
 
 
+def brute_pack(lengths, caps, opening):
+    """Best fit decreasing, bin by bin."""
+    order = sorted(range(len(lengths)), key=lambda i: -lengths[i])
+    bins, left = [], sum(lengths)
+    for i in order:
+        n = lengths[i]
+        left -= n
+        fits = [b for b in bins if b["cap"] - b["used"] >= n]
+        if fits:
+            room = min(b["cap"] - b["used"] for b in fits)
+            own = [b for b in fits if b["cap"] - b["used"] == room][-1]
+        else:
+            price = lambda c: (opening + c + packing.ATTENTION * c * c) / (n + min(c - n, left))  # noqa: E731, B023
+            own = {"cap": min((c for c in caps if c >= n), key=lambda c: (round(price(c), 9), c)), "used": 0, "of": []}
+            bins.append(own)
+        own["of"].append(i)
+        own["used"] += n
+    return sorted((min(c for c in caps if c >= b["used"]), sorted(lengths[i] for i in b["of"])) for b in bins)
+
+
+def test_packing_equals_brute_force():
+    rng = random.Random(81)
+    for caps in (packing.CAPACITIES, (100, 300)):
+        for n in (1, 7, 60, 300):
+            lengths = [rng.choice([1, caps[0], rng.randrange(1, caps[0]), rng.randrange(1, caps[-1] + 1)]) for _ in range(n)]
+            bins, _, sizes = packing.pack(np.array(lengths), caps)
+            got = sorted((int(sizes[b]), sorted(lengths[i] for i in np.flatnonzero(bins == b))) for b in range(len(sizes)))
+            want = brute_pack(lengths, caps, packing.OPENING)
+            assert sorted(c for c, _ in got) == sorted(c for c, _ in want) and sum(c for c, _ in got) == sum(c for c, _ in want)
+
+
+def test_packing_in_runs_is_the_same_again(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 20)
+    rng = random.Random(82)
+    docs = documents(spark, ["y" * rng.randrange(1, 9000) for _ in range(150)] + ["same"] * 30)
+    key = lambda df: sorted((r.doc_id, r.piece, r.length, r.bin, r["at"]) for r in df.collect())
+    once = key(packing.packed_documents(docs))
+    assert once == key(packing.packed_documents(docs)) and len(once) == 180 and len({b.rpartition(":")[0] for *_, b, _ in once}) >= 9
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 16, 17, 1000])
 def test_permutation_and_inverse(n):
     p = sharding.place_of(np.arange(n), n, 20)
@@ -517,6 +557,20 @@ def test_sharding(spark):
     assert again == {(r.doc_id, r.text_crc32, r.shard, r.slot) for r in rows}
 
 
+def test_rows_have_computable_places(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(120_000).select(F.lit(7).cast("bigint").alias("k")).union(spark.range(500).select((F.col("id") % 300 + 10).alias("k")))
+    out = sharding.sharded(rows, ["k"], 40, 20).toPandas().sort_values("row")
+    n = len(out)
+    assert n == 120_500 and (out.row.to_numpy() == np.arange(n)).all()
+    p = sharding.place_of(np.arange(n), n, 20)
+    assert (out.shard.to_numpy() == p % 40).all() and (out.slot.to_numpy() == p // 40).all()
+    hot = np.flatnonzero(out.k.to_numpy() == 7)
+    assert hot[-1] - hot[0] + 1 == len(hot) == 120_000  # equal rows have numbers in a row
+    assert (sharding.row_at(out.slot.to_numpy() * 40 + out.shard.to_numpy(), n, 20) == out.row.to_numpy()).all()
+
+
 URLS = [None, "", "nothing", "http://X.Example.ORG/en/12?q=/es/", "https://example.org/es/a#b", "ftp://a.b.org", "http://notexample.org/x", "http://org/", "http://shop.com/de/1", "http://shop.com/fr/1", "http://www.casino-win.example.net/a", "http://casino-win.example.net.evil.de/", "x://a.com?b/c", "http://xcom/fr/", "http://m.casino-win.example.com/fr/2"]
 
 
@@ -550,6 +604,18 @@ def test_url_collisions_don_t_decide(tmp_path, monkeypatch):
     assert url_filter.Index(str(tmp_path / "e")).longest([("a", "/")]) == [None]
 
 
+def test_url_lists_in_several_files_and_tables(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "MOST_BYTES", 70)  # a file for each entry
+    rules = [("a.com", "", "allow"), ("a.com", "", "block"), ("a.com", "/x", "block"), ("a.com", "/x", "allow"), ("com", "", "allow")]
+    pages = spark.createDataFrame([(0, "http://a.com/"), (1, "http://w.a.com/xy"), (2, "http://b.com"), (3, "http://b.org/q")], "page_id bigint, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(pages, rules, []).collect()}
+    assert got == {0: ("a.com", "block"), 1: ("a.com/x", "allow"), 2: ("com", "allow"), 3: (None, "allow")}
+    table = spark.createDataFrame([("B.org", "/q", None, 1), ("b.com", None, "allow", 2), ("b.com", "", "block", 3)], "host string, path string, verdict string, HOST_ID int")
+    got = {r.page_id: (r.verdict, r.listed) for r in url_filter.judge_urls(pages, [], table).collect()}
+    assert got == {0: ("allow", None), 1: ("allow", None), 2: ("block", "b.com"), 3: ("block", "b.org/q")}
+    assert url_filter.judge_urls(pages, [], table.limit(0)).filter("verdict = 'block'").count() == 0
+
+
 PAGE = '<html><head><title>t</title><style>p{}</style></head><body><header>H</header><nav><ul><li><a href="/x">menu</a></ul></nav><div id="cookie-notice">n</div><article><h1>T &amp; U</h1><p>one <b>two</b>\n three<br>four<p>five&nbsp;six<form>f</form><section class="comments"><p>c</p></section></article><aside>s</aside><footer>&copy; f</footer><script>var t="</p>";</script>'
 
 
@@ -688,6 +754,46 @@ def test_quality_learns_and_holds_out(spark):
     assert {0 <= r.score <= 1 for r in quality.classify(docs, labels.filter("quality = 1")).collect()} == {True}
 
 
+def test_quality_scores_equal_brute_force(spark):
+    import pyarrow as pa
+
+    rng = random.Random(91)
+    texts = [words(rng, 30, 900) for _ in range(40)] + ["", None, "é", "z " * 70_000, "q" * 100_000]
+    table, bias = rng_table = (np.random.default_rng(3).normal(size=1 << quality.BUCKET_BITS).astype(np.float32), 0.3)
+    got = {r.doc_id: r.score for r in quality.score(documents(spark, texts), rng_table).collect()}
+    for k, own in enumerate(quality.by_document(pa.array(texts, pa.string()))):
+        logit = bias + (sum(float(table[x]) for x in own) / len(own) if len(own) else 0.0)
+        assert abs(got[k] - 1 / (1 + np.exp(-logit))) < 1e-6
+
+
+def test_training_is_plain_gradient_descent():
+    samples = [(np.array([1, 5], np.int32), np.array([1.0, 3.0], np.float32), 1), (np.array([5, 9], np.int32), np.array([2.0, 2.0], np.float32), 0)]
+    table, bias = quality.train(samples, epochs=2, rate=0.4, seed=5)
+    rng = np.random.default_rng(5)
+    v = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (1 << quality.BUCKET_BITS, quality.DIM))
+    out, b, done = rng.uniform(-0.5, 0.5, (quality.DIM, 2)), np.zeros(2), 0
+    for _ in range(2):
+        for i in rng.permutation(2):
+            ids, counts, y = samples[i]
+            lr = 0.4 * (1 - done / 4)
+            done += 1
+            mean = sum(c * v[x] for x, c in zip(ids, counts, strict=True)) / counts.sum()
+            z = mean @ out + b
+            p = np.exp(z) / np.exp(z).sum() - np.eye(2)[y]
+            back = out @ p
+            out, b = out - lr * np.outer(mean, p), b - 0.01 * lr * p
+            for x, c in zip(ids, counts, strict=True):
+                v[x] = v[x] - lr * np.sqrt(len(ids)) * c / counts.sum() * back
+    assert np.abs(table - v @ (out[:, 1] - out[:, 0])).max() < 1e-4 and abs(bias - (b[1] - b[0])) < 1e-5
+
+
+def test_repeated_ids_train_alike(spark):
+    rows = [(k // 2, words(random.Random(k), 20, 50)) for k in range(60)]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(30)], "doc_id bigint, quality int")
+    one, two = (quality.fit(spark.createDataFrame(x, "doc_id bigint, text string"), labels) for x in (rows, rows[::-1] + rows))
+    assert (one[0] == two[0]).all() and one[1] == two[1]
+
+
 def test_quality_score_is_the_average_of_features():
     import pyarrow as pa
 
@@ -713,6 +819,33 @@ def test_language(spark):
     assert {r.lang for r in none.collect()} == {None}
 
 
+def test_declared_language_suffix_and_host_help_short_texts(spark):
+    """Held-out figures: a few letters of each text, with and without the other evidence."""
+    rng = random.Random(95)
+    common = {"en": "the and of with from that this", "de": "der und die nicht sich auch von", "fr": "les des une dans pour que est", "es": "los del una para con por las"}
+    known = [(k, " ".join(rng.choice(v.split()) for _ in range(40)), lang, "s", 1) for k, (lang, v) in enumerate([*common.items()] * 20)]
+    suffix = {"en": "com", "de": "de", "fr": "fr", "es": "es"}
+    pages, truth = [], []
+    for k in range(400):
+        lang = rng.choice([*common])
+        word = rng.choice(common[lang].split())
+        text = rng.choice(["", "12", word[:2], word[:3], word])
+        declared = rng.choice(["", "", lang, lang, lang, "en"])
+        pages.append((k, f"http://h{k % 7}.{suffix[lang] if rng.random() < 0.7 else 'org'}/x", f'<html lang="{declared}"><p>{text}</p>'))
+        truth.append(lang)
+    odd = odd_columns(spark.createDataFrame(pages, "page_id bigint, url string, html string"))
+    rows = [r for r in language_id.identify_all(documents(spark, []).union(spark.createDataFrame(known, SCHEMA)), odd).collect() if r.page_id is not None]
+    right = lambda c: sum(r[c] == truth[r.page_id] for r in rows) / len(rows)
+    assert right("lang") > right("text_lang") + 0.1 and right("lang") > 0.75
+
+
+def test_language_of_long_repeated_and_tied_texts(spark):
+    docs = spark.createDataFrame([(0, "aaa bbb " * 30, "xx", "s", 1), (1, "aaa bbb " * 30, "yy", "s", 1)], SCHEMA)
+    pages = spark.createDataFrame([(0, "http://a.b/", "aaa"), (0, "http://a.b/", "aaa"), (1, "http://a.b/", "<p>aaa bbb " * 100_000)], "page_id bigint, url string, html string")
+    rows = language_id.identify_all(docs, pages).collect()
+    assert len(rows) == 5 and {(r.lang, r.text_lang) for r in rows} == {("xx", "xx")} and all(abs(r.confidence - 0.5) < 1e-9 for r in rows)
+
+
 def test_empty_tables(spark):
     docs, pages = documents(spark, []), spark.createDataFrame([], "page_id bigint, url string, html string")
     labels, bench = spark.createDataFrame([], "doc_id bigint, quality int"), spark.createDataFrame([], "item_id bigint, text string")
