@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coomat.llm.tables import aside, only, settled, written
+from coomat.llm.tables import aside, maybe_in, membership, only, settled
 
 #: Before any data a rule counts as PRIOR_VOTES votes on good documents, of which it calls this share good, ...
 RIGHT_ON_GOOD = 0.95
@@ -187,8 +187,14 @@ def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The documents that pass, with their columns.
 
-    Figures are computed once, beside the rows, in a table of the shared folder; the model reads only its figures.
+    A first pass keeps the figures of every text by its hash and fits the model.  A filter of fixed size over the hashes
+    of rejected texts then parts the rows: what it lets go is good, and only the rest is figured and judged again, so
+    texts are neither shuffled nor stored.  Where rejected texts outnumber the filter's bits, that rest is most rows.
     """
-    names, docs = docs.columns, aside(docs, "doc_id", "text")
-    judged, f = written(figures(docs)), F.col("_figures")
-    return judged.filter(~base_failed(f) & (posterior(learn(judged), f) >= threshold)).drop("_figures").toDF(*names)
+    names, docs, f = docs.columns, aside(docs, "doc_id", "text"), F.col("_figures")
+    judged = settled(figures(docs.select("text")).select(F.xxhash64("text").alias("_key"), "_figures"))
+    good = ~base_failed(f) & (posterior(learn(judged), f) >= threshold)
+    bad = judged.filter(~good).select("_key").distinct()
+    table, keyed = membership(bad, "_key", bad.count()), docs.withColumn("_key", F.xxhash64("text"))
+    again = figures(maybe_in(keyed, F.col("_key"), table)).filter(good).drop("_figures", "_key")
+    return maybe_in(keyed, F.col("_key"), table, negate=True).drop("_key").union(again).toDF(*names)
