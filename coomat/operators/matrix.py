@@ -70,19 +70,23 @@ class Matrix:
         return cls.sparse(spark.createDataFrame([(int(i), int(j), float(v)) for i, j, v in entries], "i bigint, j bigint, v double"), n_rows, n_cols)
 
     @classmethod
-    def from_csr(cls, spark: SparkSession, values: list[float], col_idx: list[int], row_ptr: list[int]) -> Matrix:
-        """From compressed rows; the columns of a row need no order."""
-        return cls._compressed(spark, values, col_idx, row_ptr, True)
+    def from_csr(cls, spark: SparkSession, values: list[float], col_idx: list[int], row_ptr: list[int], n_cols: int | None = None) -> Matrix:
+        """From compressed rows; the columns of a row need no order.  Without n_cols the last column that is used is the last."""
+        return cls._compressed(spark, values, col_idx, row_ptr, n_cols, True)
 
     @classmethod
-    def from_csc(cls, spark: SparkSession, values: list[float], row_idx: list[int], col_ptr: list[int]) -> Matrix:
-        return cls._compressed(spark, values, row_idx, col_ptr, False)
+    def from_csc(cls, spark: SparkSession, values: list[float], row_idx: list[int], col_ptr: list[int], n_rows: int | None = None) -> Matrix:
+        """From compressed columns, alike."""
+        return cls._compressed(spark, values, row_idx, col_ptr, n_rows, False)
 
     @classmethod
-    def _compressed(cls, spark, values, other, ptr, by_row):
+    def _compressed(cls, spark, values, other, ptr, size, by_row):
         if len(values) != len(other) or not ptr or ptr[-1] != len(values):
             raise ValueError("lengths of values, indices and pointers don't fit")
-        size = max(other, default=-1) + 1
+        used = max(other, default=-1) + 1
+        size = used if size is None else size
+        if used > size:
+            raise ValueError(f"index {used - 1} lies outside {size}")
         flat = spark.createDataFrame([(list(map(float, values)), list(map(int, other)), list(map(int, ptr)))], "vals array<double>, o array<bigint>, p array<bigint>")
         # line k owns positions p[k] to p[k + 1] - 1
         lines = flat.select("vals", "o", "p", F.posexplode(F.slice("p", 1, len(ptr) - 1)).alias("k", "lo"))
@@ -94,7 +98,13 @@ class Matrix:
 
     @classmethod
     def filled(cls, spark: SparkSession, n_rows: int, n_cols: int, value: float = 0.0) -> Matrix:
-        return cls(span(spark, n_rows).crossJoin(F.broadcast(span(spark, n_cols, "j"))).withColumn("v", F.lit(float(value))), n_rows, n_cols, False)
+        """All cells of one value, made row by row in blocks of columns: no join and nothing to broadcast."""
+        block = 1 << 12
+        if not n_cols:
+            return cls(spark.createDataFrame([], "i bigint, j bigint, v double"), n_rows, 0, False)
+        blocks = span(spark, n_rows).withColumn("b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n_cols - 1) // block))))
+        cells = blocks.select("i", F.explode(F.sequence(F.col("b") * block, F.least(F.col("b") * block + block, F.lit(n_cols)) - 1)).alias("j"))
+        return cls(cells.withColumn("v", F.lit(float(value))), n_rows, n_cols, False)
 
     @classmethod
     def from_rows(cls, spark: SparkSession, values: list[float], n_rows: int, n_cols: int) -> Matrix:

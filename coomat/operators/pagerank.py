@@ -1,8 +1,16 @@
 """PageRank by the power method, with dangling nodes, on DataFrames.
 
-One step is a join of the transition cells with the ranks and a grouped sum.  The cells are dealt by source once and
-cached, so an iteration moves ranks only.  Rank, step error and the mass of dangling nodes come out of one
-aggregate an iteration; each iteration's ranks are kept in the shared checkpoint folder, so lineage does not grow.
+One step is a join of the transition cells with the ranks and a grouped sum.  The engines differ in their plans:
+
+* ``broadcast``: ranks (counted under BROADCAST_ROWS) go to all tasks, cells are cached by destination, a step moves ranks;
+* ``shuffle``: cells are cached by source and meet the ranks in a sort-merge join, whatever their number;
+* ``serial``: the cells (counted, at most LOCAL_CELLS) go to one task that does all steps on arrays;
+* ``dense``: like broadcast, over all N * N cells, up to DENSE_ROWS nodes;
+* ``auto``: serial, broadcast or shuffle, the first that the counted sizes allow.
+
+Nodes with more than HOT cells are salted: their cells lie in several partitions, and partial sums (or copies of the
+rank) meet them there.  Error and the mass of dangling nodes come out of one aggregate a step over the cached ranks;
+every CHECKPOINT_EVERY steps the ranks go to the shared checkpoint folder, so lineage stays short.
 """
 
 from __future__ import annotations
@@ -11,6 +19,8 @@ import os
 import time
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -21,12 +31,26 @@ from coomat.session import settled
 from coomat.sources.graph import Graph
 
 STRATEGIES = ("auto", "broadcast", "shuffle", "serial", "dense")
+#: Cells that one task may hold: 24 bytes each, some 0.2 GB.
+LOCAL_CELLS = 8_000_000
+HOT = 1_000_000
+#: A step uses the ranks twice, so plans double with each step that is only cached.
+CHECKPOINT_EVERY = 3
+
+
+def _status(field_name: str) -> int:
+    with open("/proc/self/status") as f:
+        return next((int(x.split()[1]) for x in f if x.startswith(field_name + ":")), 0)
 
 
 def rss_kb() -> int:
     """Resident memory of the driver process."""
-    with open("/proc/self/status") as f:
-        return next((int(x.split()[1]) for x in f if x.startswith("VmRSS:")), 0)
+    return _status("VmRSS")
+
+
+def vm_kb() -> int:
+    """Virtual memory of the driver process."""
+    return _status("VmSize")
 
 
 @dataclass
@@ -47,6 +71,10 @@ class Timer:
     def get(self, name: str) -> float:
         return self.spans.get(name, 0.0)
 
+    def lines(self) -> str:
+        """All spans as text, in order of their names."""
+        return "\n".join(f"{name}: {took:.6f} s" for name, took in sorted(self.spans.items()))
+
     def reset(self) -> None:
         self.spans.clear()
         self.begun.clear()
@@ -70,20 +98,21 @@ class Stats:
     load_time_s: float = 0.0
     total_time_s: float = 0.0
     spmv_time_s: float = 0.0
-    comm_time_s: float = 0.0
-    comp_time_s: float = 0.0
-    damp_time_s: float = 0.0
+    comm_time_s: float | None = None
+    comp_time_s: float | None = None
+    damp_time_s: float | None = None
     mem_before_kb: int = 0
     mem_after_kb: int = 0
 
     def row(self, dataset: str, l1_vs_ref: float = -1.0, top10_match: int = 0) -> dict:
-        each = lambda x: 1000 * x / self.iterations if self.iterations else 0.0
+        each = lambda x: x if x is None else 1000 * x / self.iterations if self.iterations else 0.0
+        share = lambda x: x if x is None else percent_of(x, self.spmv_time_s)
         return {
             "engine": self.engine, "dataset": dataset, "num_nodes": self.num_nodes, "num_edges": self.num_edges, "csr_nnz": self.csr_nnz,
             "mpi_ranks": self.mpi_ranks, "omp_threads": self.omp_threads, "damping": self.damping, "tol": self.tol, "iterations": self.iterations,
             "converged": "yes" if self.converged else "no", "final_error": self.final_error, "load_time_s": self.load_time_s, "total_time_s": self.total_time_s,
             "spmv_time_s": self.spmv_time_s, "comm_time_s": self.comm_time_s, "comp_time_s": self.comp_time_s, "damp_time_s": self.damp_time_s,
-            "comm_pct": percent_of(self.comm_time_s, self.spmv_time_s), "comp_pct": percent_of(self.comp_time_s, self.spmv_time_s),
+            "comm_pct": share(self.comm_time_s), "comp_pct": share(self.comp_time_s),
             "avg_spmv_ms": each(self.spmv_time_s), "avg_comm_ms": each(self.comm_time_s), "avg_comp_ms": each(self.comp_time_s),
             "mem_before_kb": self.mem_before_kb, "mem_after_kb": self.mem_after_kb, "mem_peak_rss_kb": max(self.mem_before_kb, self.mem_after_kb),
             "l1_vs_ref": l1_vs_ref, "top10_match": top10_match,
@@ -96,52 +125,122 @@ class Result:
     stats: Stats
 
 
+def salted(cells: DataFrame, by: str) -> tuple[DataFrame, DataFrame]:
+    """cells + salt, and (by, parts) of the hot nodes, which are at most cells / HOT rows."""
+    hot = cells.groupBy(by).agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT).select(by, F.ceil(F.col("c") / HOT).cast("int").alias("parts"))
+    hot = settled(hot)
+    other = "src" if by == "dst" else "dst"
+    salt = F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")
+    return cells.join(F.broadcast(hot), by, "left").select("src", "dst", "v", salt.alias("salt")), hot
+
+
+def local_steps(cells: DataFrame, n: int, damping: float, max_iter: int, tol: float) -> DataFrame:
+    """(src, dst, v) in one task -> node, rank, and in every row steps, error, and seconds of products and of damping."""
+
+    def run(batches):
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else None
+        src, dst, v = (table.column(c).to_numpy() for c in ("src", "dst", "v")) if table else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        ends = np.ones(n, bool)
+        ends[src] = False
+        rank, error, k, spmv, damp = np.full(n, 1.0 / n), 0.0, 0, 0.0, 0.0
+        for k in range(1, max_iter + 1):
+            began = time.perf_counter()
+            flow = np.bincount(dst, weights=v * rank[src], minlength=n)
+            between = time.perf_counter()
+            new = damping * flow + (damping * rank[ends].sum() + (1 - damping)) / n
+            error, rank = float(np.abs(new - rank).sum()), new
+            spmv, damp = spmv + between - began, damp + time.perf_counter() - between
+            if error < tol:
+                break
+        for lo in range(0, n, 1 << 16):
+            some = rank[lo : lo + (1 << 16)]
+            size = len(some)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + size)), pa.array(some), *(pa.array(np.full(size, x)) for x in (k, error, spmv, damp))], ["node", "rank", "steps", "error", "spmv", "damp"])
+
+    return cells.select("src", "dst", "v").coalesce(1).mapInArrow(run, "node bigint, rank double, steps bigint, error double, spmv double, damp double")
+
+
 def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, strategy: str = "auto", load_time_s: float = 0.0) -> Result:
     """Ranks (node, rank) of all nodes.
 
     Starts at 1 / N; each step gives a node d * (what flows in) + (d * (old mass of dangling nodes) + 1 - d) / N.  Stops
     when the sum of absolute changes is under tol; the step that gets there counts.
+
+    Times of communication are null where they can't be told from computation.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
     if strategy == "dense" and graph.n > DENSE_ROWS:
         raise ValueError(f"more than {DENSE_ROWS} nodes for the dense strategy")
+    if strategy == "broadcast" and graph.n > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} nodes for the broadcast strategy")
     spark, n, timer = graph.edges.sparkSession, graph.n, Timer()
     before = rss_kb()
-    small = strategy != "shuffle" and n <= BROADCAST_ROWS
-    cells = graph.transition().df.select(F.col("j").alias("src"), F.col("i").alias("dst"), "v")
-    if strategy == "dense":
-        cells = graph.transition().to_dense().df.select(F.col("j").alias("src"), F.col("i").alias("dst"), "v")
-    if strategy == "serial":
-        cells = cells.coalesce(1)
-    # with broadcast ranks the sums are local to a destination's partition, else to a source's join
-    cells = cells.repartition("dst" if small else "src").persist(StorageLevel.MEMORY_AND_DISK)
-    nnz, edges = cells.count() if strategy != "dense" else cells.filter("v <> 0").count(), graph.edges.count()
-    ends = graph.dangling().select("node", F.lit(True).alias("end"))
-    state = graph.nodes().join(ends, "node", "left").select("node", F.coalesce("end", F.lit(False)).alias("end"), F.lit(1.0 / n).alias("rank")).repartition("node")
-    state = settled(state)
-    loss = state.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()[0]
+    matrix = graph.transition().to_dense() if strategy == "dense" else graph.transition()
+    cells = matrix.df.select(F.col("j").alias("src"), F.col("i").alias("dst"), "v").persist(StorageLevel.MEMORY_AND_DISK)
+    nnz, edges = (cells.count() if strategy != "dense" else cells.filter("v <> 0").count()), graph.edges.count()
+    fits = nnz <= LOCAL_CELLS and n <= BROADCAST_ROWS
+    if strategy == "serial" and not fits:
+        raise ValueError(f"more than {LOCAL_CELLS} cells or {BROADCAST_ROWS} nodes for the serial strategy")
+    way = strategy if strategy != "auto" else "serial" if fits else "broadcast" if n <= BROADCAST_ROWS else "shuffle"
     stats = Stats(strategy, n, edges, nnz, damping, tol, load_time_s=load_time_s, mem_before_kb=before)
+    stats.omp_threads, stats.mpi_ranks = 1, 1 if way == "serial" else spark.sparkContext.defaultParallelism
     timer.start("total")
+    ranks = (_local if way == "serial" else _distributed)(graph, cells, way, damping, max_iter, tol, stats)
+    stats.total_time_s, stats.mem_after_kb = timer.stop("total"), rss_kb()
+    cells.unpersist()
+    return Result(ranks, stats)
+
+
+def _local(graph: Graph, cells: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
+    done = settled(local_steps(cells, graph.n, damping, max_iter, tol))
+    first = done.first()
+    stats.iterations, stats.final_error, stats.converged = first.steps, first.error, first.error < tol and first.steps > 0
+    stats.comm_time_s, stats.comp_time_s, stats.spmv_time_s, stats.damp_time_s = 0.0, first.spmv, first.spmv, first.damp
+    return done.select("node", "rank")
+
+
+def flows(cells: DataFrame, ranks: DataFrame, hot: DataFrame, way: str) -> DataFrame:
+    """(node, y): what the ranks (src, rank) send to each destination."""
+    if way == "shuffle":  # each part of a hot source has a copy of its rank
+        copies = ranks.join(F.broadcast(hot), "src", "left").select("src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
+        met = cells.join(copies.hint("merge"), ["src", "salt"])
+    else:
+        met = cells.join(F.broadcast(ranks), "src")
+    return met.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("rank")).alias("y"))
+
+
+def _distributed(graph: Graph, cells: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
+    n, by = graph.n, "src" if way == "shuffle" else "dst"
+    dealt, hot = salted(cells, by)
+    dealt = dealt.repartition(by, "salt").persist(StorageLevel.MEMORY_AND_DISK)
+    ends = graph.dangling().select("node", F.lit(True).alias("end"))
+    state = settled(graph.nodes().join(ends, "node", "left").select("node", F.coalesce("end", F.lit(False)).alias("end"), F.lit(1.0 / n).alias("rank")).repartition("node"))
+    loss = state.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()[0]
+    held: list[DataFrame] = []
+    began = time.perf_counter()
     for k in range(1, max_iter + 1):
-        timer.start("spmv")
-        ranks = state.select(F.col("node").alias("src"), "rank")
-        flow = cells.join(F.broadcast(ranks) if small else ranks.hint("merge"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("rank")).alias("y"))
+        flow = flows(dealt, state.select(F.col("node").alias("src"), "rank"), hot, way)
         new = damping * F.coalesce(F.col("y"), F.lit(0.0)) + (damping * loss + (1 - damping)) / n
-        stepped = state.join(flow, "node", "left").select("node", "end", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-        stepped = settled(stepped)  # the ranks are used twice in a step, so plans would double without this
-        error, loss = stepped.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()
-        timer.stop("spmv")
-        state = stepped
-        stats.iterations, stats.final_error = k, error
-        if error < tol:
-            stats.converged = True
+        state = state.join(flow, "node", "left").select("node", "end", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+        if k % CHECKPOINT_EVERY:
+            state = state.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(state)
+        else:
+            state = settled(state)
+        error, loss = state.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()
+        stats.iterations, stats.final_error, stats.converged = k, error, error < tol
+        if not k % CHECKPOINT_EVERY:
+            while held:
+                held.pop().unpersist()
+        if stats.converged:
             break
-    stats.total_time_s = timer.stop("total")
-    stats.spmv_time_s = stats.comp_time_s = timer.get("spmv")
-    stats.omp_threads, stats.mem_after_kb = spark.sparkContext.defaultParallelism, rss_kb()
-    cells.unpersist()
-    return Result(state.select("node", "rank"), stats)
+    stats.spmv_time_s = time.perf_counter() - began
+    state = settled(state.select("node", "rank"))
+    for x in (*held, dealt):
+        x.unpersist()
+    return state
 
 
 def top_k(ranks: DataFrame, k: int = 10) -> DataFrame:
@@ -162,11 +261,24 @@ def top_match(a: DataFrame, b: DataFrame, k: int = 10) -> int:
     return placed(a).join(placed(b), ["p", "node"]).count()
 
 
-def compare(graph: Graph, dataset: str, strategies: tuple[str, ...] = ("auto", "broadcast", "shuffle"), reference: DataFrame | None = None, **how) -> list[dict]:
-    """A metrics row for each strategy; the dense one is skipped where the graph is too large for it."""
+def skips(graph: Graph, strategy: str) -> str | None:
+    """Why an engine can't take a graph, or None."""
+    if strategy == "dense" and graph.n > DENSE_ROWS:
+        return f"more than {DENSE_ROWS} nodes"
+    if strategy == "broadcast" and graph.n > BROADCAST_ROWS:
+        return f"more than {BROADCAST_ROWS} nodes"
+    if strategy == "serial" and (graph.n > BROADCAST_ROWS or graph.edges.limit(LOCAL_CELLS + 1).count() > LOCAL_CELLS):
+        return f"more than {LOCAL_CELLS} edges or {BROADCAST_ROWS} nodes"
+    return None
+
+
+def compare(graph: Graph, dataset: str, strategies: tuple[str, ...] = ("auto", "broadcast", "shuffle"), reference: DataFrame | None = None, skipped: dict[str, str] | None = None, **how) -> list[dict]:
+    """A metrics row for each strategy; those that can't take the graph go to ``skipped`` with the reason."""
     rows = []
     for s in strategies:
-        if s == "dense" and graph.n > DENSE_ROWS:
+        if (why := skips(graph, s)) is not None:
+            if skipped is not None:
+                skipped[s] = why
             continue
         done = pagerank(graph, strategy=s, **how)
         l1 = l1_distance(done.ranks, reference).first().l1 if reference is not None else -1.0
@@ -174,5 +286,12 @@ def compare(graph: Graph, dataset: str, strategies: tuple[str, ...] = ("auto", "
     return rows
 
 
+def summary(rows: list[dict], skipped: dict[str, str] | None = None) -> str:
+    """A line for each engine: steps, error, times and agreement with the reference; SKIP and the reason for the others."""
+    lines = [f"{'engine':<12}{'steps':>6}{'error':>12}{'total s':>10}{'step ms':>10}{'l1':>12}{'top 10':>8}"]
+    lines += [f"{r['engine']:<12}{r['iterations']:>6}{r['final_error']:>12.3e}{r['total_time_s']:>10.3f}{r['avg_spmv_ms']:>10.3f}{r['l1_vs_ref']:>12.3e}{r['top10_match']:>8}" for r in rows]
+    return "\n".join([*lines, *(f"{name:<12}  SKIP  {why}" for name, why in (skipped or {}).items())])
+
+
 def version(spark: SparkSession) -> str:
     return f"Spark {spark.version}, {os.cpu_count()} cores"

@@ -6,6 +6,7 @@ lines; E holds the embeddings; G has an edge from an order's customer to each li
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import lru_cache
 
@@ -15,10 +16,11 @@ from pyspark.sql import functions as F
 from coomat.operators import multiply as mul
 from coomat.operators import pagerank as pr
 from coomat.operators.matrix import Matrix, Vector, span
-from coomat.operators.partition import part_table
+from coomat.operators.partition import part_table, with_part
 from coomat.plans import results
-from coomat.sources.graph import Graph
-from coomat.sources.metrics import metrics_frame
+from coomat.session import ensure_checkpoints
+from coomat.sources.graph import Graph, parse_edges, read_snap
+from coomat.sources.metrics import COLUMNS, metrics_frame, read_tagged, write_metrics
 
 
 class Tables:
@@ -53,7 +55,7 @@ class Tables:
         return Matrix(cells.select("i", F.col("j").cast("bigint").alias("j"), F.col("v").cast("double").alias("v")), self.count_of("embeddings", "vec_id"), 64, False)
 
     def w(self) -> Matrix:
-        grid = span(self.spark, 64).crossJoin(F.broadcast(span(self.spark, 4, "j")))
+        grid = Matrix.filled(self.spark, 64, 4).df
         return Matrix(grid.withColumn("v", ((F.col("i") + 2 * F.col("j")) % 5 - 2).cast("double")), 64, 4, False)
 
     def g(self) -> Graph:
@@ -124,8 +126,77 @@ def _ranks(t: Tables, steps: int = 10) -> DataFrame:
     return pr.pagerank(t.g(), max_iter=steps, tol=0.0).ranks
 
 
-def _rounded(ranks: DataFrame) -> DataFrame:
-    return ranks.select("node", F.round("rank", 10).alias("rank"))
+def _rounded(ranks: DataFrame, digits: int = 10) -> DataFrame:
+    return ranks.select("node", F.round("rank", digits).alias("rank"))
+
+
+def _converged_sql(most: int, tol: float) -> str:
+    """The ranks of the first step whose change is under tol; ``most`` steps must get there."""
+    changes = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(x.r - y.r)) AS e FROM R{k} x JOIN R{k - 1} y ON x.node = y.node" for k in range(1, most + 1))
+    ranks = " UNION ALL ".join(f"SELECT {k} AS k, node, r FROM R{k}" for k in range(1, most + 1))
+    return f"WITH {_ranks_sql(most)}, E AS ({changes}), F AS (SELECT min(k) AS k FROM E WHERE e < {tol}::double), Q AS ({ranks}) SELECT node, round(r, 8) AS rank FROM Q JOIN F ON Q.k = F.k"
+
+
+def _halves(t: Tables) -> Matrix:
+    """A again, each line as two entries of half the quantity."""
+    half = t.lineitem.select(F.col("l_suppkey").alias("i"), F.col("l_partkey").alias("j"), (F.col("l_quantity") / 2).alias("v"))
+    return Matrix.sparse(half.unionAll(half), t.n_supp(), t.n_part())
+
+
+def _shape(t: Tables) -> DataFrame:
+    a = t.a()
+    return a.nnz().select(F.lit(a.n_rows).cast("bigint").alias("n_rows"), F.lit(a.n_cols).cast("bigint").alias("n_cols"), F.lit(a.size).cast("bigint").alias("size"), F.lit(a.is_square).alias("is_square"), F.col("nnz").alias("stored"))
+
+
+def _compressed(t: Tables, by_row: bool) -> Matrix:
+    """B from its three arrays; arrays are what the driver holds, so this is for matrices that fit there."""
+    b = t.b()
+    first, other = ("i", "j") if by_row else ("j", "i")
+    rows = b.df.orderBy(first, other).collect()
+    ptr = [r.ptr for r in (b.row_ptr() if by_row else b.col_ptr()).orderBy("k").collect()]
+    make = Matrix.from_csr if by_row else Matrix.from_csc
+    return make(t.spark, [r.v for r in rows], [r[other] for r in rows], ptr, b.n_cols if by_row else b.n_rows)
+
+
+def _dense_values(t: Tables) -> Matrix:
+    b = t.b()
+    return Matrix.from_rows(t.spark, [r.v for r in b.to_dense().df.orderBy("i", "j").collect()], b.n_rows, b.n_cols)
+
+
+def _shared(t: Tables, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    ensure_checkpoints(t.spark)
+    return f"{t.spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def _snap_file(t: Tables) -> str:
+    """The graph as edge-list text with ids from 1, comments and blank lines."""
+    path, edges = _shared(t, "edges"), t.g().edges
+    lines = edges.select(F.concat(F.lit(" "), F.col("src") + 1, F.lit("\t "), F.col("dst") + 1, F.lit(" x")).alias("value"))
+    noise = t.spark.createDataFrame([("# 0 0",), ("",), ("no edge",), ("7",)], "value string")
+    lines.union(noise).write.text(path)
+    return path
+
+
+def _snap_text(t: Tables) -> Graph:
+    return read_snap(t.spark, _snap_file(t))
+
+
+def _snap_ids(t: Tables) -> DataFrame:
+    """Base, smallest and largest raw id, and the nodes of the graph that is read."""
+    path = _snap_file(t)
+    graph = read_snap(t.spark, path)
+    ids = parse_edges(t.spark.read.text(path)).agg(F.min(F.least("src", "dst")).alias("low"), F.max(F.greatest("src", "dst")).alias("high"))
+    base = graph.edges.agg(F.min(F.least("src", "dst")).alias("shifted"))
+    return ids.crossJoin(base).select((F.col("low") - F.col("shifted")).alias("base"), "low", "high", F.lit(graph.n).cast("bigint").alias("nodes"))
+
+
+def _metrics_csv(t: Tables) -> DataFrame:
+    """Metrics of one dataset, written as CSV and read again with their tag."""
+    path, known = _shared(t, "metrics"), _metrics(t.spark)
+    rows = known.filter("_ds = 'd0'").select(*(F.col(n).cast(kind).alias(n) if n in known.columns else F.lit(None).cast(kind).alias(n) for n, kind in COLUMNS))
+    write_metrics(rows, path)
+    return read_tagged(t.spark, {"d0": path})
 
 
 def _top10(t: Tables) -> DataFrame:
@@ -133,8 +204,6 @@ def _top10(t: Tables) -> DataFrame:
 
 
 def _snap_roundtrip(t: Tables) -> DataFrame:
-    from coomat.sources.graph import parse_edges
-
     edges = t.g().edges
     lines = edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
     return parse_edges(lines).groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n"))
@@ -151,17 +220,13 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "row_partition_p4": (lambda t: part_table(t.spark, t.n_supp(), 4), f"WITH {_S}, Q AS (SELECT i, (ntile(4) OVER (ORDER BY i) - 1)::integer AS part FROM S) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
     "row_partition_p7": (lambda t: part_table(t.spark, t.n_supp(), 7), f"WITH {_S}, Q AS (SELECT i, (ntile(7) OVER (ORDER BY i) - 1)::integer AS part FROM S) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
     "from_dense": (lambda t: _cells(t.w().from_dense()), f"WITH {_W} SELECT i, j, v FROM W WHERE NOT isnan(v) AND abs(v) > 1e-15"),
-    "to_dense_small": (lambda t: _cells(t.a().block(0, 0, 10, 50).to_dense()), f"WITH {_A}, S AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range(10) a, range(50) b) SELECT S.i, S.j, coalesce(A.v, 0.0::double) AS v FROM S LEFT JOIN A ON S.i = A.i AND S.j = A.j"),
-    "to_dense_whole": (lambda t: _cells(t.b().to_dense()), f"WITH {_B}, Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NP}) a, range(12) b) SELECT Z.i, Z.j, coalesce(B.v, 0.0::double) AS v FROM Z LEFT JOIN B ON Z.i = B.i AND Z.j = B.j"),
+    "to_dense": (lambda t: _cells(t.b().to_dense()), f"WITH {_B}, Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NP}) a, range(12) b) SELECT Z.i, Z.j, coalesce(B.v, 0.0::double) AS v FROM Z LEFT JOIN B ON Z.i = B.i AND Z.j = B.j"),
     "transpose": (lambda t: _cells(t.a().transpose()), f"WITH {_A} SELECT j AS i, i AS j, v FROM A"),
     "csr_csc_roundtrip": (lambda t: _cells(t.a().by_cols().by_rows()), f"WITH {_A} SELECT i, j, v FROM A"),
     "get_element": (lambda t: t.a().element(3, 5), f"WITH {_A} SELECT coalesce(sum(v), 0.0::double) AS v FROM A WHERE i = 3 AND j = 5"),
     "row_slice": (lambda t: _cells(t.a().row_slice(3, 9)), f"WITH {_A} SELECT i - 3 AS i, j, v FROM A WHERE i >= 3 AND i < 9"),
     "col_slice": (lambda t: _cells(t.a().col_slice(10, 40)), f"WITH {_A} SELECT i, j - 10 AS j, v FROM A WHERE j >= 10 AND j < 40"),
     "block": (lambda t: _cells(t.e().block(2, 8, 20, 16)), f"WITH {_E} SELECT i - 2 AS i, j - 8 AS j, v FROM E WHERE i >= 2 AND i < 22 AND j >= 8 AND j < 24"),
-    "identity": (lambda t: _cells(Matrix.identity(t.spark, 6, 9)), "SELECT a.range::bigint AS i, b.range::bigint AS j, CASE WHEN a.range = b.range THEN 1.0::double ELSE 0.0::double END AS v FROM range(6) a, range(9) b"),
-    "fill": (lambda t: _cells(t.w().fill(2.5)), "SELECT a.range::bigint AS i, b.range::bigint AS j, 2.5::double AS v FROM range(64) a, range(4) b"),
-    "matrix_equals": (lambda t: t.a().mismatches(t.a().transpose().transpose()), "SELECT 0::bigint AS n"),
     "matrix_differs": (lambda t: t.a().mismatches(Matrix(t.a().df.filter("i % 2 = 0"), t.n_supp(), t.n_part())), f"WITH {_A} SELECT count(*)::bigint AS n FROM A WHERE i % 2 <> 0 AND v <> 0"),
     "norm_f": (lambda t: t.a().norm_f().select(F.round("norm_f", 6).alias("norm_f")), f"WITH {_A} SELECT round(sqrt(sum(v * v)), 6) AS norm_f FROM A"),
     "norm_max": (lambda t: t.a().norm_max(), f"WITH {_A} SELECT max(abs(v)) AS norm_max FROM A"),
@@ -169,10 +234,8 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "spmv": (lambda t: mul.spmv(t.a(), t.x()).df, _SPMV),
     "spmv_broadcast": (lambda t: mul.spmv(t.a(), t.x(), "broadcast").df, _SPMV),
     "spmv_shuffle": (lambda t: mul.spmv(t.a(), t.x(), "shuffle").df, _SPMV),
-    "spmv_dense": (lambda t: mul.spmv(t.a().row_slice(0, 10), t.x(), "dense").df, _SPMV + " WHERE S.i < 10"),
-    "spmv_dense_whole": (lambda t: mul.spmv(t.a(), t.x(), "dense").df, _SPMV),
-    "spmv_into_slice": (lambda t: mul.multiply_into(t.a().row_slice(0, 5), t.x(), Vector(span(t.spark, 20).withColumn("v", F.lit(1.0)), 20), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i WHERE A.i < 5 GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range(20)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < 12 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
-    "spmv_into_whole": (lambda t: mul.multiply_into(t.a(), t.x(), _ones(t, t.n_supp() + 15), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range({_NS} + 15)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < {_NS} + 7 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
+    "spmv_dense": (lambda t: mul.spmv(t.a(), t.x(), "dense").df, _SPMV),
+    "spmv_into_slice": (lambda t: mul.multiply_into(t.a(), t.x(), _ones(t, t.n_supp() + 15), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range({_NS} + 15)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < {_NS} + 7 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
     "csr_dense": (lambda t: _cells(mul.matmul(Matrix(t.e().df, t.e().n_rows, 64), t.w())).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "dense_dense": (lambda t: _cells(mul.matmul(t.e(), t.w())).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "dense_dense_blocked": (lambda t: _cells(mul.blocked_matmul(t.e(), t.w(), 32)).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
@@ -180,8 +243,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "csr_csr_shuffle": (lambda t: _cells(mul.matmul(t.a(), t.b(), "shuffle")), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
     "csr_csc": (lambda t: _cells(mul.matmul(t.a(), t.a().transpose())), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
     "symbolic_nnz": (lambda t: mul.symbolic_nnz(t.a(), t.b()), f"WITH {_A}, {_B}, {_S}, P AS (SELECT A.i, count(DISTINCT B.j) AS n FROM A JOIN B ON A.j = B.i GROUP BY A.i) SELECT S.i, coalesce(P.n, 0)::bigint AS n FROM S LEFT JOIN P ON S.i = P.i"),
-    "matmul_add": (lambda t: _cells(mul.multiply_add(t.a().row_slice(0, 5), t.b(), Matrix.filled(t.spark, 9, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range(9) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j AND P.i < 5"),
-    "matmul_add_whole": (lambda t: _cells(mul.multiply_add(t.a(), t.b(), Matrix.filled(t.spark, t.n_supp() + 4, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NS} + 4) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j"),
+    "matmul_add": (lambda t: _cells(mul.multiply_add(t.a(), t.b(), Matrix.filled(t.spark, t.n_supp() + 4, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NS} + 4) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j"),
     "out_degree": (lambda t: t.g().out_degree(), f"WITH {_G} SELECT src AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),
     "in_degree": (lambda t: t.g().in_degree(), f"WITH {_G} SELECT dst AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),
     "dangling": (lambda t: t.g().dangling(), f"WITH {_G} SELECT node FROM N WHERE node NOT IN (SELECT src FROM G)"),
@@ -190,15 +252,38 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "pagerank_10": (lambda t: _rounded(_ranks(t)), f"WITH {_ranks_sql(10)} SELECT node, round(r, 10) AS rank FROM R10"),
     "pagerank_top10": (_top10, f"WITH {_ranks_sql(10)} SELECT node, round(r, 10) AS rank FROM R10 ORDER BY round(r, 10) DESC, node LIMIT 10"),
     "pagerank_l1_step": (lambda t: pr.l1_distance(_ranks(t, 2), _ranks(t, 3)).select(F.round("l1", 8).alias("l1")), f"WITH {_ranks_sql(3)} SELECT round(sum(abs(R3.r - R2.r)), 8) AS l1 FROM R3 JOIN R2 ON R3.node = R2.node"),
-    "pagerank_converged": (lambda t: _rounded(pr.pagerank(t.g()).ranks), None),
     "snap_roundtrip": (_snap_roundtrip, f"WITH {_G} SELECT src, dst, count(*)::bigint AS n FROM G GROUP BY 1, 2"),
-    "engine_metrics": (lambda t: metrics_frame(t.spark, pr.compare(t.g(), "orders", ("auto", "shuffle"), max_iter=3)).select("engine", "dataset", "num_nodes", "num_edges", "iterations", "converged"), None),
     "speedup": (lambda t: results.speedup(_metrics(t.spark), "MPI_CSR").select("_ds", "mpi_ranks", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, mpi_ranks, total_time_s AS t FROM met WHERE starts_with(engine, 'MPI_CSR') AND omp_threads = 1) SELECT o._ds, o.mpi_ranks, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.mpi_ranks = 1"),
     "grid": (lambda t: results.grid(_metrics(t.spark), "Hybrid").select("_ds", "mpi_ranks", *(F.round(c, 8).alias(c) for c in ("t1", "t2", "t4"))), f"WITH {_MET} SELECT _ds, mpi_ranks, " + ", ".join(f"round(min(total_time_s) FILTER (omp_threads = {k}), 8) AS t{k}" for k in (1, 2, 4)) + " FROM met WHERE starts_with(engine, 'Hybrid') GROUP BY 1, 2"),
     "best_config": (lambda t: results.best_config(_metrics(t.spark)).withColumn("total_time_s", F.round("total_time_s", 8)), f"WITH {_MET}, o AS (SELECT *, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads) AS k FROM met) SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s FROM o WHERE k = 1"),
     "comm_share": (lambda t: results.comm_share(_metrics(t.spark)).withColumn("comm_share_pct", F.round("comm_share_pct", 8)), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(100 * comm_time_s / (comm_time_s + comp_time_s), 8) AS comm_share_pct FROM met WHERE comm_time_s + comp_time_s > 0"),
     "setup_stats": (lambda t: results.setup(_metrics(t.spark)).withColumn("density_pct", F.round("density_pct", 8)), f"WITH {_MET} SELECT _ds, min(num_nodes)::bigint AS num_nodes, min(num_edges)::bigint AS num_edges, round(100.0::double * min(num_edges) / (min(num_nodes)::double * min(num_nodes)::double), 8) AS density_pct FROM met GROUP BY _ds"),
-    "memory_vs_dense": (lambda t: results.memory(_metrics(t.spark)).select("_ds", F.round("rss_mb", 8).alias("rss_mb"), F.round("dense_mb", 8).alias("dense_mb")), f"WITH {_MET} SELECT _ds, round(max(mem_peak_rss_kb)::double / 1024, 8) AS rss_mb, round(max(num_nodes)::double * max(num_nodes)::double * 8 / (1024.0::double * 1024.0::double), 8) AS dense_mb FROM met GROUP BY _ds"),
+    "identity": (lambda t: _cells(Matrix.identity(t.spark, t.n_supp(), 12)), f"SELECT a.range::bigint AS i, b.range::bigint AS j, CASE WHEN a.range = b.range THEN 1.0::double ELSE 0.0::double END AS v FROM range({_NS}) a, range(12) b"),
+    "fill": (lambda t: _cells(t.b().fill(2.5)), f"SELECT a.range::bigint AS i, b.range::bigint AS j, 2.5::double AS v FROM range({_NP}) a, range(12) b"),
+    "set_zero": (lambda t: _cells(t.b().set_zero()), f"SELECT a.range::bigint AS i, b.range::bigint AS j, 0.0::double AS v FROM range({_NP}) a, range(12) b"),
+    "matrix_equals": (lambda t: t.a().mismatches(_halves(t)), f"WITH {_A}, H AS (SELECT l_suppkey AS i, l_partkey AS j, l_quantity / 2 AS v FROM lineitem UNION ALL SELECT l_suppkey, l_partkey, l_quantity / 2 FROM lineitem), Q AS (SELECT i, j, sum(v) AS v FROM H GROUP BY 1, 2) SELECT count(*)::bigint AS n FROM A FULL JOIN Q ON A.i = Q.i AND A.j = Q.j WHERE coalesce(A.v, 0) <> coalesce(Q.v, 0)"),
+    "shape": (_shape, f"WITH {_A} SELECT {_NS}::bigint AS n_rows, {_NP}::bigint AS n_cols, ({_NS} * {_NP})::bigint AS size, {_NS} = {_NP} AS is_square, count(*)::bigint AS stored FROM A"),
+    "csr_from_arrays": (lambda t: _cells(_compressed(t, True)), f"WITH {_B} SELECT i, j, v FROM B"),
+    "csc_from_arrays": (lambda t: _cells(_compressed(t, False)), f"WITH {_B} SELECT i, j, v FROM B"),
+    "dense_from_values": (lambda t: _cells(_dense_values(t)), f"WITH {_B}, Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NP}) a, range(12) b) SELECT Z.i, Z.j, coalesce(B.v, 0.0::double) AS v FROM Z LEFT JOIN B ON Z.i = B.i AND Z.j = B.j"),
+    "dense_at": (lambda t: t.e().element(3, 7), f"WITH {_E} SELECT coalesce(sum(v), 0.0::double) AS v FROM E WHERE i = 3 AND j = 7"),
+    "dense_transpose": (lambda t: _cells(t.e().transpose()), f"WITH {_E} SELECT j AS i, i AS j, v FROM E"),
+    "row_owner": (lambda t: with_part(span(t.spark, t.n_supp()), t.n_supp(), 7).select(F.col("i").cast("bigint").alias("i"), F.col("part").cast("int").alias("part")), f"WITH {_S} SELECT i, (ntile(7) OVER (ORDER BY i) - 1)::integer AS part FROM S"),
+    "col_partition_p5": (lambda t: part_table(t.spark, t.n_part(), 5), f"WITH Q AS (SELECT range::bigint AS i, (ntile(5) OVER (ORDER BY range) - 1)::integer AS part FROM range({_NP})) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
+    "snap_text": (lambda t: _snap_text(t).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), f"WITH {_G} SELECT src, dst, count(*)::bigint AS n FROM G GROUP BY 1, 2"),
+    "snap_ids": (lambda t: _snap_ids(t), f"WITH {_G} SELECT 1::bigint AS base, min(least(src, dst)) + 1 AS low, max(greatest(src, dst)) + 1 AS high, max(greatest(src, dst)) + 1 AS nodes FROM G"),
+    "metrics_csv": (lambda t: _metrics_csv(t).select("_ds", "engine", "mpi_ranks", "omp_threads", F.round("total_time_s", 8).alias("total_time_s"), "num_nodes"), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s, num_nodes FROM met WHERE _ds = 'd0'"),
+    "merged_results": (lambda t: results.merged([_metrics(t.spark).filter("_ds = 'd0'"), _metrics(t.spark).filter("_ds = 'd1'").drop("num_edges")]).select("_ds", "engine", "num_edges"), f"WITH {_MET} SELECT _ds, engine, CASE WHEN _ds = 'd0' THEN num_edges END AS num_edges FROM met"),
+    "numbered_runs": (lambda t: results.numbered(_metrics(t.spark)).select("_ds", "engine", F.col("place").cast("bigint").alias("place")), f"WITH {_MET} SELECT _ds, engine, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads)::bigint AS place FROM met"),
+    "result_rows": (lambda t: results.of_engine(_metrics(t.spark), "MPI_CSR", 2, 4).select("_ds", "engine"), f"WITH {_MET} SELECT _ds, engine FROM met WHERE starts_with(engine, 'MPI_CSR') AND mpi_ranks = 2 AND omp_threads = 4"),
+    "thread_speedup": (lambda t: results.speedup(_metrics(t.spark), "CSR_Serial", "omp_threads").select("_ds", "omp_threads", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, omp_threads, total_time_s AS t FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1) SELECT o._ds, o.omp_threads, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.omp_threads = 1"),
+    "memory_vs_dense": (lambda t: results.memory(_metrics(t.spark)).select("_ds", F.round("rss_mb", 8).alias("rss_mb"), F.round("dense_mb", 8).alias("dense_mb")), f"WITH {_MET}, o AS (SELECT * FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1 AND omp_threads = 1) SELECT _ds, round(mem_peak_rss_kb::double / 1024, 8) AS rss_mb, round(num_nodes::double * num_nodes::double * 8 / (1024.0::double * 1024.0::double), 8) AS dense_mb FROM o"),
+    "pagerank_converged": (lambda t: _rounded(pr.pagerank(t.g(), tol=1e-4).ranks, 8), _converged_sql(16, 1e-4)),
+    "pagerank_broadcast": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="broadcast").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "pagerank_shuffle": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="shuffle").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "pagerank_serial": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="serial").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "top10_match": (lambda t: t.spark.createDataFrame([(pr.top_match(_rounded(_ranks(t, 2)), _rounded(_ranks(t, 10))),)], "n bigint"), f"WITH {_ranks_sql(10)}, a AS (SELECT node, row_number() OVER (ORDER BY round(r, 10) DESC, node) AS p FROM R2), b AS (SELECT node, row_number() OVER (ORDER BY round(r, 10) DESC, node) AS p FROM R10) SELECT count(*)::bigint AS n FROM a JOIN b ON a.p = b.p AND a.node = b.node WHERE a.p <= 10"),
+    "engine_metrics": (lambda t: metrics_frame(t.spark, pr.compare(t.g(), "orders", ("auto", "broadcast", "shuffle", "serial"), max_iter=3)).select("engine", "dataset", "num_nodes", "num_edges", "csr_nnz", "iterations", "converged", F.round("final_error", 8).alias("final_error")), f"WITH {_ranks_sql(3)} SELECT e AS engine, 'orders' AS dataset, (SELECT count(*) FROM N)::bigint AS num_nodes, (SELECT count(*) FROM G)::bigint AS num_edges, (SELECT count(*) FROM M)::bigint AS csr_nnz, 3::integer AS iterations, 'no' AS converged, (SELECT round(sum(abs(R3.r - R2.r)), 8) FROM R3 JOIN R2 ON R3.node = R2.node) AS final_error FROM (VALUES ('auto'), ('broadcast'), ('shuffle'), ('serial')) v(e)"),
 }
 
 

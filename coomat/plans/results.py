@@ -54,14 +54,22 @@ def comm_share(rows: DataFrame) -> DataFrame:
 
 
 def memory(rows: DataFrame) -> DataFrame:
-    """(_ds, rss_mb, dense_mb): measured, and what a dense matrix would take."""
+    """(_ds, rss_mb, dense_mb): what the serial sparse engine took, and what a dense matrix would take.
+
+    The first run of CSR_Serial by ranks and threads counts, as other engines share their memory with other processes.
+    """
     n = F.col("num_nodes").cast("double")
-    top = rows.groupBy("_ds").agg(F.max("mem_peak_rss_kb").alias("kb"), F.max(n).alias("n"))
-    return top.select("_ds", (F.col("kb") / 1024).alias("rss_mb"), (F.col("n") * F.col("n") * 8 / (1024.0 * 1024.0)).alias("dense_mb"))
+    serial = rows.filter(F.col("engine").startswith("CSR_Serial"))
+    one = serial.groupBy("_ds").agg(F.min_by(F.struct(F.col("mem_peak_rss_kb").alias("kb"), n.alias("n")), F.struct("mpi_ranks", "omp_threads", "engine")).alias("r")).select("_ds", "r.*")
+    return one.select("_ds", (F.col("kb") / 1024).alias("rss_mb"), (F.col("n") * F.col("n") * 8 / (1024.0 * 1024.0)).alias("dense_mb"))
+
+
+#: The orders of result files: by engine, by size of the run, and by time.
+ORDERS = {"engine": ("engine", "mpi_ranks", "omp_threads"), "size": ("mpi_ranks", "omp_threads", "engine"), "time": ("total_time_s", "engine", "mpi_ranks", "omp_threads")}
 
 
-def ordered(rows: DataFrame) -> DataFrame:
-    return rows.orderBy("engine", "mpi_ranks", "omp_threads")
+def ordered(rows: DataFrame, by: str = "engine") -> DataFrame:
+    return rows.orderBy(*ORDERS[by])
 
 
 def merged(parts: list[DataFrame]) -> DataFrame:
@@ -72,17 +80,29 @@ def merged(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+#: Columns of the report, in order; those of numbers with fixed digits.
+SHOWN = ("dataset", "mpi_ranks", "omp_threads", "num_nodes", "num_edges", "iterations", "converged", "total_time_s", "spmv_time_s", "avg_spmv_ms", "comm_pct", "comp_pct", "mem_peak_rss_kb", "l1_vs_ref")
+DIGITS = ("total_time_s", "spmv_time_s", "avg_spmv_ms", "comm_pct", "comp_pct")
+
+
+def _table(rows: DataFrame, columns: tuple[str, ...]) -> list[str]:
+    shown = rows.select(*(F.coalesce(fixed(c) if c in DIGITS else F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns))
+    head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    return head + ["| " + " | ".join(r) + " |" for r in shown.toLocalIterator()]
+
+
 def report(rows: DataFrame, title: str = "Results") -> str:
-    """A Markdown report with a table for each engine, and the fastest run; rows are metrics, which are few."""
-    shown = ["dataset", "mpi_ranks", "omp_threads", "iterations", "total_time_s", "avg_spmv_ms", "comm_pct"]
-    table = ordered(rows).select("engine", *(fixed(c) if c in ("total_time_s", "avg_spmv_ms", "comm_pct") else F.col(c).cast("string") for c in shown)).toDF("engine", *shown)
-    lines, last = [f"# {title}", ""], None
-    for r in table.toLocalIterator():
-        if r.engine != last:
-            lines += ["", f"## {r.engine}", "", "| " + " | ".join(shown) + " |", "|" + "---|" * len(shown)]
-            last = r.engine
-        lines.append("| " + " | ".join(str(r[c]) for c in shown) + " |")
-    return "\n".join(lines) + "\n"
+    """A Markdown report: a table for each engine, and one of all runs by time; rows are metrics, which are few."""
+    lines = [f"# {title}", ""]
+    for r in rows.select("engine").distinct().orderBy("engine").collect():
+        lines += ["", f"## {r.engine}", "", *_table(ordered(rows.filter(F.col("engine") == r.engine), "size"), SHOWN)]
+    return "\n".join([*lines, "", "## All runs", "", *_table(ordered(rows, "time"), ("engine", *SHOWN[:3], "iterations", "total_time_s"))]) + "\n"
+
+
+def terminal(rows: DataFrame) -> str:
+    """All runs as lines of text, fastest first."""
+    shown = ordered(rows, "time").select("engine", "mpi_ranks", "omp_threads", "total_time_s").toLocalIterator()
+    return "\n".join(f"{r.engine:<24}{r.mpi_ranks:>5}{r.omp_threads:>5}{r.total_time_s:>12.4f} s" for r in shown)
 
 
 def numbered(rows: DataFrame) -> DataFrame:

@@ -19,9 +19,14 @@ def session(name: str = "coomat", master: str | None = None, **conf) -> SparkSes
 
 
 def ensure_checkpoints(spark: SparkSession) -> None:
-    """Use the folder in spark.checkpoint.dir; set a local one only where none is named (tests, local mode)."""
+    """Use the folder in spark.checkpoint.dir; in local mode a temporary one where none is named.
+
+    On a cluster executors don't share the driver's folders, so there a missing setting is an error.
+    """
     if spark.sparkContext.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "checkpoints"))
 
 

@@ -11,8 +11,12 @@ from pyspark.sql import functions as F
 def read_rank_vector(spark: SparkSession, path: str) -> DataFrame:
     """(node, rank) from a file of little-endian doubles without a header; trailing bytes of no whole double are left.
 
-    Whole files are read by one task each, so large vectors belong into Parquet.
+    The file is read by one task, so it must be under 2 GB; larger vectors belong into Parquet.  Places in a folder of
+    files would be ambiguous: a path with more or fewer files than one is an error.
     """
+    files = spark.read.format("binaryFile").load(path).select("length").limit(2).collect()
+    if len(files) != 1 or files[0].length >= 1 << 31:
+        raise ValueError(f"{path} must be one file of less than 2 GB")
 
     def unpack(batches):
         for pdf in batches:

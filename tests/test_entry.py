@@ -30,10 +30,10 @@ def test_query_equals_sql(spark, duck, name):
 def test_whole_matrices_are_multiplied(spark):
     queries, n = entry.queries(), entry.catalogue.Tables(spark, DIR).n_supp()
     parts = entry.catalogue.Tables(spark, DIR).n_part()
-    sizes = {"spmv_dense_whole": n, "to_dense_whole": 12 * parts, "spmv_into_whole": n + 15, "matmul_add_whole": 12 * (n + 4)}
+    sizes = {"spmv_dense": n, "to_dense": 12 * parts, "spmv_into_slice": n + 15, "matmul_add": 12 * (n + 4)}
     assert {name: queries[name](spark, DIR).count() for name in sizes} == sizes
     want = {r.i: r.v for r in queries["spmv"](spark, DIR).collect()}
-    into = {r.i: r.v for r in queries["spmv_into_whole"](spark, DIR).collect()}
+    into = {r.i: r.v for r in queries["spmv_into_slice"](spark, DIR).collect()}
     assert all(into[i + 7] == v for i, v in want.items())
 
 

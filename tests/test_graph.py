@@ -64,6 +64,40 @@ def test_pagerank_agrees_with_numpy(spark, strategy):
     assert [r.node for r in pr.top_k(done.ranks, 3).collect()] == np.lexsort((np.arange(30), -want))[:3].tolist()
 
 
+def test_engines_have_plans_of_their_own(spark, monkeypatch):
+    g = Graph.of(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "src bigint, dst bigint"))
+    cells = spark.createDataFrame([(0, 1, 0.5)], "src bigint, dst bigint, v double")
+    ranks, hot = spark.createDataFrame([(0, 0.5)], "src bigint, rank double"), spark.createDataFrame([], "src bigint, parts int")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    dealt = cells.withColumn("salt", cells.src.cast("int") * 0)
+    assert "BroadcastHashJoin" in plan(pr.flows(dealt, ranks, hot, "broadcast")) and "SortMergeJoin" not in plan(pr.flows(dealt, ranks, hot, "broadcast"))
+    assert "SortMergeJoin" in plan(pr.flows(dealt, ranks, hot, "shuffle"))
+    local = plan(pr.local_steps(cells, 3, 0.85, 5, 0.0))
+    assert "MapInArrow" in local and "Coalesce 1" in local and "MapInArrow" not in plan(pr.flows(dealt, ranks, hot, "broadcast"))
+    used = []
+    for name in ("_local", "_distributed"):
+        monkeypatch.setattr(pr, name, lambda g, c, way, *a, f=getattr(pr, name): used.append(way) or f(g, c, way, *a))
+    pr.pagerank(g, max_iter=1)
+    monkeypatch.setattr(pr, "LOCAL_CELLS", 2)
+    pr.pagerank(g, max_iter=1)
+    monkeypatch.setattr(pr, "BROADCAST_ROWS", 2)
+    pr.pagerank(g, max_iter=1)
+    assert used == ["serial", "broadcast", "shuffle"]
+    skipped = {}
+    assert [r["engine"] for r in pr.compare(g, "x", ("serial", "shuffle", "broadcast"), skipped=skipped, max_iter=1)] == ["shuffle"]
+    assert set(skipped) == {"serial", "broadcast"} and pr.summary([], skipped).count("SKIP") == 2
+
+
+@pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])
+def test_hot_nodes_are_salted(spark, monkeypatch, strategy):
+    monkeypatch.setattr(pr, "HOT", 5)
+    edges = [(a, 0) for a in range(1, 30)] + [(0, b) for b in range(1, 30)] + [(3, 4), (3, 4)]
+    want, _ = numpy_ranks(edges, 30)
+    done = pr.pagerank(Graph.of(spark.createDataFrame(edges, "src bigint, dst bigint"), base=0, n=30), strategy=strategy)
+    assert np.abs(np.array([r["rank"] for r in done.ranks.orderBy("node").collect()]) - want).sum() < 1e-12
+    assert done.stats.row("x")["comm_pct"] is None and done.stats.mpi_ranks > 1
+
+
 def test_not_converged_and_compare(spark):
     g = Graph.of(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "src bigint, dst bigint"))
     done = pr.pagerank(g, max_iter=2)
@@ -81,11 +115,18 @@ def test_files(spark, tmp_path):
     assert sorted(map(tuple, vectors.read_rank_vector(spark, str(tmp_path / "r.bin")).collect())) == [(0, 0.25), (1, 0.75)]
     vectors.write_meta({"N": 2, "top10": "1:0.75"}, str(tmp_path / "m.txt"))
     assert dict(map(tuple, vectors.read_meta(spark, str(tmp_path / "m.txt")).collect())) == {"N": "2", "top10": "1:0.75"}
+    (tmp_path / "two").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "two" / name).write_bytes(b"12345678")
+    with pytest.raises(ValueError):
+        vectors.read_rank_vector(spark, str(tmp_path / "two"))
     g = Graph.of(spark.createDataFrame([(0, 1)], "src bigint, dst bigint"))
     rows = metrics.metrics_frame(spark, pr.compare(g, "x", ("auto",), max_iter=1))
     metrics.write_metrics(rows, str(tmp_path / "out"))
     back = metrics.read_tagged(spark, {"x": str(tmp_path / "out")})
     assert back.count() == 1 and back.first()._ds == "x"
+    assert "auto" in results.terminal(back) and "## All runs" in results.report(back) and results.report(back).splitlines()[4].count("|") == 15
+    assert [[r.engine for r in results.ordered(back.union(back.withColumn("engine", metrics.F.lit("z")).withColumn("mpi_ranks", metrics.F.lit(0))), by).collect()] for by in results.ORDERS][:2] == [["auto", "z"], ["z", "auto"]]
     assert "## auto" in results.report(back) and results.best_config(back).count() == 1
     assert dataset_name("/a/soc.v1.txt") == "soc.v1"
 
@@ -93,7 +134,7 @@ def test_files(spark, tmp_path):
 def test_timer_and_stream(spark, tmp_path):
     t = pr.Timer()
     t.start("a")
-    assert t.stop("a") >= 0 and t.get("none") == 0.0
+    assert t.stop("a") >= 0 and t.get("none") == 0.0 and t.lines().startswith("a: ") and pr.vm_kb() >= pr.rss_kb() > 0
     folder = tmp_path / "edges"
     folder.mkdir()
     (folder / "1.txt").write_text("0 1\n0 2\n# c\n1 2\n")

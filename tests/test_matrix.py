@@ -21,8 +21,19 @@ def test_compressed_rows_and_back(spark):
     assert cells(c) == cells(m)
     assert [r.ptr for r in c.col_ptr().orderBy("k").collect()] == [0, 2, 2, 3, 5]
     assert cells(m.by_cols().by_rows()) == cells(m)
-    with pytest.raises(ValueError):
-        Matrix.from_csr(spark, [1, 2], [0], [0, 2])
+    wide = Matrix.from_csr(spark, [1, 2], [0, 1], [0, 1, 2], n_cols=5)
+    assert (wide.n_rows, wide.n_cols) == (2, 5) and mul.spmv(wide, Vector.of(spark, [1, 1, 1, 1, 1])).collect() == [1.0, 2.0]
+    tall = Matrix.from_csc(spark, [1], [0], [0, 1], n_rows=4)
+    assert (tall.n_rows, tall.n_cols) == (4, 1)
+    for wrong in (lambda: Matrix.from_csr(spark, [1, 2], [0], [0, 2]), lambda: Matrix.from_csr(spark, [1], [3], [0, 1], n_cols=3)):
+        with pytest.raises(ValueError):
+            wrong()
+
+
+def test_filled_needs_no_join(spark):
+    m = Matrix.filled(spark, 3, 10_000, 2.0)
+    assert m.df.count() == 30_000 and m.df.distinct().count() == 30_000 and Matrix.filled(spark, 3, 0).df.count() == 0
+    assert "Join" not in m.df._jdf.queryExecution().executedPlan().toString()
 
 
 def test_block_slice_transpose_get(spark):
