@@ -93,7 +93,7 @@ def _table(rows: DataFrame, columns: tuple[str, ...]) -> list[str]:
 
 def report(rows: DataFrame, title: str = "Results") -> str:
     """A Markdown report: a table for each engine, and one of all runs by time; rows are metrics, which are few."""
-    lines = [f"# {title}", ""]
+    lines = [f"# {title}"]
     for r in rows.select("engine").distinct().orderBy("engine").collect():
         lines += ["", f"## {r.engine}", "", *_table(ordered(rows.filter(F.col("engine") == r.engine), "size"), SHOWN)]
     return "\n".join([*lines, "", "## All runs", "", *_table(ordered(rows, "time"), ("engine", *SHOWN[:3], "iterations", "total_time_s"))]) + "\n"
