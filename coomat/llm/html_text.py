@@ -63,6 +63,8 @@ PLAIN = frozenset("area bar block body box button buttons card container content
 HAVING = frozenset("has no with without is".split())
 TEXTS = frozenset("article entry post story".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: An item or cell in one of these doesn't end those around it.
+ENCLOSING = ("ul", "ol", "dl", "table", "menu", "dir", "div", "section", "article")
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(?:>|\Z)|<[!?/][^>]*+(?:>|\Z)", re.S)
 _NAMED = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -152,6 +154,8 @@ def blocks(page: str | None, stripped: frozenset[int] = frozenset()) -> tuple[li
     out: list[tuple[Node, str]] = []
     layouts: list[tuple[Node, tuple[str, ...]]] = []
     stack: list[tuple[str, Node, bool, list[str]]] = [("", ROOT, False, [])]  # tag, node, dropped, children
+    places: dict[str, list[int]] = {}  # where in the stack the open elements of a name are
+    endless: set[str] = set()  # unread elements of which no end tag follows
     text: list[str] = []
     at, n = 0, len(page)
 
@@ -168,7 +172,8 @@ def blocks(page: str | None, stripped: frozenset[int] = frozenset()) -> tuple[li
     def pop(to: int) -> None:
         flush()
         while len(stack) > to:
-            _, node, dropped, children = stack.pop()
+            name, node, dropped, children = stack.pop()
+            places[name].pop()
             if children and not dropped:
                 layouts.append((node, tuple(children)))
 
@@ -189,9 +194,11 @@ def blocks(page: str | None, stripped: frozenset[int] = frozenset()) -> tuple[li
                 if tag in RAW:
                     at = _END[tag].search(page, at).end()
                     at = page.find(">", at) + 1 or n
-                else:  # to the end tag; head also ends where the body starts
+                elif tag not in endless:  # to the end tag; head also ends where the body starts
                     end = _ENDS[tag].search(page, at)
-                    if end:
+                    if end is None:
+                        endless.add(tag)
+                    else:
                         at = page.find(">", end.end() - (not end[0])) + 1 or n if end[0] else end.end()
             continue
         if tag not in BLOCKS:
@@ -200,26 +207,22 @@ def blocks(page: str | None, stripped: frozenset[int] = frozenset()) -> tuple[li
             continue
         flush()
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == tag:
-                    pop(k)
-                    break
+            if places.get(tag):
+                pop(places[tag][-1])
             continue
         if stack[-1][0] == "p":
             pop(len(stack) - 1)
         if tag in CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] in CLOSES[tag]:
-                    pop(k)
-                    break
-                if stack[k][0] in ("ul", "ol", "dl", "table", "menu", "dir", "div", "section", "article"):
-                    break
+            last = max((places[x][-1] for x in CLOSES[tag] if places.get(x)), default=0)
+            if last > max((places[x][-1] for x in ENCLOSING if places.get(x)), default=0):
+                pop(last)
         if tag in VOID:
             continue
         _, above, dropped, children = stack[-1]
         node, drop = style_node(above, tag, m[3])
         if not children or children[-1] != node.name:  # a run of like children is one in the layout
             children.append(node.name)
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, node, dropped or drop or node.key in stripped, []))
     pop(1)
     flush()

@@ -96,8 +96,8 @@ def page_rows(pages: DataFrame) -> DataFrame:
     """(page_id, url, html) -> id, text, host, declared."""
     host = F.translate(F.regexp_extract(F.coalesce("url", F.lit("")), "://([^/?#]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     page = F.coalesce("html", F.lit(""))
-    text = F.regexp_replace(page, "(?is)<(script|style|head)\\b.*?</\\1\\s*>|<[^>]*>|&[#a-z0-9]+;", " ")
-    declared = F.lower(F.regexp_extract(page, "(?is)<html[^>]*?\\blang\\s*=\\s*[\"']?([a-z]{2,3})\\b", 1))
+    text = F.regexp_replace(page, "(?is)<(script|style|title)\\b.*?(?:</\\1\\s*>|\\z)|<[^>]*+(?:>|\\z)|&[#a-z0-9]++;", " ")
+    declared = F.lower(F.regexp_extract(F.regexp_extract(page, "(?is)<html[^>]*+", 0), "(?is)\\blang\\s*+=\\s*+[\"']?([a-z]{2,3})\\b", 1))
     return pages.select(F.col("page_id").alias("id"), text.alias("text"), host.alias("host"), declared.alias("declared"))
 
 

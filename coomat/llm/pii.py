@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from itertools import islice
 
 import numpy as np
@@ -47,10 +48,11 @@ DISCLOSURE = 0.8
 #: Fixed patterns.
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_SECRET = re.compile(r"\b[A-Za-z_][A-Za-z0-9_-]*\s?[=:]\s?([\"'])([A-Za-z0-9+/_-]{20,}={0,2})\1")
+_SECRET = re.compile(r"[=:]\s?([\"'])([A-Za-z0-9+/_-]{20,}+={0,2}+)\1")
+_NAME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_-")
 _DIGIT = re.compile(r"[0-9]")
 _WORD = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
 
@@ -84,6 +86,40 @@ def _random(value: str) -> bool:
     return any(c.isdigit() for c in value) and any(c.isalpha() for c in value) and len(set(value.lower())) >= 8
 
 
+def _named(text: str, end: int) -> bool:
+    """Whether a name stands before a place: a letter or underscore that starts a word, and what may follow in a name.
+
+    The characters of a name have no mark of assignment among them, so no stretch is read for two places.
+    """
+    if end and text[end - 1].isspace():
+        end -= 1
+    start = end
+    while start and text[start - 1] in _NAME:
+        start -= 1
+        c = text[start]
+        if (c == "_" or c.isalpha()) and not (start and (text[start - 1].isalnum() or text[start - 1] == "_")):
+            return True
+    return False
+
+
+class Covered:
+    """Spans merged into stretches, to ask whether another span meets any."""
+
+    def __init__(self, spans: list[tuple[int, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for s, e in sorted((s, e) for _, s, e in spans):
+            if self.ends and s <= self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], e)
+            else:
+                self.starts.append(s)
+                self.ends.append(e)
+
+    def meets(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.ends[k - 1] > start
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end) by kind, then start."""
     out = [(0, s, e) for s, e in emails(text)] if "@" in text else []
@@ -106,9 +142,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def entities(text: str) -> list[tuple[int, int, int]]:
     """Base spans and secrets."""
-    out = base_spans(text)
-    if "=" in text or ":" in text:
-        out += [(4, m.start(2), m.end(2)) for m in _SECRET.finditer(text) if _random(m[2])]
+    out, at = base_spans(text), 0
+    while "=" in text or ":" in text:
+        m = _SECRET.search(text, at)
+        if m is None:
+            break
+        if _named(text, m.start()):
+            at = m.end()
+            if _random(m[2]):
+                out.append((4, m.start(2), m.end(2)))
+        else:
+            at = m.start() + 1
     return out
 
 
@@ -142,12 +186,11 @@ def words_before(text: str, end: int) -> list[re.Match]:
 
 def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[str, int]]]]:
     """For each span its entity and the words within REACH words, none of them inside a span, with their contexts."""
-    covered = sorted((s, e) for _, s, e in spans)
-    out = []
+    covered, out = Covered(spans), []
     for span in spans:
         _, start, end = span
         before, after = words_before(text, start), list(islice(_WORD.finditer(text, end), REACH))
-        before, after = ([m[0] for m in side if not any(s < m.end() and m.start() < e for s, e in covered)] for side in (before[::-1], after))
+        before, after = ([m[0] for m in side if not covered.meets(*m.span())] for side in (before[::-1], after))
         low = [[w.lower() for w in side] for side in (before, after)]
         runs = {(i, j): _hash(*low[0][:i], "", *low[1][:j]) for i, j in {(NEAR, NEAR), *((i, NEAR) for i in range(NEAR, len(before) + 1)), *((NEAR, j) for j in range(NEAR, len(after) + 1))}}
         words = [(w, runs[max(NEAR, i), NEAR]) for i, w in enumerate(before, 1)] + [(w, runs[NEAR, max(NEAR, j)]) for j, w in enumerate(after, 1)]
@@ -158,10 +201,10 @@ def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
 def term_spans(text: str, spans: list[tuple[int, int, int]], terms: set[int]) -> list[tuple[int, int, int]]:
     if not terms:
         return []
-    covered = [(s, e) for _, s, e in spans]
+    covered = Covered(spans)
     words = list(_WORD.finditer(text))
     hit = [m for m, h in zip(words, term_hashes([m[0] for m in words]).tolist(), strict=True) if h in terms]
-    return [(5, *m.span()) for m in hit if not any(s < m.end() and m.start() < e for s, e in covered)]
+    return [(5, *m.span()) for m in hit if not covered.meets(*m.span())]
 
 
 def term_filter(terms: DataFrame) -> np.ndarray:

@@ -68,13 +68,17 @@ def digest(text: str) -> int:
 
 
 def write_index(entries: Iterable[tuple[str, str, str]], path: str) -> None:
-    """Layout: count; then sorted keys (u64); string ends (u64); then the strings.  A string is kind, key, payload."""
+    """Layout: count; then sorted keys (u64); string ends (u64); then the strings.  A string is kind, key, payload.
+
+    Kinds: r is an entry with its verdict, h a host with the lengths of its paths, m has the length of the longest host.
+    """
     strings: dict[str, str] = {}
     lengths: dict[str, set[int]] = {}
     for host, part, verdict in entries:
         strings["r" + host + "\0" + part] = verdict
         lengths.setdefault(host, set()).add(len(part))
     strings |= {"h" + host: ",".join(map(str, sorted(found))) for host, found in lengths.items()}
+    strings["m"] = str(max(map(len, lengths), default=0))
     rows = sorted((digest(k), k, v) for k, v in strings.items())
     blobs = [f"{k}\t{v}".encode() for _, k, v in rows]
     with open(path, "wb") as out:
@@ -93,6 +97,7 @@ class Index:
         self.ends = np.memmap(path, "<u8", "r", 8 + 8 * n, (n,)) if n else np.zeros(0, "<u8")
         start = 8 + 16 * n
         self.blob = np.memmap(path, np.uint8, "r", start) if os.path.getsize(path) > start else np.zeros(0, np.uint8)
+        self.longest_host = int(self.find(["m"])[0] or 0)
 
     def find(self, wanted: list[str]) -> list[str | None]:
         """The payload of each string, or None.  All are searched at once; equal keys are told apart by their strings."""
@@ -114,8 +119,8 @@ class Index:
         """For each (host, path) the longest entry that fits, as (entry, verdict)."""
         parents = []
         for host, _ in urls:
-            own = [host] if host else []
-            at = host.find(".")
+            own = [host] if 0 < len(host) <= self.longest_host else []  # longer names are in no list
+            at = host.find(".", max(0, len(host) - self.longest_host - 1))
             while at >= 0:
                 own.append(host[at + 1 :])
                 at = host.find(".", at + 1)

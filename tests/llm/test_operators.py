@@ -4,6 +4,8 @@ import collections
 import hashlib
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -868,3 +870,50 @@ def test_suffix_filter_never_drops_a_link():
                 assert ngram_join.may_link(x, y[None], 75)[0] and ngram_join.may_link(y, x[None], 75)[0]
         far = np.unique(K.mix(rng.integers(0, 1 << 62, size + 40).astype(K.U)))
         assert not ngram_join.may_link(np.frombuffer(ngram_join.bit_sketch(base), "<u8"), np.frombuffer(ngram_join.bit_sketch(far), "<u8")[None], 75)[0]
+
+
+HOSTILE = {
+    "name": ("a-" * 500_000 + '="x', pii.entities),
+    "digits": ("1" * 1_000_000, pii.entities),
+    "dotted": ("1." * 500_000, pii.entities),
+    "phones": ("+1(" * 330_000, pii.entities),
+    "at": ("a@b" * 330_000, pii.entities),
+    "ends": ("<div></p>" * 110_000, html_text.blocks),
+    "items": ("<ul>" + "<blockquote>" * 40_000 + "<li></li>" * 60_000, html_text.blocks),
+    "unread": ("<select>" * 125_000, html_text.blocks),
+    "quotes": ("<a '" * 250_000 + '"', html_text.blocks),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_a_megabyte_of_anything_ends_soon(name):
+    text, read = HOSTILE[name]
+    began = time.perf_counter()
+    read(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_a_host_of_a_megabyte_is_cut(tmp_path):
+    url_filter.write_index(url_filter.RULES, str(tmp_path / "i"))
+    tracemalloc.start()
+    found = url_filter.Index(str(tmp_path / "i")).longest([("." * 1_000_000, "/x"), ("a." * 500_000 + "org", "/q"), ("www.example.org", "/es/2"), ("x.com", "/de/1"), ("y.net", "/")])
+    assert found == [None, ("org/", "allow"), ("example.org/es/", "block"), ("com/de/", "block"), None]
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_pages_without_ends_are_read_for_language(spark):
+    html = ["<html lang='fr'><title>t</title><body>a<b", "<script>" * 100_000, "<" * 300_000, "<html " * 100_000, None]
+    rows = language_id.page_rows(spark.createDataFrame([(k, "http://h.x/", t) for k, t in enumerate(html)], "page_id int, url string, html string")).orderBy("id").collect()
+    assert [r.declared for r in rows] == ["fr", "", "", "", ""] and [r.text.split() for r in rows] == [["a"], [], [], [], []]
+
+
+def test_secrets_and_addresses_as_the_plain_patterns_have_them():
+    rng, plain_ip = random.Random(3), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+    plain = re.compile(r"\b[A-Za-z_][A-Za-z0-9_-]*\s?[=:]\s?([\"'])([A-Za-z0-9+/_-]{20,}={0,2})\1")
+    value = "abcdefgh1234567890ABCDEFGH"
+    for _ in range(20_000):
+        text = "".join(rng.choice([value, *"ab1_-é=:\"' =\""]) for _ in range(rng.randrange(3, 30)))
+        assert [m.span(2) for m in plain.finditer(text) if pii._random(m[2])] == [x[1:] for x in pii.entities(text) if x[0] == 4]
+        text = "".join(rng.choice("12..a") for _ in range(rng.randrange(3, 30)))
+        assert [m.span() for m in plain_ip.finditer(text)] == [m.span() for m in pii._IP.finditer(text)]
