@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coomat.llm import kernels as K
-from coomat.llm.tables import only, settled, written
+from coomat.llm.tables import only, removed, settled, written
 from coomat.llm.url_filter import parse as parse_url
 
 #: Made-up pages in every entropy's scale.
@@ -316,7 +316,7 @@ def weak_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
     Grouped sums come first, so the rows of one host that meet in a task are its style nodes, not its pages.
     """
-    once = written(style_facts(pages).distinct())
+    once, folder = written(style_facts(pages).distinct())
     about = [F.min(c).alias(c) for c in ("parent", "depth", "name", "inside")]
     counted = once.groupBy("host", "key", "kind", "value").agg(F.count(F.lit(1)).alias("k"), F.max("size").alias("size"), *about)
     k = F.col("k").cast("double")
@@ -331,13 +331,15 @@ def weak_branches(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         weak = [k for k, x in found.items() if x < threshold <= found.get(parent[k], 1.0)]
         return pa.table({"host": pa.array([key[0].as_py()] * len(weak), pa.string()), "key": pa.array(weak, pa.int64())})
 
-    return nodes.groupBy("host").applyInArrow(weigh, "host string, key bigint")
+    weak = settled(nodes.groupBy("host").applyInArrow(weigh, "host string, key bigint"))
+    removed(pages.sparkSession, folder)
+    return weak
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
     """(keep..., url, html) -> keep, url, text, n_chars."""
     pages = only(pages, *keep, "url", "html")
-    weak = settled(weak_branches(pages))
+    weak = weak_branches(pages)
     many = weak.count()
     lists = weak.groupBy("host").agg(F.collect_set("key").alias("weak"))
     kinds = ", ".join(f"{k} {pages.schema[k].dataType.simpleString()}" for k in keep)

@@ -12,7 +12,6 @@ from coomat.session import ensure_checkpoints, settled
 __all__ = ["aside", "compact", "ensure_checkpoints", "filter_bits", "maybe_in", "membership", "only", "removed", "settled", "written"]
 
 
-
 def aside(df: DataFrame, *names: str) -> DataFrame:
     """The same columns in order, all but the named ones under names that clash with nothing (``toDF`` gives them back).
 
@@ -28,25 +27,23 @@ def compact(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return df.coalesce(max(1, -(-df.count() // rows)))
 
 
-#: Folders that ``written`` made and nobody has removed.
-_FOLDERS: list[str] = []
-
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """The same rows from a table in the shared checkpoint folder, and the table's own folder, for ``removed``.
 
-def written(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the shared checkpoint folder; unlike a checkpoint it is compressed and read by column."""
+    Unlike a checkpoint it is compressed and read by column.
+    """
     spark = df.sparkSession
     ensure_checkpoints(spark)
-    _FOLDERS.append(f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}")
-    df.write.parquet(_FOLDERS[-1])
-    return spark.read.schema(df.schema).parquet(_FOLDERS[-1])
+    folder = f"{spark.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder), folder
 
 
 def removed(spark: SparkSession, *folders: str) -> None:
-    """Deletes folders of the shared store, and those of ``written``: what was made of them must be in place."""
-    for folder in (*folders, *_FOLDERS):
+    """Deletes folders of the shared store: what was made of them must be in place."""
+    for folder in folders:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    _FOLDERS.clear()
 
 
 def only(df: DataFrame, *names: str) -> DataFrame:
