@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from coomat.llm import decontaminate, html_text, language_id, merkle, ngram_join, packing, pii, quality, sharding, url_filter, weak_rules
+from coomat.llm import credentials, decontaminate, html_text, language_id, merkle, ngram_join, packing, pii, quality, sharding, url_filter, weak_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,15 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return credentials.find(table(spark, sf_dir, "documents"))
+
+
+def secret_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op11 SQL can say."""
+    return op11_secret_scans(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven_documents(table(spark, sf_dir, "documents"))
 
@@ -70,9 +79,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_best_fit_packing": op8_best_fit_packing,
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
+        "op11_secret_scans": op11_secret_scans,
+        "secret_base_spans": secret_base_spans,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": url_filter.oracle_sql(), "op5_ngram_jaccard_join": ngram_join.oracle_sql(), "op12_merkle_manifest": merkle.oracle_sql()}
+    return {
+        "op1_url_filters": url_filter.oracle_sql(),
+        "op5_ngram_jaccard_join": ngram_join.oracle_sql(),
+        "secret_base_spans": credentials.base_sql(),
+        "op12_merkle_manifest": merkle.oracle_sql(),
+    }

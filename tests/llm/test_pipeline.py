@@ -33,7 +33,7 @@ def test_stages(spark):
     assert again == {(r.doc_id, r.piece, r.length) for r in docs.collect()}
 
 
-@pytest.mark.parametrize("name", ["op1_url_filters", "op5_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_url_filters", "op5_ngram_jaccard_join", "secret_base_spans"])
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "pages"):
@@ -46,7 +46,7 @@ def test_queries_equal_sql(spark, name):
 
 def test_every_operator_is_registered():
     names = list(entry.queries())
-    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 11)) and "pipeline" in names
+    assert all(sum(n.startswith(f"op{k}_") for n in names) == 1 for k in range(1, 13)) and "pipeline" in names
 
 
 def brute_votes(text):
