@@ -13,6 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from coomat.operators.partition import scattered
+
 #: Values up to this size count as zero where dense becomes sparse and in sparse products.
 EPS = 1e-15
 
@@ -144,6 +146,13 @@ class Matrix:
         dealt = self.df.repartition(parts, "j") if parts else self.df.repartition("j")
         return self._with(dealt.sortWithinPartitions("j", "i"))
 
+    def scatter(self, by: str = "i", parts: int | None = None) -> Matrix:
+        """Dealt by row ("i") or column ("j") once and kept in the executors, so products that meet it there move it no more.
+
+        Sums by row need it by "i", joins on the inner index as the left side by "j".  ``df.unpersist()`` lets it go.
+        """
+        return self._with(scattered(self.df, by, parts=parts))
+
     def set_zero(self) -> Matrix:
         return self.fill(0.0)
 

@@ -1,12 +1,14 @@
 """PageRank by the power method, with dangling nodes, on DataFrames.
 
-One step is a join of the transition cells with the ranks and a grouped sum.  The engines differ in their plans:
+One step is a product of the transition cells with the ranks.  The engines differ in their plans:
 
+* ``packed``: cells lie in the executors as arrays by rows, ranks (at most BROADCAST_ROWS) go to all tasks as one array;
+* ``hybrid``: cells of sources with many of them meet their ranks in a broadcast join, the rest in a sort-merge join;
 * ``broadcast``: ranks (counted under BROADCAST_ROWS) go to all tasks, cells are cached by destination, a step moves ranks;
 * ``shuffle``: cells are cached by source and meet the ranks in a sort-merge join, whatever their number;
-* ``serial``: the cells (counted, at most LOCAL_CELLS) go to one task that does all steps on arrays;
+* ``serial``: the cells (counted, at most LOCAL_CELLS) go to one task that does all steps on arrays; only if asked for;
 * ``dense``: like broadcast, over all N * N cells, up to DENSE_ROWS nodes;
-* ``auto``: serial, broadcast or shuffle, the first that the counted sizes allow.
+* ``auto``: packed up to BROADCAST_ROWS nodes, hybrid beyond.
 
 Nodes with more than HOT cells are salted: their cells lie in several partitions, and partial sums (or copies of the
 rank) meet them there.  Error and the mass of dangling nodes come out of one aggregate a step over the cached ranks;
@@ -26,14 +28,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coomat.functions.scalars import percent_of
+from coomat.operators.matrix import Matrix
 from coomat.operators.multiply import BROADCAST_ROWS, DENSE_ROWS
+from coomat.operators.packed import Packed, as_array, as_rows
+from coomat.operators.partition import scattered
 from coomat.session import settled
 from coomat.sources.graph import Graph
 
-STRATEGIES = ("auto", "broadcast", "shuffle", "serial", "dense")
+STRATEGIES = ("auto", "packed", "hybrid", "broadcast", "shuffle", "serial", "dense")
 #: Cells that one task may hold: 24 bytes each, some 0.2 GB.
 LOCAL_CELLS = 8_000_000
 HOT = 1_000_000
+#: Sources with more cells than this are heavy; with over HEAVY * MOST_HEAVY cells in all, those with the larger share of
+#: cells, so that there are never more than MOST_HEAVY of them, whatever the graph.
+HEAVY = 1000
+MOST_HEAVY = 1_000_000
 #: A step uses the ranks twice, so plans double with each step that is only cached.
 CHECKPOINT_EVERY = 3
 
@@ -167,7 +176,8 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
     Starts at 1 / N; each step gives a node d * (what flows in) + (d * (old mass of dangling nodes) + 1 - d) / N.  Stops
     when the sum of absolute changes is under tol; the step that gets there counts.
 
-    Times of communication are null where they can't be told from computation.
+    For packed ranks computation is the slowest block's time of each step, and communication the rest of the product's;
+    elsewhere these are null where Spark can't tell them apart.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
@@ -175,35 +185,77 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
         raise ValueError(f"more than {DENSE_ROWS} nodes for the dense strategy")
     if strategy == "broadcast" and graph.n > BROADCAST_ROWS:
         raise ValueError(f"more than {BROADCAST_ROWS} nodes for the broadcast strategy")
+    if strategy == "packed" and graph.n > BROADCAST_ROWS:
+        raise ValueError(f"more than {BROADCAST_ROWS} nodes for the packed strategy")
     spark, n, timer = graph.edges.sparkSession, graph.n, Timer()
     before = rss_kb()
-    matrix = graph.transition().to_dense() if strategy == "dense" else graph.transition()
-    cells = matrix.df.select(F.col("j").alias("src"), F.col("i").alias("dst"), "v").persist(StorageLevel.MEMORY_AND_DISK)
-    nnz, edges = (cells.count() if strategy != "dense" else cells.filter("v <> 0").count()), graph.edges.count()
+    # one pass over the edges; degrees, dangling nodes and counts come from these
+    counted = graph.edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    nnz, edges = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     fits = nnz <= LOCAL_CELLS and n <= BROADCAST_ROWS
     if strategy == "serial" and not fits:
         raise ValueError(f"more than {LOCAL_CELLS} cells or {BROADCAST_ROWS} nodes for the serial strategy")
-    way = strategy if strategy != "auto" else "serial" if fits else "broadcast" if n <= BROADCAST_ROWS else "shuffle"
+    way = strategy if strategy != "auto" else "packed" if n <= BROADCAST_ROWS else "hybrid"
+    if way == "serial" and not nnz:
+        way = "packed"
     stats = Stats(strategy, n, edges, nnz, damping, tol, load_time_s=load_time_s, mem_before_kb=before)
     stats.omp_threads, stats.mpi_ranks = 1, 1 if way == "serial" else spark.sparkContext.defaultParallelism
     timer.start("total")
-    ranks = (_local if way == "serial" else _distributed)(graph, cells, way, damping, max_iter, tol, stats)
+    ranks = {"packed": _packed, "serial": _local}.get(way, _distributed)(graph, counted, way, damping, max_iter, tol, stats)
     stats.total_time_s, stats.mem_after_kb = timer.stop("total"), rss_kb()
-    cells.unpersist()
+    counted.unpersist()
     return Result(ranks, stats)
 
 
-def _local(graph: Graph, cells: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
-    done = settled(local_steps(cells, graph.n, damping, max_iter, tol))
+def degrees(counted: DataFrame) -> DataFrame:
+    """(src, deg) of counted cells."""
+    return counted.groupBy("src").agg(F.sum("c").alias("deg"))
+
+
+def shares(counted: DataFrame) -> DataFrame:
+    """Counted cells -> src, dst, v: the share of the source's edges."""
+    return counted.join(degrees(counted), "src").select("src", "dst", (F.col("c") / F.col("deg")).alias("v"))
+
+
+def _packed(graph: Graph, counted: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
+    """Ranks are an array on the driver (at most BROADCAST_ROWS); damping, error and lost mass are sums over it."""
+    n = graph.n
+    degree = as_array(degrees(counted), "src", "deg", n)
+    ends, each = degree == 0, np.where(degree == 0, 1.0, degree)
+    matrix = Packed.of(counted.select(F.col("dst").alias("i"), F.col("src").alias("j"), F.col("c").cast("double").alias("v")), n, n, stats.csr_nnz)
+    rank, stats.comp_time_s, stats.damp_time_s = np.full(n, 1.0 / n), 0.0, 0.0
+    for k in range(1, max_iter + 1):
+        began = time.perf_counter()
+        flow, slowest = matrix.multiply(rank / each)
+        between = time.perf_counter()
+        new = damping * flow + (damping * rank[ends].sum() + (1 - damping)) / n
+        error, rank = float(np.abs(new - rank).sum()), new
+        stats.iterations, stats.final_error, stats.converged = k, error, error < tol
+        stats.spmv_time_s += between - began
+        stats.comp_time_s += slowest
+        stats.damp_time_s += time.perf_counter() - between
+        if stats.converged:
+            break
+    stats.comm_time_s = stats.spmv_time_s - stats.comp_time_s
+    matrix.drop()
+    return settled(as_rows(counted, rank, "node", "rank"))
+
+
+def _local(graph: Graph, counted: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
+    done = settled(local_steps(shares(counted), graph.n, damping, max_iter, tol))
     first = done.first()
     stats.iterations, stats.final_error, stats.converged = first.steps, first.error, first.error < tol and first.steps > 0
     stats.comm_time_s, stats.comp_time_s, stats.spmv_time_s, stats.damp_time_s = 0.0, first.spmv, first.spmv, first.damp
     return done.select("node", "rank")
 
 
-def flows(cells: DataFrame, ranks: DataFrame, hot: DataFrame, way: str) -> DataFrame:
-    """(node, y): what the ranks (src, rank) send to each destination."""
-    if way == "shuffle":  # each part of a hot source has a copy of its rank
+def flows(kept: list[DataFrame], ranks: DataFrame, hot: DataFrame, way: str) -> DataFrame:
+    """(node, y): what the ranks (src, rank) send to each destination.  kept: the cells; for hybrid those of light and of heavy sources."""
+    cells = kept[0]
+    if way == "hybrid":  # ``hot`` has the heavy sources, at most MOST_HEAVY
+        few = ranks.join(F.broadcast(hot), "src", "left_semi")
+        met = kept[1].join(F.broadcast(few), "src").select("dst", "v", "rank").unionAll(cells.join(ranks.hint("merge"), "src").select("dst", "v", "rank"))
+    elif way == "shuffle":  # each part of a hot source has a copy of its rank
         copies = ranks.join(F.broadcast(hot), "src", "left").select("src", "rank", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("salt"))
         met = cells.join(copies.hint("merge"), ["src", "salt"])
     else:
@@ -211,17 +263,30 @@ def flows(cells: DataFrame, ranks: DataFrame, hot: DataFrame, way: str) -> DataF
     return met.groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("v") * F.col("rank")).alias("y"))
 
 
-def _distributed(graph: Graph, cells: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
-    n, by = graph.n, "src" if way == "shuffle" else "dst"
-    dealt, hot = salted(cells, by)
-    dealt = dealt.repartition(by, "salt").persist(StorageLevel.MEMORY_AND_DISK)
-    ends = graph.dangling().select("node", F.lit(True).alias("end"))
-    state = settled(graph.nodes().join(ends, "node", "left").select("node", F.coalesce("end", F.lit(False)).alias("end"), F.lit(1.0 / n).alias("rank")).repartition("node"))
+def heavy_apart(cells: DataFrame, nnz: int) -> tuple[DataFrame, DataFrame]:
+    """cells + salt (0 for light sources, else the part of a heavy one), and the heavy sources, at most MOST_HEAVY."""
+    least = max(HEAVY, -(-nnz // MOST_HEAVY))
+    heavy = settled(cells.groupBy("src").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > least).select("src"))
+    return cells.join(F.broadcast(heavy.withColumn("h", F.lit(1))), "src", "left").select("src", "dst", "v", F.when(F.col("h").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("dst"), F.lit(64))).cast("int").alias("salt")), heavy
+
+
+def _distributed(graph: Graph, counted: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
+    n, by = graph.n, "dst" if way in ("broadcast", "dense") else "src"
+    cells = shares(counted)
+    if way == "dense":
+        cells = Matrix(cells.select(F.col("dst").alias("i"), F.col("src").alias("j"), "v"), n, n).to_dense().df.select(F.col("j").alias("src"), F.col("i").alias("dst"), "v")
+    dealt, hot = heavy_apart(cells, stats.csr_nnz) if way == "hybrid" else salted(cells, by)
+    if way == "hybrid":  # the light ones by source alone, so a step moves ranks to them and no cells
+        kept = [scattered(dealt.filter("salt = 0").drop("salt"), "src"), scattered(dealt.filter("salt > 0"), "src", "salt")]
+    else:
+        kept = [scattered(dealt, by, "salt")]
+    inner = degrees(counted).select(F.col("src").alias("node"), F.lit(False).alias("end"))
+    state = settled(graph.nodes().join(inner, "node", "left").select("node", F.coalesce("end", F.lit(True)).alias("end"), F.lit(1.0 / n).alias("rank")).repartition("node"))
     loss = state.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()[0]
     held: list[DataFrame] = []
     began = time.perf_counter()
     for k in range(1, max_iter + 1):
-        flow = flows(dealt, state.select(F.col("node").alias("src"), "rank"), hot, way)
+        flow = flows(kept, state.select(F.col("node").alias("src"), "rank"), hot, way)
         new = damping * F.coalesce(F.col("y"), F.lit(0.0)) + (damping * loss + (1 - damping)) / n
         state = state.join(flow, "node", "left").select("node", "end", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
         if k % CHECKPOINT_EVERY:
@@ -238,7 +303,7 @@ def _distributed(graph: Graph, cells: DataFrame, way: str, damping: float, max_i
             break
     stats.spmv_time_s = time.perf_counter() - began
     state = settled(state.select("node", "rank"))
-    for x in (*held, dealt):
+    for x in (*held, *kept):
         x.unpersist()
     return state
 
@@ -265,7 +330,7 @@ def skips(graph: Graph, strategy: str) -> str | None:
     """Why an engine can't take a graph, or None."""
     if strategy == "dense" and graph.n > DENSE_ROWS:
         return f"more than {DENSE_ROWS} nodes"
-    if strategy == "broadcast" and graph.n > BROADCAST_ROWS:
+    if strategy in ("broadcast", "packed") and graph.n > BROADCAST_ROWS:
         return f"more than {BROADCAST_ROWS} nodes"
     if strategy == "serial" and (graph.n > BROADCAST_ROWS or graph.edges.limit(LOCAL_CELLS + 1).count() > LOCAL_CELLS):
         return f"more than {LOCAL_CELLS} edges or {BROADCAST_ROWS} nodes"

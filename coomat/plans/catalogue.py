@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,10 +30,17 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        self.__dict__[name] = self.spark.read.parquet(f"{self.dir}/{name}.parquet")  # the schema is read once
+        return self.__dict__[name]
+
+    def counts_of(self, *keys: tuple[str, str]) -> list[int]:
+        """The largest key of each table plus one, in one job."""
+        found = [getattr(self, table).agg(F.lit(k).alias("k"), F.max(key).cast("bigint").alias("most")) for k, (table, key) in enumerate(keys)]
+        most = {r.k: r.most for r in reduce(DataFrame.unionAll, found).collect()}
+        return [0 if most[k] is None else most[k] + 1 for k in range(len(keys))]
 
     def count_of(self, table: str, key: str) -> int:
-        return (getattr(self, table).agg(F.max(key)).first()[0] or -1) + 1
+        return self.counts_of((table, key))[0]
 
     def n_supp(self) -> int:
         return self.count_of("supplier", "s_suppkey")
@@ -59,9 +66,9 @@ class Tables:
         return Matrix(grid.withColumn("v", ((F.col("i") + 2 * F.col("j")) % 5 - 2).cast("double")), 64, 4, False)
 
     def g(self) -> Graph:
-        n = self.count_of("customer", "c_custkey")
+        n, m = self.counts_of(("customer", "c_custkey"), ("supplier", "s_suppkey"))
         edges = self.lineitem.join(self.orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").alias("src"), (F.col("l_suppkey") + n).alias("dst"))
-        return Graph.of(edges, base=0, n=n + self.n_supp())
+        return Graph(edges.select(F.col("src").cast("bigint").alias("src"), F.col("dst").cast("bigint").alias("dst")), n + m)
 
 
 _A = "A AS (SELECT l_suppkey::bigint AS i, l_partkey::bigint AS j, sum(l_quantity)::double AS v FROM lineitem GROUP BY 1, 2)"
@@ -203,6 +210,13 @@ def _top10(t: Tables) -> DataFrame:
     return _rounded(pr.top_k(_ranks(t).select("node", F.round("rank", 10).alias("rank"))))
 
 
+def _scattered_products(t: Tables) -> DataFrame:
+    """A x and A 1 over one scattered A."""
+    a = t.a().scatter("j")
+    first, second = (mul.spmv(a, x, "shuffle").df for x in (t.x(), _ones(t, t.n_part())))
+    return first.join(second.select("i", F.col("v").alias("w")), "i")
+
+
 def _snap_roundtrip(t: Tables) -> DataFrame:
     edges = t.g().edges
     lines = edges.select(F.concat_ws("\t", "src", "dst").alias("value"))
@@ -234,6 +248,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "spmv": (lambda t: mul.spmv(t.a(), t.x()).df, _SPMV),
     "spmv_broadcast": (lambda t: mul.spmv(t.a(), t.x(), "broadcast").df, _SPMV),
     "spmv_shuffle": (lambda t: mul.spmv(t.a(), t.x(), "shuffle").df, _SPMV),
+    "scattered_products": (_scattered_products, f"WITH {_A}, {_X}, {_S}, P AS (SELECT A.i, sum(A.v * x.v) AS v, sum(A.v) AS w FROM A JOIN x ON A.j = x.i GROUP BY A.i) SELECT S.i, coalesce(P.v, 0.0::double) AS v, coalesce(P.w, 0.0::double) AS w FROM S LEFT JOIN P ON S.i = P.i"),
     "spmv_dense": (lambda t: mul.spmv(t.a(), t.x(), "dense").df, _SPMV),
     "spmv_into_slice": (lambda t: mul.multiply_into(t.a(), t.x(), _ones(t, t.n_supp() + 15), 7).df, f"WITH {_A}, {_X}, P AS (SELECT A.i + 7 AS i, sum(A.v * x.v) AS v FROM A JOIN x ON A.j = x.i GROUP BY A.i), Z AS (SELECT range::bigint AS i FROM range({_NS} + 15)) SELECT Z.i, CASE WHEN Z.i >= 7 AND Z.i < {_NS} + 7 THEN coalesce(P.v, 0.0::double) ELSE 1.0::double END AS v FROM Z LEFT JOIN P ON Z.i = P.i"),
     "csr_dense": (lambda t: _cells(mul.matmul(Matrix(t.e().df, t.e().n_rows, 64), t.w())).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
@@ -248,7 +263,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "in_degree": (lambda t: t.g().in_degree(), f"WITH {_G} SELECT dst AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),
     "dangling": (lambda t: t.g().dangling(), f"WITH {_G} SELECT node FROM N WHERE node NOT IN (SELECT src FROM G)"),
     "transition": (lambda t: _cells(t.g().transition()).select("i", "j", F.round("v", 12).alias("v")), f"WITH {_G}, D AS (SELECT src, count(*)::double AS deg FROM G GROUP BY 1) SELECT G.dst AS i, G.src AS j, round(count(*)::double / any_value(D.deg), 12) AS v FROM G JOIN D ON G.src = D.src GROUP BY 1, 2"),
-    "dangling_mass": (lambda t: t.g().dangling().join(_ranks(t, 3), "node", "left_semi").select("node").join(_ranks(t, 3), "node").agg(F.round(F.coalesce(F.sum("rank"), F.lit(0.0)), 10).alias("mass")), f"WITH {_ranks_sql(3)} SELECT round(coalesce(sum(r), 0.0::double), 10) AS mass FROM R3 WHERE node IN (SELECT node FROM T)"),
+    "dangling_mass": (lambda t: _ranks(t, 3).join(t.g().dangling(), "node", "left_semi").agg(F.round(F.coalesce(F.sum("rank"), F.lit(0.0)), 10).alias("mass")), f"WITH {_ranks_sql(3)} SELECT round(coalesce(sum(r), 0.0::double), 10) AS mass FROM R3 WHERE node IN (SELECT node FROM T)"),
     "pagerank_10": (lambda t: _rounded(_ranks(t)), f"WITH {_ranks_sql(10)} SELECT node, round(r, 10) AS rank FROM R10"),
     "pagerank_top10": (_top10, f"WITH {_ranks_sql(10)} SELECT node, round(r, 10) AS rank FROM R10 ORDER BY round(r, 10) DESC, node LIMIT 10"),
     "pagerank_l1_step": (lambda t: pr.l1_distance(_ranks(t, 2), _ranks(t, 3)).select(F.round("l1", 8).alias("l1")), f"WITH {_ranks_sql(3)} SELECT round(sum(abs(R3.r - R2.r)), 8) AS l1 FROM R3 JOIN R2 ON R3.node = R2.node"),
@@ -281,9 +296,11 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "pagerank_converged": (lambda t: _rounded(pr.pagerank(t.g(), tol=1e-4).ranks, 8), _converged_sql(60, 1e-4)),
     "pagerank_broadcast": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="broadcast").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
     "pagerank_shuffle": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="shuffle").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "pagerank_packed": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="packed").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "pagerank_hybrid": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="hybrid").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
     "pagerank_serial": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="serial").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
     "top10_match": (lambda t: t.spark.createDataFrame([(pr.top_match(_rounded(_ranks(t, 2)), _rounded(_ranks(t, 10))),)], "n bigint"), f"WITH {_ranks_sql(10)}, a AS (SELECT node, row_number() OVER (ORDER BY round(r, 10) DESC, node) AS p FROM R2), b AS (SELECT node, row_number() OVER (ORDER BY round(r, 10) DESC, node) AS p FROM R10) SELECT count(*)::bigint AS n FROM a JOIN b ON a.p = b.p AND a.node = b.node WHERE a.p <= 10"),
-    "engine_metrics": (lambda t: metrics_frame(t.spark, pr.compare(t.g(), "orders", ("auto", "broadcast", "shuffle", "serial"), max_iter=3)).select("engine", "dataset", "num_nodes", "num_edges", "csr_nnz", "iterations", "converged", F.round("final_error", 8).alias("final_error")), f"WITH {_ranks_sql(3)} SELECT e AS engine, 'orders' AS dataset, (SELECT count(*) FROM N)::bigint AS num_nodes, (SELECT count(*) FROM G)::bigint AS num_edges, (SELECT count(*) FROM M)::bigint AS csr_nnz, 3::integer AS iterations, 'no' AS converged, (SELECT round(sum(abs(R3.r - R2.r)), 8) FROM R3 JOIN R2 ON R3.node = R2.node) AS final_error FROM (VALUES ('auto'), ('broadcast'), ('shuffle'), ('serial')) v(e)"),
+    "engine_metrics": (lambda t: metrics_frame(t.spark, pr.compare(t.g(), "orders", ("auto", "broadcast", "shuffle", "hybrid"), max_iter=3)).select("engine", "dataset", "num_nodes", "num_edges", "csr_nnz", "iterations", "converged", F.round("final_error", 8).alias("final_error")), f"WITH {_ranks_sql(3)} SELECT e AS engine, 'orders' AS dataset, (SELECT count(*) FROM N)::bigint AS num_nodes, (SELECT count(*) FROM G)::bigint AS num_edges, (SELECT count(*) FROM M)::bigint AS csr_nnz, 3::integer AS iterations, 'no' AS converged, (SELECT round(sum(abs(R3.r - R2.r)), 8) FROM R3 JOIN R2 ON R3.node = R2.node) AS final_error FROM (VALUES ('auto'), ('broadcast'), ('shuffle'), ('hybrid')) v(e)"),
 }
 
 

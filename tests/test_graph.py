@@ -1,6 +1,7 @@
 import numpy as np
 import pytest
 
+from coomat.operators import packed
 from coomat.operators import pagerank as pr
 from coomat.plans import results
 from coomat.sources import metrics, vectors
@@ -64,28 +65,77 @@ def test_pagerank_agrees_with_numpy(spark, strategy):
     assert [r.node for r in pr.top_k(done.ranks, 3).collect()] == np.lexsort((np.arange(30), -want))[:3].tolist()
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_engines_have_plans_of_their_own(spark, monkeypatch):
     g = Graph.of(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2)], "src bigint, dst bigint"))
     cells = spark.createDataFrame([(0, 1, 0.5)], "src bigint, dst bigint, v double")
     ranks, hot = spark.createDataFrame([(0, 0.5)], "src bigint, rank double"), spark.createDataFrame([], "src bigint, parts int")
-    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     dealt = cells.withColumn("salt", cells.src.cast("int") * 0)
-    assert "BroadcastHashJoin" in plan(pr.flows(dealt, ranks, hot, "broadcast")) and "SortMergeJoin" not in plan(pr.flows(dealt, ranks, hot, "broadcast"))
-    assert "SortMergeJoin" in plan(pr.flows(dealt, ranks, hot, "shuffle"))
+    assert "BroadcastHashJoin" in plan(pr.flows([dealt], ranks, hot, "broadcast")) and "SortMergeJoin" not in plan(pr.flows([dealt], ranks, hot, "broadcast"))
+    assert "SortMergeJoin" in plan(pr.flows([dealt], ranks, hot, "shuffle"))
+    both = plan(pr.flows([dealt, dealt], ranks, hot.select("src"), "hybrid"))
+    assert both.count("SortMergeJoin") == 1 and "BroadcastHashJoin" in both and "Union" in both
     local = plan(pr.local_steps(cells, 3, 0.85, 5, 0.0))
-    assert "MapInArrow" in local and "Coalesce 1" in local and "MapInArrow" not in plan(pr.flows(dealt, ranks, hot, "broadcast"))
+    assert "MapInArrow" in local and "Coalesce 1" in local and "MapInArrow" not in plan(pr.flows([dealt], ranks, hot, "broadcast"))
     used = []
-    for name in ("_local", "_distributed"):
+    for name in ("_packed", "_local", "_distributed"):
         monkeypatch.setattr(pr, name, lambda g, c, way, *a, f=getattr(pr, name): used.append(way) or f(g, c, way, *a))
     pr.pagerank(g, max_iter=1)
     monkeypatch.setattr(pr, "LOCAL_CELLS", 2)
     pr.pagerank(g, max_iter=1)
     monkeypatch.setattr(pr, "BROADCAST_ROWS", 2)
     pr.pagerank(g, max_iter=1)
-    assert used == ["serial", "broadcast", "shuffle"]
+    assert used == ["packed", "packed", "hybrid"]
     skipped = {}
-    assert [r["engine"] for r in pr.compare(g, "x", ("serial", "shuffle", "broadcast"), skipped=skipped, max_iter=1)] == ["shuffle"]
-    assert set(skipped) == {"serial", "broadcast"} and pr.summary([], skipped).count("SKIP") == 2
+    assert [r["engine"] for r in pr.compare(g, "x", ("serial", "packed", "shuffle", "broadcast"), skipped=skipped, max_iter=1)] == ["shuffle"]
+    assert set(skipped) == {"serial", "packed", "broadcast"} and pr.summary([], skipped).count("SKIP") == 3
+
+
+def test_packed_rows_are_in_all_tasks_and_stay_there(spark, monkeypatch):
+    for name, size in (("BLOCK", 40), ("LEAST", 1)):
+        monkeypatch.setattr(packed, name, size)
+    rng = np.random.default_rng(2)
+    cells = {(int(i), int(j)): float(v) for i, j, v in zip(np.where(rng.random(900) < 0.5, 7, rng.integers(0, 60, 900)), rng.integers(0, 50, 900), rng.random(900), strict=True)}
+    frame = spark.createDataFrame([(*k, v) for k, v in cells.items()], "i bigint, j bigint, v double")
+    want, x = np.zeros((60, 50)), rng.random(50)
+    for k, v in cells.items():
+        want[k] = v
+    for gathered in (10**6, 1):  # partial sums on the driver, and added before
+        monkeypatch.setattr(packed, "GATHERED", gathered)
+        m = packed.Packed.of(frame, 60, 50, len(cells))
+        y, seconds = m.multiply(x)
+        assert np.abs(y - want @ x).max() < 1e-12 and seconds > 0
+        sizes = [r.n // 4 for r in m.blocks.selectExpr("octet_length(cols) n").collect()]
+        assert len(sizes) > 8 and max(sizes) < 2 * 40 and sum(sizes) == len(cells)
+        steps = plan(packed.partial_sums(m.blocks, spark.sparkContext.broadcast(x)))
+        assert "InMemoryTableScan" in steps and "Exchange" not in steps.split("InMemoryRelation")[0] and "Coalesce" not in steps
+        m.drop()
+    assert packed.Packed.of(frame.limit(0), 3, 2, 0).multiply(np.ones(2))[0].tolist() == [0, 0, 0]
+    with pytest.raises(ValueError):
+        packed.pack(frame, 5, packed.BROADCAST_ROWS + 1, 1)
+
+
+def test_light_cells_of_hybrid_stay_where_they_are(spark, monkeypatch):
+    monkeypatch.setattr(pr, "HEAVY", 3)
+    seen = []
+    monkeypatch.setattr(pr, "flows", lambda kept, ranks, hot, way, f=pr.flows: seen.append((kept, hot, plan(f(kept, ranks, hot, way)))) or f(kept, ranks, hot, way))
+    edges = [(0, b) for b in range(1, 30)] + [(a, 0) for a in range(5, 30)] + [(3, 4), (3, 4)]
+    want, _ = numpy_ranks(edges, 30)
+    done = pr.pagerank(Graph(spark.createDataFrame(edges, "src bigint, dst bigint"), 30), strategy="hybrid")
+    assert np.abs(np.array([r["rank"] for r in done.ranks.orderBy("node").collect()]) - want).sum() < 1e-12
+    (light, heavy), hot, steps = seen[0]
+    assert [r.src for r in hot.collect()] == [0] and {r.src for r in heavy.collect()} == {0} and light.filter("src = 0").count() == 0
+    cells, _, _ = steps[steps.index("SortMergeJoin") :].partition("InMemoryRelation")
+    assert "InMemoryTableScan" in cells and "Exchange" not in cells and "Sort " not in cells
+
+
+@pytest.mark.parametrize("strategy", pr.STRATEGIES)
+def test_no_edges_at_all(spark, strategy):
+    done = pr.pagerank(Graph(spark.createDataFrame([], "src bigint, dst bigint"), 4), strategy=strategy)
+    assert [tuple(r) for r in done.ranks.orderBy("node").collect()] == [(k, 0.25) for k in range(4)] and done.stats.converged
 
 
 @pytest.mark.parametrize("strategy", ["broadcast", "shuffle"])

@@ -132,3 +132,19 @@ def test_row_ranges(spark):
             got = with_part(spark.range(rows).withColumnRenamed("id", "i"), rows, parts).collect()
             assert all(row_range(rows, r.part, parts)[0] <= r.i < row_range(rows, r.part, parts)[1] for r in got)
     assert [(r.start_row, r.end_row) for r in part_table(spark, 10, 3).collect()] == [(0, 4), (4, 7), (7, 10)]
+
+
+def test_a_scattered_matrix_is_moved_by_no_product(spark):
+    entries = [(k % 7, k % 11, float(k)) for k in range(50)]
+    a = Matrix.from_entries(spark, entries, 7, 11).scatter("j")
+    for x in (Vector.of(spark, [1.0] * 11), Vector.of(spark, [float(k) for k in range(11)])):
+        y = mul.spmv(a, x, "shuffle")
+        steps = y.df._jdf.queryExecution().executedPlan().toString()
+        cells, _, _ = steps[steps.index("SortMergeJoin") :].partition("InMemoryRelation")
+        assert "InMemoryTableScan" in cells and "Exchange" not in cells and "Sort " not in cells
+        assert y.collect() == mul.spmv(Matrix.from_entries(spark, entries, 7, 11), x).collect()
+    rows = Matrix.from_entries(spark, entries, 7, 11).scatter("i")
+    steps = rows.row_nnz()._jdf.queryExecution().executedPlan().toString().partition("InMemoryRelation")[0]
+    assert "InMemoryTableScan" in steps and "Exchange" not in steps
+    for m in (a, rows):
+        m.df.unpersist()
