@@ -13,11 +13,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from coomat.operators.partition import scattered
+from coomat.operators.partition import scattered, with_positions
 
 #: Values up to this size count as zero where dense becomes sparse and in sparse products.
 EPS = 1e-15
 
+#: Positions of a block where lines of compressed tables meet their cells.
+POSITIONS = 1 << 16
+
 
 def nonzero(v: Column, eps: float = EPS) -> Column:
     """abs(v) > eps as IEEE has it: never true for NaN (Spark orders NaN above every number)."""
@@ -98,6 +101,59 @@ class Matrix:
         shape = (len(ptr) - 1, size) if by_row else (size, len(ptr) - 1)
         return cls.sparse(cells.select(F.col(i).alias("i"), F.col(j).alias("j"), "v"), *shape)
 
+    @classmethod
+    def from_csr_tables(cls, stored: DataFrame, ptr: DataFrame, n_cols: int) -> Matrix:
+        """From compressed rows of any size: stored (pos, value, index) and ptr (k, ptr), one row more than the matrix has.
+
+        Line k owns positions ptr(k) to ptr(k + 1) - 1.  Both tables are cut into blocks of POSITIONS, lines at each block
+        they reach, and in a block every position takes the last line that begins at or before it: a merge in order of
+        position, so no pairs are tried, and a long line lies in as many tasks as it has blocks.
+        """
+        return cls._tables(stored, ptr, n_cols, True)
+
+    @classmethod
+    def from_csc_tables(cls, stored: DataFrame, ptr: DataFrame, n_rows: int) -> Matrix:
+        """From compressed columns, alike."""
+        return cls._tables(stored, ptr, n_rows, False)
+
+    @classmethod
+    def _tables(cls, stored: DataFrame, ptr: DataFrame, size: int, by_row: bool) -> Matrix:
+        own = ptr.select(F.col("k").cast("bigint").alias("k"), F.col("ptr").cast("bigint").alias("lo"))
+        lines = own.join(own.select((F.col("k") - 1).alias("k"), F.col("lo").alias("hi")), "k")
+        n, low, high, used, least = stored.agg(F.count(F.lit(1)), F.min("pos"), F.max("pos"), F.max("index"), F.min("index")).first()
+        count, first, last = own.agg(F.count(F.lit(1)), F.min("k"), F.max("k")).first()
+        start, end, shortest, gaps = lines.agg(F.min("lo"), F.max("hi"), F.min(F.col("hi") - F.col("lo")), F.count(F.lit(1))).first()
+        if not count or first or last != count - 1 or gaps != count - 1:
+            raise ValueError("pointers must be numbered from 0 without gaps")
+        if start or (end or 0) != n or (shortest or 0) < 0 or n and (low or high != n - 1):
+            raise ValueError("lengths of values, indices and pointers don't fit")
+        if n and (used >= size or least < 0):
+            raise ValueError(f"index {used if used >= size else least} lies outside {size}")
+        block = lambda x: F.floor(x / POSITIONS).cast("bigint")
+        reached = lines.filter("hi > lo").select("k", "lo", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))).alias("b"))
+        starts = reached.select("b", F.greatest("lo", F.col("b") * POSITIONS).alias("at"), F.lit(0).alias("cell"), "k", F.lit(None).cast("bigint").alias("o"), F.lit(None).cast("double").alias("v"))
+        cells = stored.select(block(F.col("pos")).alias("b"), F.col("pos").cast("bigint").alias("at"), F.lit(1).alias("cell"), F.lit(None).cast("bigint").alias("k"), F.col("index").cast("bigint").alias("o"), F.col("value").cast("double").alias("v"))
+        seen = Window.partitionBy("b").orderBy("at", "cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        found = starts.unionAll(cells).withColumn("k", F.last("k", ignorenulls=True).over(seen)).filter("cell = 1")
+        i, j = ("k", "o") if by_row else ("o", "k")
+        return cls.sparse(found.select(F.col(i).alias("i"), F.col(j).alias("j"), "v"), *((count - 1, size) if by_row else (size, count - 1)))
+
+    def csr_tables(self) -> tuple[DataFrame, DataFrame]:
+        """(pos, value, index) and (k, ptr) of the compressed rows: the same matrix for ``from_csr_tables``."""
+        return with_positions(self.df, "i", "j").select("pos", F.col("v").alias("value"), F.col("j").alias("index")), self.row_ptr()
+
+    def csc_tables(self) -> tuple[DataFrame, DataFrame]:
+        return with_positions(self.df, "j", "i").select("pos", F.col("v").alias("value"), F.col("i").alias("index")), self.col_ptr()
+
+    @classmethod
+    def from_values(cls, values: DataFrame, n_rows: int, n_cols: int) -> Matrix:
+        """Dense, from (pos, value) in row order; a position tells row and column, so nothing is moved."""
+        n, low, high = values.agg(F.count(F.lit(1)), F.min("pos"), F.max("pos")).first()
+        if n != n_rows * n_cols or n and (low or high != n - 1):
+            raise ValueError(f"{n} values for {n_rows} x {n_cols}")
+        width = max(1, n_cols)
+        return cls(values.select(F.expr(f"cast(pos div {width} as bigint)").alias("i"), F.expr(f"cast(pos % {width} as bigint)").alias("j"), F.col("value").cast("double").alias("v")), n_rows, n_cols, False)
+
     @classmethod
     def filled(cls, spark: SparkSession, n_rows: int, n_cols: int, value: float = 0.0) -> Matrix:
         """All cells of one value, made row by row in blocks of columns: no join and nothing to broadcast."""

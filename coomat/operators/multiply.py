@@ -2,15 +2,21 @@
 
 Strategies: ``auto`` leaves the join to Catalyst and adaptive execution; ``broadcast`` sends the right side to every
 task, but only if it is counted under ``BROADCAST_ROWS`` (else it falls back to ``shuffle``); ``shuffle`` is a
-sort-merge join, which splits skewed keys; ``dense`` fills the left side first, up to DENSE_ROWS rows.
+sort-merge join, which splits skewed keys; ``dense`` fills the left side first, up to DENSE_ROWS rows; ``gustavson``
+(sparse times sparse) joins the left side's cells with packed rows of the right side, in two phases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coomat.operators.matrix import EPS, Matrix, Vector, nonzero, span
+from coomat.session import settled
 
 BROADCAST_ROWS = 4_000_000
 DENSE_ROWS = 20_000
@@ -59,6 +65,8 @@ def multiply_into(a: Matrix, x: Vector, y: Vector, dest: int, strategy: str = "a
 
 def matmul(a: Matrix, b: Matrix, strategy: str = "auto", eps: float = EPS) -> Matrix:
     """a b.  Sparse times sparse stays sparse, and what cancels (abs <= eps) is dropped; else the result is dense."""
+    if strategy == "gustavson":
+        return gustavson(a, b, eps)
     out = _product(a, b, strategy)
     if a.is_sparse and b.is_sparse:
         return Matrix(out.filter(nonzero(F.col("v"), eps)), a.n_rows, b.n_cols)
@@ -67,6 +75,78 @@ def matmul(a: Matrix, b: Matrix, strategy: str = "auto", eps: float = EPS) -> Ma
     return Matrix(out, a.n_rows, b.n_cols).to_dense()
 
 
+#: Products that a task of the numeric phase sums at a time, some 50 MB; rows with more are dealt to several tasks.
+PRODUCTS = 1 << 20
+#: Cells of a packed piece of a row of the right side.
+PIECE = 1 << 12
+
+
+def product_bounds(a: Matrix, b: Matrix) -> DataFrame:
+    """(i, bound): how many cell products each row of a b takes, which bounds its cells.  The symbolic phase."""
+    _fit(a.n_cols, b.n_rows)
+    counts = b.df.groupBy(F.col("i").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    return a.df.select("i", F.col("j").alias("k")).join(counts, "k").groupBy("i").agg(F.sum("c").alias("bound"))
+
+
+def row_parts(bounds: DataFrame, products: int) -> DataFrame:
+    """(i, part, splits): rows in order, parts of about equal products; a row with more than ``products`` is split and has a part < 0."""
+    block = 1 << 16
+    light = F.when(F.col("bound") > products, 0).otherwise(F.col("bound"))
+    lines = bounds.select("i", "bound", light.alias("c"), F.expr(f"i div {block}").alias("b"))
+    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)  # a row for 65,536 rows of the matrix
+    bases = lines.groupBy("b").agg(F.sum("c").alias("s")).select("b", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    within = Window.partitionBy("b").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    placed = lines.withColumn("p", F.coalesce(F.sum("c").over(within), F.lit(0))).join(bases, "b")
+    heavy = F.col("bound") > products
+    return placed.select("i", F.when(heavy, -1 - F.col("i")).otherwise(F.floor((F.col("p") + F.col("base")) / products)).cast("bigint").alias("part"), F.when(heavy, F.ceil(F.col("bound") / products)).otherwise(1).cast("int").alias("splits"))
+
+
+def packed_rows(b: Matrix, piece: int) -> tuple[DataFrame, DataFrame]:
+    """(k, piece, cols, vals), each of about ``piece`` cells, and (k, pieces) of each row of b."""
+    counts = b.df.groupBy(F.col("i").alias("k")).agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    cells = b.df.select(F.col("i").alias("k"), F.col("j").alias("c"), F.col("v").alias("w")).join(counts, "k")
+    dealt = cells.groupBy("k", F.pmod(F.xxhash64("c"), F.col("pieces")).cast("int").alias("piece")).agg(F.collect_list(F.struct("c", "w")).alias("cells"))
+    return dealt.select("k", "piece", F.col("cells.c").alias("cols"), F.col("cells.w").alias("vals")), counts
+
+
+def gustavson(a: Matrix, b: Matrix, eps: float = EPS) -> Matrix:
+    """a b, sparse.  Symbolic: bounds of products cut the rows of a into parts of equal work.  Numeric: cells of a meet whole
+    pieces of rows of b, and each part sums its products in numpy, sorted by cell.
+
+    A long row of b is in several pieces, each with a join key of its own, so a hot inner index is spread; a row of the
+    result with more than PRODUCTS products is spread over tasks by inner index and summed once more.
+    """
+    bounds = settled(product_bounds(a, b))
+    most = bounds.agg(F.max("bound")).first()[0] or 0
+    pieces, counts = packed_rows(b, PIECE)
+    own = a.df.select("i", F.col("j").alias("k"), "v").join(row_parts(bounds, PRODUCTS), "i").join(counts, "k")
+    own = own.select("k", "i", "v", "part", F.pmod(F.xxhash64("k"), F.col("splits")).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+
+    def summed(table):
+        i, v = table.column("i").to_numpy(), table.column("v").to_numpy()
+        cols, vals = (table.column(c).combine_chunks() for c in ("cols", "vals"))
+        n = np.diff(cols.offsets.to_numpy())
+        i, c, x = np.repeat(i, n), cols.flatten().to_numpy(), np.repeat(v, n) * vals.flatten().to_numpy()
+        low, at = (int(i.min()), int(c.min())) if len(i) else (0, 0)
+        width = int(c.max()) - at + 1 if len(i) else 1
+        if len(i) and (int(i.max()) - low + 1) * width <= 8 * len(i) + (1 << 16):  # a dense accumulator for rows that fill up
+            place = (i - low) * width + (c - at)
+            sums, there = np.bincount(place, x), np.flatnonzero(np.bincount(place))
+            return pa.table({"i": there // width + low, "j": there % width + at, "v": sums[there]})
+        by = np.lexsort((c, i))
+        i, c, x = i[by], c[by], x[by]
+        first = np.flatnonzero(np.append(True, (i[1:] != i[:-1]) | (c[1:] != c[:-1]))) if len(i) else np.zeros(0, np.int64)
+        return pa.table({"i": i[first], "j": c[first], "v": np.add.reduceat(x, first) if len(first) else x})
+
+    def numeric(side: DataFrame) -> DataFrame:
+        return side.join(pieces, ["k", "piece"]).select("part", "sub", "i", "v", "cols", "vals").groupBy("part", "sub").applyInArrow(summed, "i bigint, j bigint, v double")
+
+    out = numeric(own.filter("part >= 0"))
+    if most > PRODUCTS:
+        out = out.unionAll(numeric(own.filter("part < 0")).groupBy("i", "j").agg(F.sum("v").alias("v")))
+    return Matrix(out.filter(nonzero(F.col("v"), eps)), a.n_rows, b.n_cols)
+
+
 def multiply_add(a: Matrix, b: Matrix, c: Matrix, dest: int = 0, strategy: str = "auto") -> Matrix:
     """c with a b added to its rows from dest on."""
     if dest < 0 or dest + a.n_rows > c.n_rows or b.n_cols != c.n_cols:
@@ -75,40 +155,49 @@ def multiply_add(a: Matrix, b: Matrix, c: Matrix, dest: int = 0, strategy: str =
     return Matrix(c.df.select("i", "j", "v").unionAll(part).groupBy("i", "j").agg(F.sum("v").alias("v")), c.n_rows, c.n_cols, c.is_sparse)
 
 
+def dense_blocks(m: Matrix, row: str, col: str, size: int) -> DataFrame:
+    """(row, col, places, values): square blocks of cells as two arrays; cells that aren't there are zero."""
+    cells = m.df.select(F.expr(f"i div {size}").alias(row), F.expr(f"j div {size}").alias(col), F.struct(F.expr(f"cast((i % {size}) * {size} + j % {size} as int)").alias("p"), "v").alias("e"))
+    return cells.groupBy(row, col).agg(F.collect_list("e").alias("e")).select(row, col, F.col("e.p").alias("places"), F.col("e.v").alias("values"))
+
+
 def blocked_matmul(a: Matrix, b: Matrix, size: int = 256) -> Matrix:
-    """Dense a b over square blocks, each multiplied in numpy.
+    """a b over square blocks that are array columns; all cells if both are dense, else the cells that are over EPS.
 
-    A join row carries a block, not a cell, so the shuffle is size times smaller than for the cell join.
+    A join row carries a block, not a cell, and a block of zeros is not there at all.  The blocks of a row or column of
+    blocks meet in a join on the inner block; each product is one numpy call, and sums of blocks are grouped sums of
+    arrays, so the result leaves arrays only at the end.
     """
-    import numpy as np
-    import pandas as pd
-
     _fit(a.n_cols, b.n_rows)
-    s, (rows, inner, cols) = size, (a.n_rows, a.n_cols, b.n_cols)
-
-    def packed(m: Matrix, r: str, c: str, x: str) -> DataFrame:
-        cells = m.df.select(F.expr(f"i div {s}").alias(r), F.expr(f"j div {s}").alias(c), F.struct(F.expr(f"cast((i % {s}) * {s} + j % {s} as int)").alias("p"), "v").alias("e"))
-        return cells.groupBy(r, c).agg(F.collect_list("e").alias(x))
-
-    pairs = packed(a, "bi", "bk", "x").join(packed(b, "bk", "bj", "y"), "bk")
-
-    def times(batches):
-        def full(cells):
-            out = np.zeros(s * s)
-            for e in cells:
-                out[e["p"]] += e["v"]
-            return out.reshape(s, s)
-
-        for pdf in batches:
-            for bi, bj, x, y in zip(pdf.bi, pdf.bj, pdf.x, pdf.y, strict=True):
-                c = full(x) @ full(y)
-                c = c[: min(s, rows - bi * s), : min(s, cols - bj * s)]
-                i, j = np.indices(c.shape)
-                yield pd.DataFrame({"i": (i + bi * s).ravel(), "j": (j + bj * s).ravel(), "v": c.ravel()})
-
-    del inner
-    cells = pairs.mapInPandas(times, "i bigint, j bigint, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
-    return Matrix(cells, rows, cols, False)
+    s, rows, cols, dense = size, a.n_rows, b.n_cols, not (a.is_sparse or b.is_sparse)
+    left, right = dense_blocks(a, "bi", "bk", s), dense_blocks(b, "bk", "bj", s)
+    pairs = left.join(right.withColumnsRenamed({"places": "places2", "values": "values2"}), "bk")
+
+    def full(places: pa.Array, values: pa.Array, k: int) -> np.ndarray:
+        lo, hi = places.offsets[k].as_py(), places.offsets[k + 1].as_py()
+        out = np.zeros(s * s)
+        np.add.at(out, places.values.to_numpy()[lo:hi], values.values.to_numpy()[lo:hi])
+        return out.reshape(s, s)
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            b1, b2 = (x.column("places"), x.column("values")), (x.column("places2"), x.column("values2"))
+            for k in range(x.num_rows):  # one product of blocks after the other
+                yield pa.RecordBatch.from_arrays([x.column("bi").slice(k, 1), x.column("bj").slice(k, 1), pa.array([(full(*b1, k) @ full(*b2, k)).tobytes()], pa.binary())], ["bi", "bj", "block"])
+
+    def added(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(s * s)
+        for x in batches:
+            for block in x.column("block"):
+                total += np.frombuffer(block.as_buffer())
+        c = total.reshape(s, s)[: min(s, rows - key[0].as_py() * s), : min(s, cols - key[1].as_py() * s)]
+        i, j = (x.ravel() for x in np.indices(c.shape))
+        v = c.ravel()
+        keep = np.ones(len(v), bool) if dense else np.abs(v) > EPS
+        yield pa.RecordBatch.from_arrays([pa.array(i[keep] + key[0].as_py() * s), pa.array(j[keep] + key[1].as_py() * s), pa.array(v[keep])], ["i", "j", "v"])
+
+    products = pairs.select("bi", "bj", "places", "values", "places2", "values2").mapInArrow(times, "bi bigint, bj bigint, block binary")
+    return Matrix(products.groupBy("bi", "bj").applyInArrow(added, "i bigint, j bigint, v double"), rows, cols, not dense)
 
 
 def symbolic_nnz(a: Matrix, b: Matrix) -> DataFrame:

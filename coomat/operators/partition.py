@@ -50,6 +50,21 @@ def scattered(df: DataFrame, *keys: str, parts: int | None = None) -> DataFrame:
     return out
 
 
+def with_positions(df: DataFrame, *keys: str, into: str = "pos") -> DataFrame:
+    """df + the place of each row in the order of its keys, from 0.
+
+    Rows are dealt by ranges of their keys and numbered where they lie; the table of first places has a row for each part.
+    Keys must tell rows apart: then no range can be larger than sampling has it.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    once = settled(df)
+    placed = settled(once.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # over the parts
+    firsts = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_first"))
+    return placed.join(F.broadcast(firsts), part == F.col("_p")).select(*df.columns, (F.col("_first") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).alias(into))
+
+
 #: Names that one window of ``dense_ids`` should hold.
 NAMES_A_BUCKET = 50_000
 

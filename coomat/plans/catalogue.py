@@ -156,18 +156,14 @@ def _shape(t: Tables) -> DataFrame:
 
 
 def _compressed(t: Tables, by_row: bool) -> Matrix:
-    """B from its three arrays; arrays are what the driver holds, so this is for matrices that fit there."""
+    """B from the tables of its three arrays."""
     b = t.b()
-    first, other = ("i", "j") if by_row else ("j", "i")
-    rows = b.df.orderBy(first, other).collect()
-    ptr = [r.ptr for r in (b.row_ptr() if by_row else b.col_ptr()).orderBy("k").collect()]
-    make = Matrix.from_csr if by_row else Matrix.from_csc
-    return make(t.spark, [r.v for r in rows], [r[other] for r in rows], ptr, b.n_cols if by_row else b.n_rows)
+    return Matrix.from_csr_tables(*b.csr_tables(), b.n_cols) if by_row else Matrix.from_csc_tables(*b.csc_tables(), b.n_rows)
 
 
 def _dense_values(t: Tables) -> Matrix:
     b = t.b()
-    return Matrix.from_rows(t.spark, [r.v for r in b.to_dense().df.orderBy("i", "j").collect()], b.n_rows, b.n_cols)
+    return Matrix.from_values(b.to_dense().df.select((F.col("i") * b.n_cols + F.col("j")).alias("pos"), F.col("v").alias("value")), b.n_rows, b.n_cols)
 
 
 def _shared(t: Tables, name: str) -> str:
@@ -256,7 +252,10 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "dense_dense_blocked": (lambda t: _cells(mul.blocked_matmul(t.e(), t.w(), 32)).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "csr_csr": (lambda t: _cells(mul.matmul(t.a(), t.b())), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
     "csr_csr_shuffle": (lambda t: _cells(mul.matmul(t.a(), t.b(), "shuffle")), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
-    "csr_csc": (lambda t: _cells(mul.matmul(t.a(), t.a().transpose())), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
+    "csr_csc": (lambda t: _cells(mul.matmul(t.a(), t.a().transpose(), "gustavson")), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
+    "product_bounds": (lambda t: mul.product_bounds(t.a(), t.b()), f"WITH {_A}, {_B}, K AS (SELECT i, count(*) AS c FROM B GROUP BY i) SELECT A.i, sum(K.c)::bigint AS bound FROM A JOIN K ON A.j = K.i GROUP BY A.i"),
+    "csr_csr_blocks": (lambda t: _cells(mul.blocked_matmul(t.a(), t.b(), 64)), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
+    "csr_csr_gustavson": (lambda t: _cells(mul.matmul(t.a(), t.b(), "gustavson")), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
     "symbolic_nnz": (lambda t: mul.symbolic_nnz(t.a(), t.b()), f"WITH {_A}, {_B}, {_S}, P AS (SELECT A.i, count(DISTINCT B.j) AS n FROM A JOIN B ON A.j = B.i GROUP BY A.i) SELECT S.i, coalesce(P.n, 0)::bigint AS n FROM S LEFT JOIN P ON S.i = P.i"),
     "matmul_add": (lambda t: _cells(mul.multiply_add(t.a(), t.b(), Matrix.filled(t.spark, t.n_supp() + 4, 12, 1.0), 3)), f"WITH {_A}, {_B}, P AS ({_AB}), Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NS} + 4) a, range(12) b) SELECT Z.i, Z.j, 1.0::double + coalesce(P.v, 0.0::double) AS v FROM Z LEFT JOIN P ON Z.i = P.i + 3 AND Z.j = P.j"),
     "out_degree": (lambda t: t.g().out_degree(), f"WITH {_G} SELECT src AS node, count(*)::bigint AS deg FROM G GROUP BY 1"),

@@ -140,7 +140,7 @@ def test_a_scattered_matrix_is_moved_by_no_product(spark):
     for x in (Vector.of(spark, [1.0] * 11), Vector.of(spark, [float(k) for k in range(11)])):
         y = mul.spmv(a, x, "shuffle")
         steps = y.df._jdf.queryExecution().executedPlan().toString()
-        cells, _, _ = steps[steps.index("SortMergeJoin") :].partition("InMemoryRelation")
+        cells, _, _ = steps[steps.index("SortMergeJoin [j#") :].partition("InMemoryRelation")
         assert "InMemoryTableScan" in cells and "Exchange" not in cells and "Sort " not in cells
         assert y.collect() == mul.spmv(Matrix.from_entries(spark, entries, 7, 11), x).collect()
     rows = Matrix.from_entries(spark, entries, 7, 11).scatter("i")
@@ -148,3 +148,97 @@ def test_a_scattered_matrix_is_moved_by_no_product(spark):
     assert "InMemoryTableScan" in steps and "Exchange" not in steps
     for m in (a, rows):
         m.df.unpersist()
+
+
+def random_cells(seed, rows, cols, n, hot=()):
+    import random
+
+    rng = random.Random(seed)
+    own = {(rng.randrange(rows), rng.randrange(cols)): float(rng.randrange(-4, 5)) for _ in range(n)}
+    return {**own, **{k: float(rng.randrange(1, 5)) for k in hot}}
+
+
+def plain_product(a, b):
+    out = {}
+    for (i, k), v in a.items():
+        for (l, j), w in b.items():
+            if k == l:
+                out[i, j] = out.get((i, j), 0.0) + v * w
+    return {k: v for k, v in out.items() if abs(v) > 1e-15}
+
+
+def handle(spark, own, rows, cols):
+    return Matrix.from_entries(spark, [(*k, v) for k, v in own.items()], rows, cols)
+
+
+@pytest.mark.parametrize(("products", "piece"), [(1 << 20, 1 << 12), (40, 4)])
+def test_two_phase_product_splits_hot_rows_and_inner_keys(spark, monkeypatch, products, piece):
+    monkeypatch.setattr(mul, "PRODUCTS", products)
+    monkeypatch.setattr(mul, "PIECE", piece)
+    a = random_cells(1, 12, 20, 60, [(3, k) for k in range(20)] + [(i, 5) for i in range(12)])  # row 3 and inner key 5 are hot
+    b = random_cells(2, 20, 15, 80, [(5, j) for j in range(15)])
+    left, right = handle(spark, a, 12, 20), handle(spark, b, 20, 15)
+    got = mul.matmul(left, right, "gustavson")
+    assert {(r.i, r.j): r.v for r in got.df.collect()} == pytest.approx(plain_product(a, b)) and (got.n_rows, got.n_cols) == (12, 15)
+    bounds = {r.i: r.bound for r in mul.product_bounds(left, right).collect()}
+    assert bounds == {i: n for i in range(12) if (n := sum(1 for (r, k) in a if r == i for (l, _) in b if l == k))}
+    parts = {r.i: r for r in mul.row_parts(mul.product_bounds(left, right), products).collect()}
+    light = [r for r in parts.values() if r.part >= 0]
+    for p in {r.part for r in light}:
+        assert sum(bounds[r.i] for r in light if r.part == p) < 2 * products
+    assert all(r.part == -1 - i and r.splits == -(-bounds[i] // products) for i, r in parts.items() if bounds[i] > products) and (products > 40 or parts[3].splits > 1)
+    packed = mul.packed_rows(right, piece)[0].collect()
+    assert sum(len(r.cols) for r in packed) == len(b) and (piece > 4 or len([r for r in packed if r.k == 5]) > 2)
+
+
+def test_two_phase_product_of_nothing_and_cancelled_cells(spark):
+    none = mul.matmul(Matrix.empty(spark, 3, 4), Matrix.empty(spark, 4, 2), "gustavson")
+    assert cells(none) == [] and (none.n_rows, none.n_cols) == (3, 2)
+    a = Matrix.from_entries(spark, [(0, 0, 1), (0, 1, 1)], 1, 2)
+    assert cells(mul.matmul(a, Matrix.from_entries(spark, [(0, 0, 2), (0, 1, 3), (1, 1, -3)], 2, 2), "gustavson")) == [(0, 0, 2.0)]
+    with pytest.raises(ValueError):
+        mul.matmul(a, Matrix.empty(spark, 3, 2), "gustavson")
+
+
+@pytest.mark.parametrize("size", [2, 5, 64])
+def test_block_products(spark, size):
+    a, b = random_cells(3, 11, 9, 40), random_cells(4, 9, 7, 30)
+    left, right = handle(spark, a, 11, 9), handle(spark, b, 9, 7)
+    sparse = mul.blocked_matmul(left, right, size)
+    assert sparse.is_sparse and {(r.i, r.j): r.v for r in sparse.df.collect()} == pytest.approx(plain_product(a, b))
+    dense = mul.blocked_matmul(left.to_dense(), right.to_dense(), size)
+    got = {(r.i, r.j): r.v for r in dense.df.collect()}
+    assert len(got) == 77 and {k: v for k, v in got.items() if v} == pytest.approx(plain_product(a, b))
+
+
+@pytest.mark.parametrize("positions", [1 << 16, 4])
+def test_compressed_tables_come_back(spark, monkeypatch, positions):
+    from coomat.operators import matrix as mx
+
+    monkeypatch.setattr(mx, "POSITIONS", positions)
+    own = random_cells(5, 9, 8, 20, [(4, j) for j in range(8)])  # a line over several blocks, and empty lines
+    m = handle(spark, {k: v for k, v in own.items() if k[0] not in (0, 6)}, 9, 8)
+    stored, ptr = m.csr_tables()
+    rows = stored.orderBy("pos").collect()
+    want = sorted((r.i, r.j, r.v) for r in m.df.collect())
+    assert [(r.pos, r["index"], r.value) for r in rows] == [(p, j, v) for p, (_, j, v) in enumerate(want)]
+    back = Matrix.from_csr_tables(stored, ptr, 8)
+    assert cells(back) == cells(m) and (back.n_rows, back.n_cols) == (9, 8)
+    back = Matrix.from_csc_tables(*m.csc_tables(), 9)
+    assert cells(back) == cells(m) and (back.n_rows, back.n_cols) == (9, 8)
+
+
+def test_compressed_tables_are_checked(spark):
+    stored = spark.createDataFrame([(0, 1.0, 2), (1, 2.0, 0)], "pos bigint, value double, index bigint")
+    ptr = lambda *p: spark.createDataFrame(list(enumerate(p)), "k bigint, ptr bigint")
+    assert cells(Matrix.from_csr_tables(stored, ptr(0, 0, 2), 3)) == [(1, 0, 2.0), (1, 2, 1.0)]
+    for bad in (ptr(0, 1), ptr(1, 2), ptr(0, 2, 1, 2), ptr(0), ptr(), ptr(0, 2).selectExpr("k * 2 AS k", "ptr")):
+        with pytest.raises(ValueError):
+            Matrix.from_csr_tables(stored, bad, 3)
+    with pytest.raises(ValueError):
+        Matrix.from_csr_tables(stored, ptr(0, 2), 2)
+    assert cells(Matrix.from_csr_tables(stored.limit(0), ptr(0, 0), 2)) == []
+    values = spark.createDataFrame([(0, 1.0), (1, 2.0)], "pos bigint, value double")
+    assert cells(Matrix.from_values(values, 2, 1)) == [(0, 0, 1.0), (1, 0, 2.0)]
+    with pytest.raises(ValueError):
+        Matrix.from_values(values, 2, 2)
