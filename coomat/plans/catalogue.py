@@ -21,6 +21,7 @@ from coomat.plans import results
 from coomat.session import ensure_checkpoints
 from coomat.sources.graph import Graph, parse_edges, read_snap
 from coomat.sources.metrics import COLUMNS, metrics_frame, read_tagged, write_metrics
+from coomat.sources.vectors import read_meta, read_rank_vector, write_meta, write_rank_vector
 
 
 class Tables:
@@ -97,24 +98,23 @@ FROM N LEFT JOIN (SELECT M.dst, sum(M.v * R{k}.r) AS y FROM M JOIN R{k} ON M.src
     return out
 
 
-def _metrics(spark: SparkSession) -> DataFrame:
-    """Synthetic metrics: two datasets, three engines, ranks 1, 2, 4, 8 and threads 1, 2, 4."""
-    base = spark.range(2).select(F.col("id").alias("d"))
-    engines = spark.createDataFrame([("CSR_Serial", 0), ("MPI_CSR", 1), ("Hybrid", 2)], "name string, e int")
-    grid = base.crossJoin(engines).crossJoin(spark.createDataFrame([(1,), (2,), (4,), (8,)], "p int")).crossJoin(spark.createDataFrame([(1,), (2,), (4,)], "t int"))
-    time = (100 + 37 * F.col("d") + 13 * F.col("e")) / (F.col("p") * F.col("t")) + F.col("p") * (F.col("d") + 1)
-    n = (F.col("d") + 1) * 1000
-    return grid.select(
-        F.concat(F.col("name"), F.lit("_p"), F.col("p"), F.lit("_t"), F.col("t")).alias("engine"), F.col("p").alias("mpi_ranks"), F.col("t").alias("omp_threads"), time.cast("double").alias("total_time_s"),
-        (F.col("p") - 1).cast("double").alias("comm_time_s"), F.col("e").cast("double").alias("comp_time_s"), n.alias("num_nodes"), (n * 7).alias("num_edges"), (n + F.col("p")).alias("mem_peak_rss_kb"),
-        F.concat(F.lit("d"), F.col("d")).alias("_ds"),
+def _metrics(t: Tables) -> DataFrame:
+    """Runs as lines of orders tell them: a dataset for each return flag, an engine by supplier, ranks by line, threads by part.
+
+    Lines count as edges, suppliers as nodes, quantities as work that ranks and threads share, line numbers as computation.
+    """
+    e, p, threads = F.col("l_suppkey") % 3, F.pow(F.lit(2), F.col("l_linenumber") % 4).cast("int"), F.pow(F.lit(2), F.col("l_partkey") % 3).cast("int")
+    runs = t.lineitem.groupBy(F.col("l_returnflag").alias("_ds"), e.alias("e"), p.alias("p"), threads.alias("t")).agg(F.sum("l_quantity").alias("q"), F.sum("l_linenumber").cast("double").alias("n"), F.countDistinct("l_suppkey").alias("s"), F.count(F.lit(1)).alias("c"), F.max("l_partkey").alias("m"))
+    name = F.when(F.col("e") == 0, "CSR_Serial").when(F.col("e") == 1, "MPI_CSR").otherwise("Hybrid")
+    return runs.select(
+        F.concat(name, F.lit("_p"), F.col("p"), F.lit("_t"), F.col("t")).alias("engine"), F.col("p").alias("mpi_ranks"), F.col("t").alias("omp_threads"), (F.col("q") / (F.col("p") * F.col("t"))).alias("total_time_s"),
+        (F.col("p") - 1).cast("double").alias("comm_time_s"), F.col("n").alias("comp_time_s"), F.col("s").alias("num_nodes"), F.col("c").alias("num_edges"), F.col("m").alias("mem_peak_rss_kb"), "_ds",
     )
 
 
-_MET = """met AS (SELECT name || '_p' || p || '_t' || t AS engine, p AS mpi_ranks, t AS omp_threads,
- ((100 + 37 * d + 13 * e)::double / (p * t)::double + (p * (d + 1))::double)::double AS total_time_s, (p - 1)::double AS comm_time_s, e::double AS comp_time_s,
- (d + 1) * 1000 AS num_nodes, (d + 1) * 7000 AS num_edges, (d + 1) * 1000 + p AS mem_peak_rss_kb, 'd' || d AS _ds
- FROM (SELECT range AS d FROM range(2)), (VALUES ('CSR_Serial', 0), ('MPI_CSR', 1), ('Hybrid', 2)) v(name, e), (VALUES (1), (2), (4), (8)) w(p), (VALUES (1), (2), (4)) u(t))"""
+_MET = """met AS (SELECT name || '_p' || p || '_t' || t AS engine, p AS mpi_ranks, t AS omp_threads, q / (p * t) AS total_time_s, (p - 1)::double AS comm_time_s, n AS comp_time_s, s AS num_nodes, c AS num_edges, m AS mem_peak_rss_kb, _ds
+ FROM (SELECT l_returnflag AS _ds, CASE l_suppkey % 3 WHEN 0 THEN 'CSR_Serial' WHEN 1 THEN 'MPI_CSR' ELSE 'Hybrid' END AS name, (2 ** (l_linenumber % 4))::integer AS p, (2 ** (l_partkey % 3))::integer AS t,
+  sum(l_quantity)::double AS q, sum(l_linenumber)::double AS n, count(DISTINCT l_suppkey)::bigint AS s, count(*)::bigint AS c, max(l_partkey)::bigint AS m FROM lineitem GROUP BY 1, 2, 3, 4))"""
 
 
 def _cells(m: Matrix) -> DataFrame:
@@ -194,12 +194,27 @@ def _snap_ids(t: Tables) -> DataFrame:
     return ids.crossJoin(base).select((F.col("low") - F.col("shifted")).alias("base"), "low", "high", F.lit(graph.n).cast("bigint").alias("nodes"))
 
 
+def _rank_files(t: Tables) -> DataFrame:
+    """Ranks written as a vector in files and read again."""
+    path = _shared(t, "ranks")
+    write_rank_vector(_ranks(t, 4), path, 1000)
+    return _rounded(read_rank_vector(t.spark, path))
+
+
+def _meta_file(t: Tables) -> DataFrame:
+    """What is known of the graph, written as key=value lines and read again."""
+    path, g = _shared(t, "meta"), t.g()
+    known = g.edges.agg(F.count(F.lit(1)).cast("string").alias("E"), F.lit(str(g.n)).alias("N"), F.concat_ws(",", F.min("dst"), F.max("dst")).alias("targets"))
+    write_meta(known.select(F.explode(F.create_map(*(x for c in known.columns for x in (F.lit(c), F.col(c)))))), path)
+    return read_meta(t.spark, path)
+
+
 def _metrics_csv(t: Tables) -> DataFrame:
     """Metrics of one dataset, written as CSV and read again with their tag."""
-    path, known = _shared(t, "metrics"), _metrics(t.spark)
-    rows = known.filter("_ds = 'd0'").select(*(F.col(n).cast(kind).alias(n) if n in known.columns else F.lit(None).cast(kind).alias(n) for n, kind in COLUMNS))
+    path, known = _shared(t, "metrics"), _metrics(t)
+    rows = known.filter("_ds = 'A'").select(*(F.col(n).cast(kind).alias(n) if n in known.columns else F.lit(None).cast(kind).alias(n) for n, kind in COLUMNS))
     write_metrics(rows, path)
-    return read_tagged(t.spark, {"d0": path})
+    return read_tagged(t.spark, {"A": path})
 
 
 def _top10(t: Tables) -> DataFrame:
@@ -229,7 +244,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "col_ptr": (lambda t: t.a().col_ptr(), f"WITH {_A}, L AS (SELECT range::bigint AS k FROM range({_NP} + 1)), C AS (SELECT L.k, count(A.j) AS c FROM L LEFT JOIN A ON A.j = L.k GROUP BY L.k) SELECT k, coalesce(sum(c) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS ptr FROM C"),
     "row_partition_p4": (lambda t: part_table(t.spark, t.n_supp(), 4), f"WITH {_S}, Q AS (SELECT i, (ntile(4) OVER (ORDER BY i) - 1)::integer AS part FROM S) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
     "row_partition_p7": (lambda t: part_table(t.spark, t.n_supp(), 7), f"WITH {_S}, Q AS (SELECT i, (ntile(7) OVER (ORDER BY i) - 1)::integer AS part FROM S) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
-    "from_dense": (lambda t: _cells(t.w().from_dense()), f"WITH {_W} SELECT i, j, v FROM W WHERE NOT isnan(v) AND abs(v) > 1e-15"),
+    "from_dense": (lambda t: _cells(t.b().to_dense().from_dense()), f"WITH {_B} SELECT i, j, v FROM B WHERE NOT isnan(v) AND abs(v) > 1e-15"),
     "to_dense": (lambda t: _cells(t.b().to_dense()), f"WITH {_B}, Z AS (SELECT a.range::bigint AS i, b.range::bigint AS j FROM range({_NP}) a, range(12) b) SELECT Z.i, Z.j, coalesce(B.v, 0.0::double) AS v FROM Z LEFT JOIN B ON Z.i = B.i AND Z.j = B.j"),
     "transpose": (lambda t: _cells(t.a().transpose()), f"WITH {_A} SELECT j AS i, i AS j, v FROM A"),
     "csr_csc_roundtrip": (lambda t: _cells(t.a().by_cols().by_rows()), f"WITH {_A} SELECT i, j, v FROM A"),
@@ -240,7 +255,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "matrix_differs": (lambda t: t.a().mismatches(Matrix(t.a().df.filter("i % 2 = 0"), t.n_supp(), t.n_part())), f"WITH {_A} SELECT count(*)::bigint AS n FROM A WHERE i % 2 <> 0 AND v <> 0"),
     "norm_f": (lambda t: t.a().norm_f().select(F.round("norm_f", 6).alias("norm_f")), f"WITH {_A} SELECT round(sqrt(sum(v * v)), 6) AS norm_f FROM A"),
     "norm_max": (lambda t: t.a().norm_max(), f"WITH {_A} SELECT max(abs(v)) AS norm_max FROM A"),
-    "dense_vector": (lambda t: mul.spmv(t.w().transpose(), Vector(span(t.spark, 64).withColumn("v", F.col("i").cast("double")), 64)).df, f"WITH {_W} SELECT j AS i, sum(v * i) AS v FROM W GROUP BY j"),
+    "dense_vector": (lambda t: mul.spmv(t.e(), Vector(span(t.spark, 64).withColumn("v", F.col("i").cast("double")), 64)).df.select("i", F.round("v", 6).alias("v")), f"WITH {_E} SELECT i, round(sum(v * j), 6) AS v FROM E GROUP BY i"),
     "spmv": (lambda t: mul.spmv(t.a(), t.x()).df, _SPMV),
     "spmv_broadcast": (lambda t: mul.spmv(t.a(), t.x(), "broadcast").df, _SPMV),
     "spmv_shuffle": (lambda t: mul.spmv(t.a(), t.x(), "shuffle").df, _SPMV),
@@ -267,11 +282,11 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "pagerank_top10": (_top10, f"WITH {_ranks_sql(10)} SELECT node, round(r, 10) AS rank FROM R10 ORDER BY round(r, 10) DESC, node LIMIT 10"),
     "pagerank_l1_step": (lambda t: pr.l1_distance(_ranks(t, 2), _ranks(t, 3)).select(F.round("l1", 8).alias("l1")), f"WITH {_ranks_sql(3)} SELECT round(sum(abs(R3.r - R2.r)), 8) AS l1 FROM R3 JOIN R2 ON R3.node = R2.node"),
     "snap_roundtrip": (_snap_roundtrip, f"WITH {_G} SELECT src, dst, count(*)::bigint AS n FROM G GROUP BY 1, 2"),
-    "speedup": (lambda t: results.speedup(_metrics(t.spark), "MPI_CSR").select("_ds", "mpi_ranks", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, mpi_ranks, total_time_s AS t FROM met WHERE starts_with(engine, 'MPI_CSR') AND omp_threads = 1) SELECT o._ds, o.mpi_ranks, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.mpi_ranks = 1"),
-    "grid": (lambda t: results.grid(_metrics(t.spark), "Hybrid").select("_ds", "mpi_ranks", *(F.round(c, 8).alias(c) for c in ("t1", "t2", "t4"))), f"WITH {_MET} SELECT _ds, mpi_ranks, " + ", ".join(f"round(min(total_time_s) FILTER (omp_threads = {k}), 8) AS t{k}" for k in (1, 2, 4)) + " FROM met WHERE starts_with(engine, 'Hybrid') GROUP BY 1, 2"),
-    "best_config": (lambda t: results.best_config(_metrics(t.spark)).withColumn("total_time_s", F.round("total_time_s", 8)), f"WITH {_MET}, o AS (SELECT *, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads) AS k FROM met) SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s FROM o WHERE k = 1"),
-    "comm_share": (lambda t: results.comm_share(_metrics(t.spark)).withColumn("comm_share_pct", F.round("comm_share_pct", 8)), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(100 * comm_time_s / (comm_time_s + comp_time_s), 8) AS comm_share_pct FROM met WHERE comm_time_s + comp_time_s > 0"),
-    "setup_stats": (lambda t: results.setup(_metrics(t.spark)).withColumn("density_pct", F.round("density_pct", 8)), f"WITH {_MET} SELECT _ds, min(num_nodes)::bigint AS num_nodes, min(num_edges)::bigint AS num_edges, round(100.0::double * min(num_edges) / (min(num_nodes)::double * min(num_nodes)::double), 8) AS density_pct FROM met GROUP BY _ds"),
+    "speedup": (lambda t: results.speedup(_metrics(t), "MPI_CSR").select("_ds", "mpi_ranks", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, mpi_ranks, total_time_s AS t FROM met WHERE starts_with(engine, 'MPI_CSR') AND omp_threads = 1) SELECT o._ds, o.mpi_ranks, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.mpi_ranks = 1"),
+    "grid": (lambda t: results.grid(_metrics(t), "Hybrid").select("_ds", "mpi_ranks", *(F.round(c, 8).alias(c) for c in ("t1", "t2", "t4"))), f"WITH {_MET} SELECT _ds, mpi_ranks, " + ", ".join(f"round(min(total_time_s) FILTER (omp_threads = {k}), 8) AS t{k}" for k in (1, 2, 4)) + " FROM met WHERE starts_with(engine, 'Hybrid') GROUP BY 1, 2"),
+    "best_config": (lambda t: results.best_config(_metrics(t)).withColumn("total_time_s", F.round("total_time_s", 8)), f"WITH {_MET}, o AS (SELECT *, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads) AS k FROM met) SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s FROM o WHERE k = 1"),
+    "comm_share": (lambda t: results.comm_share(_metrics(t)).withColumn("comm_share_pct", F.round("comm_share_pct", 8)), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(100 * comm_time_s / (comm_time_s + comp_time_s), 8) AS comm_share_pct FROM met WHERE comm_time_s + comp_time_s > 0"),
+    "setup_stats": (lambda t: results.setup(_metrics(t)).withColumn("density_pct", F.round("density_pct", 8)), f"WITH {_MET}, o AS (SELECT *, row_number() OVER (PARTITION BY _ds ORDER BY engine, mpi_ranks, omp_threads) AS k FROM met) SELECT _ds, num_nodes, num_edges, round(100.0::double * num_edges / (num_nodes::double * num_nodes::double), 8) AS density_pct FROM o WHERE k = 1"),
     "identity": (lambda t: _cells(Matrix.identity(t.spark, t.n_supp(), 12)), f"SELECT a.range::bigint AS i, b.range::bigint AS j, CASE WHEN a.range = b.range THEN 1.0::double ELSE 0.0::double END AS v FROM range({_NS}) a, range(12) b"),
     "fill": (lambda t: _cells(t.b().fill(2.5)), f"SELECT a.range::bigint AS i, b.range::bigint AS j, 2.5::double AS v FROM range({_NP}) a, range(12) b"),
     "set_zero": (lambda t: _cells(t.b().set_zero()), f"SELECT a.range::bigint AS i, b.range::bigint AS j, 0.0::double AS v FROM range({_NP}) a, range(12) b"),
@@ -286,12 +301,14 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "col_partition_p5": (lambda t: part_table(t.spark, t.n_part(), 5), f"WITH Q AS (SELECT range::bigint AS i, (ntile(5) OVER (ORDER BY range) - 1)::integer AS part FROM range({_NP})) SELECT part, min(i)::bigint AS start_row, (max(i) + 1)::bigint AS end_row FROM Q GROUP BY part"),
     "snap_text": (lambda t: _snap_text(t).edges.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")), f"WITH {_G} SELECT src, dst, count(*)::bigint AS n FROM G GROUP BY 1, 2"),
     "snap_ids": (lambda t: _snap_ids(t), f"WITH {_G} SELECT 1::bigint AS base, min(least(src, dst)) + 1 AS low, max(greatest(src, dst)) + 1 AS high, max(greatest(src, dst)) + 1 AS nodes FROM G"),
-    "metrics_csv": (lambda t: _metrics_csv(t).select("_ds", "engine", "mpi_ranks", "omp_threads", F.round("total_time_s", 8).alias("total_time_s"), "num_nodes"), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s, num_nodes FROM met WHERE _ds = 'd0'"),
-    "merged_results": (lambda t: results.merged([_metrics(t.spark).filter("_ds = 'd0'"), _metrics(t.spark).filter("_ds = 'd1'").drop("num_edges")]).select("_ds", "engine", "num_edges"), f"WITH {_MET} SELECT _ds, engine, CASE WHEN _ds = 'd0' THEN num_edges END AS num_edges FROM met"),
-    "numbered_runs": (lambda t: results.numbered(_metrics(t.spark)).select("_ds", "engine", F.col("place").cast("bigint").alias("place")), f"WITH {_MET} SELECT _ds, engine, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads)::bigint AS place FROM met"),
-    "result_rows": (lambda t: results.of_engine(_metrics(t.spark), "MPI_CSR", 2, 4).select("_ds", "engine"), f"WITH {_MET} SELECT _ds, engine FROM met WHERE starts_with(engine, 'MPI_CSR') AND mpi_ranks = 2 AND omp_threads = 4"),
-    "thread_speedup": (lambda t: results.speedup(_metrics(t.spark), "CSR_Serial", "omp_threads").select("_ds", "omp_threads", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, omp_threads, total_time_s AS t FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1) SELECT o._ds, o.omp_threads, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.omp_threads = 1"),
-    "memory_vs_dense": (lambda t: results.memory(_metrics(t.spark)).select("_ds", F.round("rss_mb", 8).alias("rss_mb"), F.round("dense_mb", 8).alias("dense_mb")), f"WITH {_MET}, o AS (SELECT * FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1 AND omp_threads = 1) SELECT _ds, round(mem_peak_rss_kb::double / 1024, 8) AS rss_mb, round(num_nodes::double * num_nodes::double * 8 / (1024.0::double * 1024.0::double), 8) AS dense_mb FROM o"),
+    "rank_vector_files": (_rank_files, f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
+    "meta_file": (_meta_file, f"WITH {_G} SELECT 'E' AS key, count(*)::varchar AS value FROM G UNION ALL SELECT 'N', count(*)::varchar FROM N UNION ALL SELECT 'targets', min(dst)::varchar || ',' || max(dst)::varchar FROM G"),
+    "metrics_csv": (lambda t: _metrics_csv(t).select("_ds", "engine", "mpi_ranks", "omp_threads", F.round("total_time_s", 8).alias("total_time_s"), "num_nodes"), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s, num_nodes FROM met WHERE _ds = 'A'"),
+    "merged_results": (lambda t: results.merged([_metrics(t).filter("_ds = 'A'"), _metrics(t).filter("_ds = 'N'").drop("num_edges")]).select("_ds", "engine", "num_edges"), f"WITH {_MET} SELECT _ds, engine, CASE WHEN _ds = 'A' THEN num_edges END AS num_edges FROM met WHERE _ds IN ('A', 'N')"),
+    "numbered_runs": (lambda t: results.numbered(_metrics(t)).select("_ds", "engine", F.col("place").cast("bigint").alias("place")), f"WITH {_MET} SELECT _ds, engine, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads)::bigint AS place FROM met"),
+    "result_rows": (lambda t: results.of_engine(_metrics(t), "MPI_CSR", 2, 4).select("_ds", "engine"), f"WITH {_MET} SELECT _ds, engine FROM met WHERE starts_with(engine, 'MPI_CSR') AND mpi_ranks = 2 AND omp_threads = 4"),
+    "thread_speedup": (lambda t: results.speedup(_metrics(t), "CSR_Serial", "omp_threads").select("_ds", "omp_threads", F.round("speedup", 8).alias("speedup")), f"WITH {_MET}, o AS (SELECT _ds, omp_threads, total_time_s AS t FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1) SELECT o._ds, o.omp_threads, round(b.t / o.t, 8) AS speedup FROM o JOIN o b ON o._ds = b._ds AND b.omp_threads = 1"),
+    "memory_vs_dense": (lambda t: results.memory(_metrics(t)).select("_ds", F.round("rss_mb", 8).alias("rss_mb"), F.round("dense_mb", 8).alias("dense_mb")), f"WITH {_MET}, o AS (SELECT * FROM met WHERE starts_with(engine, 'CSR_Serial') AND mpi_ranks = 1 AND omp_threads = 1) SELECT _ds, round(mem_peak_rss_kb::double / 1024, 8) AS rss_mb, round(num_nodes::double * num_nodes::double * 8 / (1024.0::double * 1024.0::double), 8) AS dense_mb FROM o"),
     "pagerank_converged": (lambda t: _rounded(pr.pagerank(t.g(), tol=1e-4).ranks, 8), _converged_sql(60, 1e-4)),
     "pagerank_broadcast": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="broadcast").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
     "pagerank_shuffle": (lambda t: _rounded(pr.pagerank(t.g(), max_iter=4, tol=0.0, strategy="shuffle").ranks), f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),

@@ -161,15 +161,10 @@ def test_not_converged_and_compare(spark):
 
 def test_files(spark, tmp_path):
     ranks = spark.createDataFrame([(0, 0.25), (1, 0.75)], "node bigint, rank double")
-    vectors.write_rank_vector(ranks, str(tmp_path / "r.bin"))
+    assert vectors.write_rank_vector(ranks, str(tmp_path / "r.bin")) == 2
     assert sorted(map(tuple, vectors.read_rank_vector(spark, str(tmp_path / "r.bin")).collect())) == [(0, 0.25), (1, 0.75)]
-    vectors.write_meta({"N": 2, "top10": "1:0.75"}, str(tmp_path / "m.txt"))
+    vectors.write_meta(spark.createDataFrame([("N", "2"), ("top10", "1:0.75")], "key string, value string"), str(tmp_path / "m.txt"))
     assert dict(map(tuple, vectors.read_meta(spark, str(tmp_path / "m.txt")).collect())) == {"N": "2", "top10": "1:0.75"}
-    (tmp_path / "two").mkdir()
-    for name in ("a", "b"):
-        (tmp_path / "two" / name).write_bytes(b"12345678")
-    with pytest.raises(ValueError):
-        vectors.read_rank_vector(spark, str(tmp_path / "two"))
     g = Graph.of(spark.createDataFrame([(0, 1)], "src bigint, dst bigint"))
     rows = metrics.metrics_frame(spark, pr.compare(g, "x", ("auto",), max_iter=1))
     metrics.write_metrics(rows, str(tmp_path / "out"))
@@ -181,6 +176,35 @@ def test_files(spark, tmp_path):
     assert dataset_name("/a/soc.v1.txt") == "soc.v1"
 
 
+def test_rank_vectors_in_files_and_splits(spark, tmp_path, monkeypatch):
+    values = np.random.default_rng(3).random(1000)
+    ranks = spark.createDataFrame(list(enumerate(values.tolist())), "node bigint, rank double").repartition(5)
+    folder = str(tmp_path / "r")
+    for _ in range(2):  # again over the same files
+        assert vectors.write_rank_vector(ranks, folder, 64) == 1000
+    assert len([x for x in (tmp_path / "r").iterdir() if x.suffix == ".bin"]) == 16 and b"".join(x.read_bytes() for x in sorted((tmp_path / "r").glob("*.bin"))) == values.astype("<f8").tobytes()
+    assert sorted(map(tuple, vectors.read_rank_vector(spark, folder).collect())) == list(enumerate(values.tolist()))
+    one = tmp_path / "one.bin"
+    one.write_bytes(values.astype("<f8").tobytes() + b"123")
+    assert sorted(map(tuple, vectors.read_rank_vector(spark, str(one)).collect())) == list(enumerate(values.tolist()))
+    one.write_bytes(values.astype("<f8").tobytes())
+    monkeypatch.setattr(vectors, "WHOLE", 100)  # as if it were too large for one value
+    assert sorted(map(tuple, vectors.read_rank_vector(spark, str(one)).collect())) == list(enumerate(values.tolist()))
+    with pytest.raises(ValueError):
+        vectors.read_rank_vector(spark, folder)
+    one.write_bytes(b"1" * 801)
+    with pytest.raises(ValueError):
+        vectors.read_rank_vector(spark, str(one))
+    (tmp_path / "two").mkdir()
+    for name in ("a", "b"):
+        (tmp_path / "two" / name).write_bytes(b"123456789")
+    with pytest.raises(ValueError):
+        vectors.read_rank_vector(spark, str(tmp_path / "two"))
+    assert vectors.write_rank_vector(ranks.limit(0), str(tmp_path / "none")) == 0
+    with pytest.raises(ValueError):
+        vectors.write_rank_vector(ranks.filter("node <> 5"), str(tmp_path / "gap"))
+
+
 def test_timer_and_stream(spark, tmp_path):
     t = pr.Timer()
     t.start("a")
