@@ -1,13 +1,15 @@
 """Operator 7: quality rules as weak supervision.
 
-Each rule votes bad, good or abstains on figures of the whole text.  Expectation-maximisation over the counts of the
-vote patterns (at most 3 ** 10 rows, whatever the number of documents) estimates the share of good documents and, for
-each rule, how often it says good of good documents and bad of bad ones.  The posterior probability of "good" replaces
-all-must-pass rules: a bad vote weighs as much as its rule agrees with the others, and enough good votes outweigh it.
+Each rule votes bad, good or abstains on figures of the whole text.  Rules that look at one fault from different sides
+(FAULTS) depend on each other, so their agreement is no independent evidence about the document: it is evidence about
+the fault.  Each fault is a hidden yes or no of its own.  Expectation-maximisation over the counts of the vote patterns
+(at most 3 ** 10 rows, whatever the number of documents) estimates how common the fault is and, for each of its rules,
+how often it votes bad with the fault and without it.  A document is good if it has no fault; the posterior probability
+of that, the product over the faults, replaces all-must-pass rules.  A rule that votes bad alone while the others of its
+fault deny it is outvoted where they would hardly have missed the fault, and stands where they abstain.
 
-Rules come in pairs and more that look at one fault from different sides (symbols and punctuation, capitals and
-exclamation marks, repeated windows, repeated lines and a small vocabulary), because agreement is all that texts
-without labels can show.  Priors are PRIOR_VOTES made-up votes for each rule, a constant, so the data decide.
+Priors are PRIOR_VOTES made-up votes for each rule, a constant, so the data decide; a fault of one rule alone could be
+told from errors of the rule by nothing, so every fault has several.
 
 The main path has DataFrame functions only; the driver sees the table of vote patterns and nothing else.
 
@@ -25,11 +27,13 @@ from pyspark.sql import functions as F
 
 from coomat.llm.tables import aside, maybe_in, membership, only, settled
 
-#: Before any data a rule counts as PRIOR_VOTES votes on good documents, of which it calls this share good, ...
+#: Before any data a rule counts as PRIOR_VOTES votes on documents without its fault, of which it calls this share good, ...
 RIGHT_ON_GOOD = 0.95
-#: ... and as many on bad documents, of which it calls this share bad: a document is mostly bad in one way of several.
-RIGHT_ON_BAD = 0.4
+#: ... and as many on documents with it, of which it calls this share bad.
+RIGHT_ON_FAULT = 0.9
 PRIOR_VOTES = 10.0
+#: And a fault as one document that has it among so many.
+PRIOR_DOCUMENTS = 10.0
 
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = "[\\x20\\x09-\\x0D]+"
@@ -42,6 +46,8 @@ BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 FIGURES = (*BASE, "n_lines", "n_upper", "n_bang", "n_stops", "n_chars", "longest_word", "n_punct", "n_distinct")
 #: Rules in the order of their votes.
 RULES = ("symbols", "punctuation", "repeats", "vocabulary", "dup_lines", "upper", "bangs", "word_length", "stops", "longest")
+#: The rules that see each fault, by their places in RULES: noise (marks and capitals), repetition, no sentences.
+FAULTS = ((0, 1, 5, 6), (2, 3, 4), (7, 8, 9))
 
 
 def _count(text: Column, char: str) -> Column:
@@ -118,46 +124,72 @@ def votes(f: Column) -> dict[str, Column]:
     return {r: out[r] for r in RULES}
 
 
-Model = tuple[float, list[tuple[float, float]]]
+#: For each fault its prior log odds, and for each of its rules what a bad and a good vote add to them.
+Model = list[tuple[float, list[tuple[float, float]]]]
 
 
 def start() -> Model:
-    """Equal odds, and rules as right as the priors say."""
-    return 0.0, [(math.log((1 - RIGHT_ON_GOOD) / RIGHT_ON_BAD), math.log(RIGHT_ON_GOOD / (1 - RIGHT_ON_BAD)))] * len(RULES)
+    """Faults as common and rules as right as the priors say."""
+    votes = math.log(RIGHT_ON_FAULT / (1 - RIGHT_ON_GOOD)), math.log((1 - RIGHT_ON_FAULT) / RIGHT_ON_GOOD)
+    return [(math.log(1 / (PRIOR_DOCUMENTS - 1)), [votes] * len(rules)) for rules in FAULTS]
 
 
-def odds(model: Model, pattern: tuple[int, ...]) -> float:
-    prior, ratios = model
-    return prior + sum(bad if x < 0 else good if x > 0 else 0.0 for x, (bad, good) in zip(pattern, ratios, strict=True))
+def _share(odds: float) -> float:
+    return 1 / (1 + math.exp(-max(-500.0, min(500.0, odds))))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) -> Model:
-    """EM over (votes, count): the prior log odds of good, and for each rule the log likelihood ratios of its bad and good vote.
+def fault_odds(fault: tuple[float, list[tuple[float, float]]], votes: tuple[int, ...]) -> float:
+    """Log odds that the fault is there, given the votes of its rules."""
+    prior, ratios = fault
+    return prior + sum(bad if x < 0 else good if x > 0 else 0.0 for x, (bad, good) in zip(votes, ratios, strict=True))
 
-    A rule that abstains says nothing.  A rule is no worse than chance: its bad vote never counts for good, nor the other
-    way round; that and the priors tell the two classes apart.
+
+def quality(model: Model, pattern: tuple[int, ...]) -> float:
+    """The probability that no fault is there, given all votes."""
+    out = 1.0
+    for fault, rules in zip(model, FAULTS, strict=True):
+        out *= _share(-fault_odds(fault, tuple(pattern[j] for j in rules)))
+    return out
+
+
+def fit_fault(patterns: dict[tuple[int, ...], int], first: tuple[float, list[tuple[float, float]]], rounds: int) -> tuple[float, list[tuple[float, float]]]:
+    """EM over (votes of the fault's rules, count).
+
+    A rule that abstains says nothing.  A rule is no worse than chance: its bad vote never counts against the fault, nor
+    its good vote for it; that and the priors tell the two classes apart.
     """
-    model = start()
-    total = sum(n for _, n in patterns)
-    was: list[float] = []
+    fault, total, was = first, sum(patterns.values()), []
     for _ in range(rounds if total else 0):
-        good = [1 / (1 + math.exp(-max(-500.0, min(500.0, odds(model, v))))) for v, _ in patterns]
-        if was and max(abs(a - b) for a, b in zip(was, good, strict=True)) < 1e-7:
+        there = [_share(fault_odds(fault, v)) for v in patterns]
+        if was and max(abs(a - b) for a, b in zip(was, there, strict=True)) < 1e-9:
             break
-        was = good
-        mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
+        was = there
+        mass = sum(f * n for f, n in zip(there, patterns.values(), strict=True))
         ratios = []
-        for j in range(len(RULES)):
-            count = {(k, c): 0.0 for k in (-1, 1) for c in (0, 1)}
-            for g, (v, n) in zip(good, patterns, strict=True):
+        for j in range(len(first[1])):
+            spoke, bad = [0.0, 0.0], [0.0, 0.0]  # without and with the fault
+            for f, (v, n) in zip(there, patterns.items(), strict=True):
                 if v[j]:
-                    count[v[j], 1] += g * n
-                    count[v[j], 0] += (1 - g) * n
-            of_good = (count[1, 1] + RIGHT_ON_GOOD * PRIOR_VOTES) / (count[1, 1] + count[-1, 1] + PRIOR_VOTES)
-            of_bad = (count[-1, 0] + RIGHT_ON_BAD * PRIOR_VOTES) / (count[1, 0] + count[-1, 0] + PRIOR_VOTES)
-            ratios.append((min(0.0, math.log((1 - of_good) / of_bad)), max(0.0, math.log(of_good / (1 - of_bad)))))
-        model = math.log((mass + 1) / (total - mass + 1)), ratios
-    return model
+                    for k, share in ((0, 1 - f), (1, f)):
+                        spoke[k] += share * n
+                        bad[k] += share * n * (v[j] < 0)
+            without = (bad[0] + (1 - RIGHT_ON_GOOD) * PRIOR_VOTES) / (spoke[0] + PRIOR_VOTES)
+            along = (bad[1] + RIGHT_ON_FAULT * PRIOR_VOTES) / (spoke[1] + PRIOR_VOTES)
+            ratios.append((max(0.0, math.log(along / without)), min(0.0, math.log((1 - along) / (1 - without)))))
+        fault = math.log((mass + 1) / (total - mass + PRIOR_DOCUMENTS - 1)), ratios
+    return fault
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 500) -> Model:
+    """The model of (votes of all rules, count): each fault from the votes of its own rules."""
+    out = []
+    for first, rules in zip(start(), FAULTS, strict=True):
+        own: dict[tuple[int, ...], int] = {}
+        for v, n in patterns:
+            key = tuple(v[j] for j in rules)
+            own[key] = own.get(key, 0) + n
+        out.append(fit_fault(dict(sorted(own.items())), first, rounds))
+    return out
 
 
 def learn(judged: DataFrame, into: str = "_figures") -> Model:
@@ -168,20 +200,22 @@ def learn(judged: DataFrame, into: str = "_figures") -> Model:
 
 
 def posterior(model: Model, f: Column) -> Column:
-    """The probability of "good" given all votes."""
-    prior, ratios = model
-    total = F.lit(float(prior))
-    for vote, (bad, good) in zip(votes(f).values(), ratios, strict=True):
-        total = total + F.when(vote == -1, bad).when(vote == 1, good).otherwise(0.0)
-    return 1 / (1 + F.exp(-total))
+    """The probability of "good" given all votes: that of no fault."""
+    cast, out = list(votes(f).values()), F.lit(1.0)
+    for (prior, ratios), rules in zip(model, FAULTS, strict=True):
+        total = F.lit(float(prior))
+        for j, (bad, good) in zip(rules, ratios, strict=True):
+            total = total + F.when(cast[j] == -1, bad).when(cast[j] == 1, good).otherwise(0.0)
+        out = out / (1 + F.exp(total))
+    return out
 
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, text, ...) -> doc_id, the base figures, base_failed, quality (the posterior), kept."""
     judged = settled(figures(only(docs, "doc_id", "text")).drop("text"))
     f, model = F.col("_figures"), learn(judged)
-    quality = posterior(model, f)
-    return judged.select("doc_id", *(f[x].alias(x) for x in BASE), base_failed(f).alias("base_failed"), quality.alias("quality"), (~base_failed(f) & (quality >= threshold)).alias("kept"))
+    good = posterior(model, f)
+    return judged.select("doc_id", *(f[x].alias(x) for x in BASE), base_failed(f).alias("base_failed"), good.alias("quality"), (~base_failed(f) & (good >= threshold)).alias("kept"))
 
 
 def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import random
 import re
 import time
@@ -194,42 +195,56 @@ def test_rules_reject_junk_and_keep_prose(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == set(range(80))
 
 
-def brute_posterior(votes, right_good, right_bad, share):
-    good = bad = 1.0
-    for v, x, y in zip(votes, right_good, right_bad, strict=True):
-        good, bad = (good * (x if v > 0 else 1 - x), bad * (y if v < 0 else 1 - y)) if v else (good, bad)
-    return good * share / (good * share + bad * (1 - share))
+def brute_posterior(votes, faults):
+    """By enumeration of all combinations of faults: (share, [(bad with it, bad without it)...]) of each."""
+    good = total = 0.0
+    for there in itertools.product((False, True), repeat=len(faults)):
+        p = 1.0
+        for (share, rules), f, places in zip(faults, there, weak_rules.FAULTS, strict=True):
+            p *= share if f else 1 - share
+            for (along, without), j in zip(rules, places, strict=True):
+                x = along if f else without
+                p *= (x if votes[j] < 0 else 1 - x) if votes[j] else 1
+        total += p
+        good += p * (not any(there))
+    return good / total
 
 
 def test_em_recovers_planted_accuracies():
     rng = random.Random(31)
-    k, n, share = len(weak_rules.RULES), 40_000, 0.8
-    right_good, right_bad, speaks = ([rng.uniform(*b) for _ in range(k)] for b in ((0.75, 0.99), (0.5, 0.9), (0.5, 1.0)))
-    right_bad[3] = 0.2  # says bad of a fifth of the bad documents
-    patterns, labels = collections.Counter(), []
+    n, patterns, labels = 40_000, collections.Counter(), []
+    faults = [(rng.uniform(0.04, 0.12), [(rng.uniform(0.7, 0.95), rng.uniform(0.01, 0.1)) for _ in rules]) for rules in weak_rules.FAULTS]
     for _ in range(n):
-        y = rng.random() < share
-        v = tuple((0 if rng.random() > speaks[j] else (1 if rng.random() < right_good[j] else -1) if y else (-1 if rng.random() < right_bad[j] else 1)) for j in range(k))
-        patterns[v] += 1
-        labels.append((v, y))
+        there = [rng.random() < share for share, _ in faults]
+        v = [0] * len(weak_rules.RULES)
+        for f, (_, rules), places in zip(there, faults, weak_rules.FAULTS, strict=True):
+            for (along, without), j in zip(rules, places, strict=True):
+                v[j] = 0 if rng.random() < 0.1 else -1 if rng.random() < (along if f else without) else 1
+        patterns[tuple(v)] += 1
+        labels.append((tuple(v), not any(there)))
     model = weak_rules.fit(sorted(patterns.items()))
-    assert abs(1 / (1 + np.exp(-model[0])) - share) < 0.03
-    for j, (bad, good) in enumerate(model[1]):
-        assert abs(np.exp(bad) - (1 - right_good[j]) / right_bad[j]) < 0.1
-        assert abs(np.exp(good) - right_good[j] / (1 - right_bad[j])) < 0.12 * right_good[j] / (1 - right_bad[j])
-    for v in sorted(patterns)[:200]:
-        assert abs(1 / (1 + np.exp(-weak_rules.odds(model, v))) - brute_posterior(v, right_good, right_bad, share)) < 0.1
+    for (prior, ratios), (share, rules) in zip(model, faults, strict=True):
+        if len(rules) > 2:  # two rules alone leave a family of models that fit as well; their verdicts are held below
+            assert abs(1 / (1 + np.exp(-prior)) - share) < 0.02
+            for (bad, good), (along, without) in zip(ratios, rules, strict=True):
+                assert abs(bad - np.log(along / without)) < 0.4 and abs(good - np.log((1 - along) / (1 - without))) < 0.4
     right = lambda decide: sum(decide(v) == y for v, y in labels) / n
-    assert right(lambda v: weak_rules.odds(model, v) >= 0) > max(0.95, right(lambda v: -1 not in v) + 0.4)
+    best = right(lambda v: brute_posterior(v, faults) >= 0.5)
+    assert right(lambda v: weak_rules.quality(model, v) >= 0.5) > max(best - 0.02, right(lambda v: -1 not in v) + 0.1)
 
 
-def test_size_does_not_move_the_votes_and_a_weak_rule_is_outvoted():
+def test_size_does_not_move_the_votes_and_a_rule_that_others_deny_is_outvoted():
     one = lambda *at: tuple(-1 if j in at else 1 for j in range(len(weak_rules.RULES)))
-    patterns = [(one(), 9000), (one(0, 1), 500), (one(5, 6), 300), (one(2, 3), 300), (one(2), 250)]  # rule 2 alone is as often wrong
+    silent = tuple(-1 if j == 0 else 0 if j == 1 else 1 for j in range(len(weak_rules.RULES)))
+    # rule 2 alone is denied by 3 and 4; rule 0 with rule 1 silent is not denied
+    patterns = [(one(), 9000), (one(0, 1), 500), (one(5, 6), 300), (one(2, 3, 4), 300), (one(2), 50), (silent, 3)]
     for times in (1, 1000):
         model = weak_rules.fit([(v, n * times) for v, n in patterns])
-        assert [weak_rules.odds(model, v) > 0 for v, _ in patterns] == [True, False, False, False, True]
+        assert [weak_rules.quality(model, v) >= 0.5 for v, _ in patterns] == [True, False, False, False, True, False]
     assert weak_rules.fit([]) == weak_rules.start()
+    shares = [(0.1, [(0.9, 0.05)] * len(x)) for x in weak_rules.FAULTS]
+    for v, _ in patterns:
+        assert abs(weak_rules.quality(weak_rules.start(), v) - brute_posterior(v, shares)) < 1e-12
 
 
 def test_verdicts_follow_the_posterior(spark):
@@ -241,9 +256,15 @@ def test_verdicts_follow_the_posterior(spark):
 
     votes = [tuple(r) for r in figures.select(*weak_rules.votes(F.col("_figures")).values()).collect()]
     model = weak_rules.fit(sorted(collections.Counter(votes).items()))
-    want = [1 / (1 + np.exp(-weak_rules.odds(model, v))) for v in votes]
+    # the model as shares again, and the posterior from these by enumeration
+    shares = []
+    for prior, ratios in model:
+        odds = [(np.exp(bad), np.exp(good)) for bad, good in ratios]
+        without = [(1 - good) / (bad - good) if bad > good else 0.5 for bad, good in odds]
+        shares.append((1 / (1 + np.exp(-prior)), [(bad * w, w) for (bad, _), w in zip(odds, without, strict=True)]))
+    want = [brute_posterior(v, shares) for v in votes]
     got = {r.doc_id: (r.quality, r.kept) for r in weak_rules.judge(docs).collect()}
-    assert all(abs(got[k][0] - w) < 1e-9 and got[k][1] == (w >= 0.5) for k, w in enumerate(want))
+    assert all(abs(got[k][0] - w) < 1e-6 and got[k][1] == (w >= 0.5) for k, w in enumerate(want))
 
 
 def test_hot_texts_leave_the_other_languages_in(spark):

@@ -80,7 +80,7 @@ def brute_pipeline(rows, items):
     """(doc_id, text) of the documents that reach the last stage, with their texts there."""
     judged = [(i, t, *brute_votes(t)) for i, t in rows]
     model = weak_rules.fit(sorted(collections.Counter(v for *_, v, _ in judged).items()))
-    rows = [(i, t) for i, t, v, failed in judged if not failed and weak_rules.odds(model, v) >= 0]
+    rows = [(i, t) for i, t, v, failed in judged if not failed and weak_rules.quality(model, v) >= 0.5]
     _, roots = brute_components([t for _, t in rows])
     groups = collections.defaultdict(list)
     for (i, t), root in zip(rows, roots, strict=True):
