@@ -11,7 +11,8 @@ A block's arrays take some 13 bytes for each byte of its text (16 for each token
 however large the benchmark is.  The training side is never shuffled.  Seeds that many items share are looked up in
 pieces of at most HITS alignments, so a common line can't fill a task's memory.
 
-Items under WHOLE tokens identify nothing inside a text; a document overlaps one only if it is that item.
+Items of one to four tokens have masks of their own length and so must occur token by token: a benchmark with an item of
+one common word takes every document that has the word.
 
 Defined cases: null and empty texts overlap nothing, and null and empty items nothing either; every one of several test
 items with equal tokens is reported; repeated documents get equal results; an empty benchmark leaves every document
@@ -38,10 +39,14 @@ SHORT_MASKS = ("1111", "10111", "11011", "11101")
 SHORT = 8
 WINDOW = 13
 PERCENT = 80
-#: Items of fewer tokens match whole documents only.
-WHOLE = 5
+#: For items of just so many tokens.
+TINY_MASKS = ("1", "11", "111")
 BLOCK_BYTES = 8 << 20
-HITS = 1 << 20
+HITS = 1 << 22
+#: Alignments that are compared in a piece.
+PAIRS = 1 << 17
+#: Tokens that are compared at once: some 100 MB.
+COMPARED = 1 << 21
 TABLE_BITS = 20
 
 
@@ -86,20 +91,20 @@ class Items:
                     own = words[bounds[i] : bounds[i + 1]]
                     if len(own):
                         seen.setdefault(own.tobytes(), ([], own))[0].append(rows[lo + i][0])
-        self.ids = [x for x, own in seen.values() if len(own) >= WHOLE]
-        self.words = [own for _, own in seen.values() if len(own) >= WHOLE]
-        tiny = [(key, x) for key, (x, own) in seen.items() if len(own) < WHOLE]
-        self.whole = {key: len(self.ids) + k for k, (key, _) in enumerate(tiny)}
-        self.ids += [x for _, x in tiny]
+        self.ids = [x for x, _ in seen.values()]
+        self.words = [own for _, own in seen.values()]
         flat = np.concatenate(self.words) if self.words else np.zeros(0, K.U)
-        bounds = np.concatenate([[0], np.cumsum([len(x) for x in self.words])]).astype(np.int64)
-        of = np.repeat(np.arange(len(self.words)), np.diff(bounds))
+        self.sizes = np.array([len(x) for x in self.words], np.int64)
+        bounds = np.concatenate([[0], np.cumsum(self.sizes)]).astype(np.int64)
+        self.flat, self.starts = flat, bounds[:-1]
+        of = np.repeat(np.arange(len(self.words)), self.sizes)
         self.masks = []
-        short = np.array([len(x) < SHORT for x in self.words], bool)
-        for mask in (*MASKS, *(SHORT_MASKS if short.any() else ())):
+        short = self.sizes < SHORT
+        tiny = [m for m in TINY_MASKS if (self.sizes == len(m)).any()]
+        for mask in (*MASKS, *(SHORT_MASKS if short.any() else ()), *tiny):
             at, hashes = spaced(flat, bounds, mask)
-            if mask in SHORT_MASKS:
-                some = short[of[at]]
+            if mask not in MASKS:
+                some = (self.sizes == len(mask))[of[at]] if mask in TINY_MASKS else short[of[at]]
                 at, hashes = at[some], hashes[some]
             by = np.argsort(hashes, kind="stable")
             at, hashes = at[by], hashes[by]
@@ -107,8 +112,9 @@ class Items:
             table[(hashes >> K.U(64 - TABLE_BITS)).astype(np.int64)] = True
             self.masks.append((mask, hashes, of[at].astype(np.int32), (at - bounds[of[at]]).astype(np.int32), table))
 
-    def alignments(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[np.ndarray]:
-        """Pieces of (item, where its first token would lie), each once a piece."""
+    def alignments(self, words: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pieces of (item, where its first token would lie); each once, if the slice has at most HITS look-ups that hit."""
+        held, size = [], 0
         for mask, hashes, item, place, table in self.masks:
             at, own = spaced(words, bounds, mask)
             hit = np.flatnonzero(table[(own >> K.U(64 - TABLE_BITS)).astype(np.int64)])
@@ -120,7 +126,20 @@ class Items:
                 k = np.arange(lo, min(lo + HITS, int(ends[-1])))
                 of = np.searchsorted(ends, k, "right")
                 which = left[of] + k - (ends[of] - n[of])
-                yield np.unique(np.stack([item[which].astype(np.int64), at[of] - place[which]]), axis=1)
+                held.append((item[which].astype(np.int64) << 40) + (at[of] - place[which] + (1 << 39)))  # one number, to sort
+                size += len(k)
+                if size >= HITS:
+                    yield from self._once(held)
+                    held, size = [], 0
+        yield from self._once(held)
+
+    @staticmethod
+    def _once(held: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if held:
+            codes = np.unique(np.concatenate(held))
+            for lo in range(0, len(codes), PAIRS):
+                some = codes[lo : lo + PAIRS]
+                yield some >> 40, (some & ((1 << 40) - 1)) - (1 << 39)
 
     def overlaps(self, column: pa.Array, any_item: bool = False) -> Iterator[tuple[int, int, int, int, int]]:
         """(row, item, first token, tokens that agree, tokens of the window), the best window for each row and item.
@@ -129,35 +148,56 @@ class Items:
         """
         for lo, words, bounds in tokens(column):
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            done: set[int] = set()
-            if self.whole:
-                for doc in np.flatnonzero((np.diff(bounds) < WHOLE) & (np.diff(bounds) > 0)).tolist():
-                    i = self.whole.get(words[bounds[doc] : bounds[doc + 1]].tobytes())
-                    if i is not None:
-                        size = int(bounds[doc + 1] - bounds[doc])
-                        best[lo + doc, i] = (size, 0, size)
-            for lines in self.alignments(words, bounds):
-                # an alignment may start before its document or end behind it, and then touches several
-                item, d = lines
-                stops = d + np.array([len(x) for x in self.words])[item]
-                docs = np.stack([np.searchsorted(bounds, np.maximum(d, 0), "right") - 1, np.searchsorted(bounds, stops - 1, "right")])
-                for i, start, stop, a, z in zip(item.tolist(), d.tolist(), stops.tolist(), *docs.tolist(), strict=True):
-                    other = self.words[i]
-                    width = min(WINDOW, len(other))
-                    for doc in range(a, min(z, len(bounds) - 1)):
-                        s, e = max(start, int(bounds[doc])), min(stop, int(bounds[doc + 1]))
-                        if e - s < width or any_item and doc in done:
-                            continue
-                        same = np.concatenate([[0], np.cumsum(words[s:e] == other[s - start : e - start])])
-                        most = same[width:] - same[:-width]
-                        k = int(most.argmax())
-                        if 100 * most[k] >= PERCENT * width:
-                            key, new = (lo + doc, i), (int(most[k]), -(s + k - int(bounds[doc])), width)
-                            best[key] = max(best.get(key, new), new)
-                            done.add(doc)
+            done = np.zeros(len(bounds) - 1, bool)
+            for item, d in self.alignments(words, bounds):
+                for rows in self.compared(words, bounds, item, d, done if any_item else None):
+                    for doc, i, agree, start, width in zip(*(x.tolist() for x in rows), strict=True):
+                        key, new = (lo + doc, i), (agree, -start, width)
+                        best[key] = max(best.get(key, new), new)
+                        done[doc] = True
             for (row, i), (agree, start, width) in sorted(best.items()):
                 yield row, i, -start, agree, width
 
+    def compared(self, words: np.ndarray, bounds: np.ndarray, item: np.ndarray, d: np.ndarray, done: np.ndarray | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """The alignments that overlap: document, item, tokens that agree in the best window, its first token, its width.
+
+        An alignment may start before its document or end behind it, and then touches several; ``done`` documents are left out.
+        """
+        stop = d + self.sizes[item]
+        first = np.searchsorted(bounds, np.maximum(d, 0), "right") - 1
+        n = np.minimum(np.searchsorted(bounds, stop - 1, "right"), len(bounds) - 1) - first
+        of = np.repeat(np.arange(len(item)), np.maximum(n, 0))
+        doc = first[of] + np.arange(len(of)) - np.repeat(np.cumsum(np.maximum(n, 0)) - np.maximum(n, 0), np.maximum(n, 0))
+        item, d = item[of], d[of]
+        lo, hi = np.maximum(d, bounds[doc]), np.minimum(stop[of], bounds[doc + 1])
+        width = np.minimum(WINDOW, self.sizes[item])
+        some = hi - lo >= width
+        if done is not None:
+            some &= ~done[doc]
+        item, d, doc, lo, hi, width = (x[some] for x in (item, d, doc, lo, hi, width))
+        total = np.cumsum(hi - lo)
+        k = 0
+        while k < len(item):  # by about COMPARED tokens
+            z = max(k + 1, int(np.searchsorted(total, (total[k - 1] if k else 0) + COMPARED)))
+            yield self._windows(words, bounds, *(x[k:z] for x in (item, d, doc, lo, hi, width)))
+            k = z
+
+    def _windows(self, words, bounds, item, d, doc, lo, hi, width) -> tuple[np.ndarray, ...]:
+        n = hi - lo
+        ends = np.cumsum(n)
+        begin = ends - n
+        of = np.repeat(np.arange(len(n)), n)
+        at = np.arange(len(of)) - begin[of]  # place in the stretch
+        same = words[lo[of] + at] == self.flat[self.starts[item][of] + (lo - d)[of] + at]
+        sums = np.concatenate([[0], np.cumsum(same)])
+        here = np.arange(len(of))
+        agree = np.where(at + width[of] <= n[of], sums[np.minimum(here + width[of], len(of))] - sums[here], -1)
+        coded = np.maximum.reduceat((agree << 40) - at, begin)  # of equal windows the first
+        most = -(-coded >> 40)
+        start = (most << 40) - coded
+        hit = 100 * most >= PERCENT * width
+        return doc[hit], item[hit], most[hit], (lo + start - bounds[doc])[hit], width[hit]
+
 
 def blocks(benchmark: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple]]:
     """The test side in blocks of about ``size`` bytes of text; one is in memory at a time."""

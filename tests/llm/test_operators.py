@@ -309,6 +309,25 @@ def test_decontamination_of_short_items(spark):
     assert {(r.doc_id, r.item_id) for r in decontaminate.overlaps(documents(spark, texts), bench).collect()} == want
 
 
+def test_tiny_items_are_found_inside_texts(spark):
+    bench = spark.createDataFrame(list(enumerate(["alpha beta gamma delta", "solo", "two words", "a b c", "", None])), "item_id bigint, text string")
+    texts = ["x Alpha beta gamma delta y", "alpha beta gamma zz delta", "so solo", "words two words", "two, words", "a b", "c a b c", None, "", "two"]
+    got = {(r.doc_id, r.item_id, r.start) for r in decontaminate.overlaps(documents(spark, texts), bench).collect()}
+    assert got == {(0, 0, 1), (2, 1, 1), (3, 2, 1), (4, 2, 0), (6, 3, 1)}
+    assert {r.doc_id for r in decontaminate.clean_documents(documents(spark, texts), bench).collect()} == {1, 5, 7, 8, 9}
+
+
+def test_a_common_line_costs_little():
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    line = words(rng, 8, 9000)
+    items = decontaminate.Items([(k, f"{line} {words(rng, 20, 90000)}") for k in range(2000)])
+    texts = pa.array([f"{words(rng, 30, 90000)} {line} {words(rng, 30, 90000)}" for _ in range(200)])
+    began = time.perf_counter()
+    assert not list(items.overlaps(texts)) and time.perf_counter() - began < 10
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     rng = random.Random(6)
     items = [words(rng, 20, 9000) for _ in range(9)]
@@ -326,9 +345,7 @@ def brute_overlaps(texts, items):
         for i, item in enumerate(items):
             own = cut(item)
             width = min(decontaminate.WINDOW, len(own))
-            if len(own) < decontaminate.WHOLE:
-                if own and own == t:
-                    out.add((d, i, len(own), len(own)))
+            if not own:
                 continue
             best = 0
             for start in range(width - len(own), len(t)):
