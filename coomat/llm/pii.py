@@ -7,7 +7,9 @@ term t discloses of e
 
     ratio = log(n(e,t) N / (n(e) n(t))) / log(N / n(e))
 
-of its information (pointwise mutual information over information content).  A term is generalised in the documents
+of its information.  Single values seldom recur, so entities are counted on two levels, each value as itself and as the
+group that it belongs to: an address's mail domain, an ip's block of three parts, a card's issuer, a phone's area.
+The measure is pointwise mutual information over information content.  A term is generalised in the documents
 that hold e, if the ratio reaches ``disclosure`` and at least SUPPORT different documents and SUPPORT different contexts
 show e and t together.  A context is the run of words around e that has t in it and at least NEAR words on each side:
 copies of one passage are one context, which shows the passage, not an association.
@@ -166,6 +168,19 @@ def entity_key(text: str, span: tuple[int, int, int]) -> int:
     return _hash(KINDS[kind], re.sub(r"[^0-9]", "", value) if kind in (2, 3) else value)
 
 
+#: How many digits of a card tell its issuer, and of a phone its country and area.
+ISSUER, AREA = 6, 5
+
+
+def group_key(text: str, span: tuple[int, int, int]) -> int | None:
+    """The group of an entity, as a key; secrets have none."""
+    kind, start, end = span
+    value = text[start:end].lower()
+    digits = "".join(c for c in value if c.isdigit())
+    of = {0: ("domain", value.rpartition("@")[2]), 1: ("block", value.rpartition(".")[0]), 2: ("issuer", digits[:ISSUER]), 3: ("area", digits[:AREA])}
+    return _hash(*of[kind]) if kind in of else None
+
+
 def term_hashes(words: list[str]) -> np.ndarray:
     """The hashes of words, each one run of letters and digits, in any case; the kernel gives the same over texts."""
     sep, value = K.byte_table(letters_only=True)
@@ -185,7 +200,7 @@ def words_before(text: str, end: int) -> list[re.Match]:
 
 
 def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, list[tuple[str, int]]]]:
-    """For each span its entity and the words within REACH words, none of them inside a span, with their contexts."""
+    """For each span its entity, and its group, with the words within REACH words, none of them inside a span, and their contexts."""
     covered, out = Covered(spans), []
     for span in spans:
         _, start, end = span
@@ -194,7 +209,7 @@ def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int,
         low = [[w.lower() for w in side] for side in (before, after)]
         runs = {(i, j): _hash(*low[0][:i], "", *low[1][:j]) for i, j in {(NEAR, NEAR), *((i, NEAR) for i in range(NEAR, len(before) + 1)), *((NEAR, j) for j in range(NEAR, len(after) + 1))}}
         words = [(w, runs[max(NEAR, i), NEAR]) for i, w in enumerate(before, 1)] + [(w, runs[NEAR, max(NEAR, j)]) for j, w in enumerate(after, 1)]
-        out.append((entity_key(text, span), words))
+        out += [(key, words) for key in (entity_key(text, span), group_key(text, span)) if key is not None]
     return out
 
 

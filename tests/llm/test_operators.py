@@ -432,6 +432,12 @@ def test_disclosing_terms_go_and_copies_prove_nothing(spark):
     assert all("fox jumps over [EMAIL] with" in clean[k].text for k in range(6, 12)) and all(clean[k].text == plain[k - 12] for k in range(12, 72))
 
 
+def brute_keys(value):
+    """What an address or ip counts as: itself and its group."""
+    value = value.lower()
+    return [("email", value), ("domain", value.split("@")[1])] if "@" in value else [("ip", value), ("block", value[: value.rindex(".")])]
+
+
 def brute_terms(texts, disclosure):
     """(entity, term, ratio) by plain counting over different texts; entities and contexts by their strings."""
     texts = sorted({t for t in texts if t is not None})
@@ -442,14 +448,16 @@ def brute_terms(texts, disclosure):
             stands[w.lower()].add(d)
         spans = sorted((s, e) for _, s, e in brute_base(text))
         for s, e in spans:
-            docs_of[text[s:e].lower()].add(d)
+            for key in brute_keys(text[s:e]):
+                docs_of[key].add(d)
             keep = lambda m: not any(x < m.end() and m.start() < y for x, y in spans)  # noqa: E731, B023
             before = [m[0].lower() for m in reversed([m for m in word.finditer(text, 0, s)][-pii.REACH :]) if keep(m)]
             after = [m[0].lower() for m in [m for m in word.finditer(text, e)][: pii.REACH] if keep(m)]
-            for i, w in enumerate(before, 1):
-                near[text[s:e].lower(), w].add((d, tuple(before[: max(i, pii.NEAR)]), tuple(after[: pii.NEAR])))
-            for i, w in enumerate(after, 1):
-                near[text[s:e].lower(), w].add((d, tuple(before[: pii.NEAR]), tuple(after[: max(i, pii.NEAR)])))
+            for key in brute_keys(text[s:e]):
+                for i, w in enumerate(before, 1):
+                    near[key, w].add((d, tuple(before[: max(i, pii.NEAR)]), tuple(after[: pii.NEAR])))
+                for i, w in enumerate(after, 1):
+                    near[key, w].add((d, tuple(before[: pii.NEAR]), tuple(after[: max(i, pii.NEAR)])))
     out = {}
     for (e, w), rows in near.items():
         n = len({r[0] for r in rows})
@@ -471,14 +479,14 @@ def test_disclosure_equals_brute_force(spark):
     texts += texts[5:30]
     found, _ = pii.disclosing(documents(spark, texts).select("doc_id", "text"), 0.6)
     want = brute_terms(texts, 0.6)
-    kind = lambda e: "email" if "@" in e else "ip"
-    named = {(pii._hash(kind(e), e), int(pii.term_hashes([w])[0])): x for (e, w), x in want.items()}
+    assert {k for (k, _), _ in want} >= {"email", "domain"}
+    named = {(pii._hash(*e), int(pii.term_hashes([w])[0])): x for (e, w), x in want.items()}
     got = {(r.entity, r.term): r.ratio for r in found.collect()}
     assert set(got) == set(named) and all(abs(got[k] - named[k]) < 1e-9 for k in got) and len({w for _, w in want}) >= 4
     for r in pii.find(documents(spark, texts), 0.6).collect():
         text = texts[r.doc_id] or ""
         base = [(s, e) for _, s, e in brute_base(text)]
-        mine = {w for e, w in want if any(text[s:z].lower() == e for s, z in base)}
+        mine = {w for e, w in want if any(e in brute_keys(text[s:z]) for s, z in base)}
         spans = [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text) if m[0].lower() in mine and not any(x < m.end() and m.start() < y for x, y in base)]
         assert [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x.startswith("term")] == spans and r.n_term == len(spans)
 
