@@ -285,6 +285,11 @@ class Matrix:
         stored = self.nnz().first().nnz
         return f"{kind} {self.n_rows} x {self.n_cols}, {stored} stored, density {100.0 * stored / self.size if self.size else 0.0:.4f} %"
 
+    def facts(self) -> DataFrame:
+        """What ``info`` says, as one row: kind, n_rows, n_cols, stored, density."""
+        shape = [F.lit("sparse" if self.is_sparse else "dense").alias("kind"), F.lit(self.n_rows).cast("bigint").alias("n_rows"), F.lit(self.n_cols).cast("bigint").alias("n_cols")]
+        return self.nnz().select(*shape, F.col("nnz").alias("stored"), (F.lit(100.0) * F.col("nnz") / F.lit(float(self.size or 1))).alias("density"))
+
     def show(self, rows: int = 20, cols: int = 10) -> str:
         """The top left corner as text."""
         cells = {(r.i, r.j): r.v for r in self.df.filter((F.col("i") < rows) & (F.col("j") < cols)).collect()}

@@ -32,6 +32,7 @@ from coomat.operators.matrix import Matrix
 from coomat.operators.multiply import BROADCAST_ROWS, DENSE_ROWS
 from coomat.operators.packed import Packed, as_array, as_rows
 from coomat.operators.partition import scattered
+from coomat.operators.spent import Spent, measured
 from coomat.session import settled
 from coomat.sources.graph import Graph
 
@@ -176,8 +177,8 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
     Starts at 1 / N; each step gives a node d * (what flows in) + (d * (old mass of dangling nodes) + 1 - d) / N.  Stops
     when the sum of absolute changes is under tol; the step that gets there counts.
 
-    For packed ranks computation is the slowest block's time of each step, and communication the rest of the product's;
-    elsewhere these are null where Spark can't tell them apart.
+    For packed ranks computation is the slowest block's time of each step, and communication the rest of the product's.
+    For joins communication is the share of task time that went into shuffles, and the damping is part of the product.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
@@ -284,24 +285,27 @@ def _distributed(graph: Graph, counted: DataFrame, way: str, damping: float, max
     state = settled(graph.nodes().join(inner, "node", "left").select("node", F.coalesce("end", F.lit(True)).alias("end"), F.lit(1.0 / n).alias("rank")).repartition("node"))
     loss = state.agg(F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()[0]
     held: list[DataFrame] = []
-    began = time.perf_counter()
-    for k in range(1, max_iter + 1):
-        flow = flows(kept, state.select(F.col("node").alias("src"), "rank"), hot, way)
-        new = damping * F.coalesce(F.col("y"), F.lit(0.0)) + (damping * loss + (1 - damping)) / n
-        state = state.join(flow, "node", "left").select("node", "end", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
-        if k % CHECKPOINT_EVERY:
-            state = state.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(state)
-        else:
-            state = settled(state)
-        error, loss = state.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()
-        stats.iterations, stats.final_error, stats.converged = k, error, error < tol
-        if not k % CHECKPOINT_EVERY:
-            while held:
-                held.pop().unpersist()
-        if stats.converged:
-            break
+    spent, began = Spent(), time.perf_counter()
+    with measured(graph.edges.sparkSession, spent):
+        for k in range(1, max_iter + 1):
+            flow = flows(kept, state.select(F.col("node").alias("src"), "rank"), hot, way)
+            new = damping * F.coalesce(F.col("y"), F.lit(0.0)) + (damping * loss + (1 - damping)) / n
+            state = state.join(flow, "node", "left").select("node", "end", new.alias("rank"), F.abs(new - F.col("rank")).alias("change"))
+            if k % CHECKPOINT_EVERY:
+                state = state.persist(StorageLevel.MEMORY_AND_DISK)
+                held.append(state)
+            else:
+                state = settled(state)
+            error, loss = state.agg(F.sum("change"), F.coalesce(F.sum(F.when(F.col("end"), F.col("rank"))), F.lit(0.0))).first()
+            stats.iterations, stats.final_error, stats.converged = k, error, error < tol
+            if not k % CHECKPOINT_EVERY:
+                while held:
+                    held.pop().unpersist()
+            if stats.converged:
+                break
     stats.spmv_time_s = time.perf_counter() - began
+    stats.comm_time_s = stats.spmv_time_s * spent.share_moving
+    stats.comp_time_s = stats.spmv_time_s - stats.comm_time_s
     state = settled(state.select("node", "rank"))
     for x in (*held, *kept):
         x.unpersist()

@@ -13,6 +13,7 @@ from functools import lru_cache, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coomat.functions import scalars
 from coomat.operators import multiply as mul
 from coomat.operators import pagerank as pr
 from coomat.operators.matrix import Matrix, Vector, span
@@ -303,6 +304,9 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "snap_ids": (lambda t: _snap_ids(t), f"WITH {_G} SELECT 1::bigint AS base, min(least(src, dst)) + 1 AS low, max(greatest(src, dst)) + 1 AS high, max(greatest(src, dst)) + 1 AS nodes FROM G"),
     "rank_vector_files": (_rank_files, f"WITH {_ranks_sql(4)} SELECT node, round(r, 10) AS rank FROM R4"),
     "meta_file": (_meta_file, f"WITH {_G} SELECT 'E' AS key, count(*)::varchar AS value FROM G UNION ALL SELECT 'N', count(*)::varchar FROM N UNION ALL SELECT 'targets', min(dst)::varchar || ',' || max(dst)::varchar FROM G"),
+    "matrix_facts": (lambda t: t.a().facts().withColumn("density", F.round("density", 8)), f"WITH {_A} SELECT 'sparse' AS kind, {_NS}::bigint AS n_rows, {_NP}::bigint AS n_cols, count(*)::bigint AS stored, round(100.0::double * count(*) / ({_NS}::double * {_NP}::double), 8) AS density FROM A"),
+    "report_rows": (lambda t: results.shown(_metrics(t).withColumn("total_time_s", F.col("total_time_s") * 32), ("engine", "mpi_ranks", "num_nodes", "num_edges", "iterations", "total_time_s")), f"WITH {_MET} SELECT engine, mpi_ranks::varchar AS mpi_ranks, num_nodes::varchar AS num_nodes, num_edges::varchar AS num_edges, '-' AS iterations, printf('%.4f', total_time_s * 32) AS total_time_s FROM met"),
+    "parsed_numbers": (lambda t: t.orders.select("o_orderkey", scalars.number(F.substring_index("o_orderpriority", "-", 1)).alias("n"), scalars.whole("o_orderpriority").alias("none"), scalars.whole(F.col("o_totalprice").cast("string")).alias("whole"), scalars.fixed("o_orderstatus").alias("text")), "SELECT o_orderkey, coalesce(try_cast(split_part(o_orderpriority, '-', 1) AS double), 0.0::double) AS n, coalesce(floor(try_cast(o_orderpriority AS double)), 0)::bigint AS none, floor(o_totalprice)::bigint AS whole, o_orderstatus AS text FROM orders"),
     "metrics_csv": (lambda t: _metrics_csv(t).select("_ds", "engine", "mpi_ranks", "omp_threads", F.round("total_time_s", 8).alias("total_time_s"), "num_nodes"), f"WITH {_MET} SELECT _ds, engine, mpi_ranks, omp_threads, round(total_time_s, 8) AS total_time_s, num_nodes FROM met WHERE _ds = 'A'"),
     "merged_results": (lambda t: results.merged([_metrics(t).filter("_ds = 'A'"), _metrics(t).filter("_ds = 'N'").drop("num_edges")]).select("_ds", "engine", "num_edges"), f"WITH {_MET} SELECT _ds, engine, CASE WHEN _ds = 'A' THEN num_edges END AS num_edges FROM met WHERE _ds IN ('A', 'N')"),
     "numbered_runs": (lambda t: results.numbered(_metrics(t)).select("_ds", "engine", F.col("place").cast("bigint").alias("place")), f"WITH {_MET} SELECT _ds, engine, row_number() OVER (PARTITION BY _ds ORDER BY total_time_s, engine, mpi_ranks, omp_threads)::bigint AS place FROM met"),

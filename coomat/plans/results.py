@@ -85,10 +85,15 @@ SHOWN = ("dataset", "mpi_ranks", "omp_threads", "num_nodes", "num_edges", "itera
 DIGITS = ("total_time_s", "spmv_time_s", "avg_spmv_ms", "comm_pct", "comp_pct")
 
 
+def shown(rows: DataFrame, columns: tuple[str, ...] = SHOWN) -> DataFrame:
+    """Columns as the report has them: texts, fixed digits for numbers, a dash for what is not there."""
+    there = [c if c in rows.columns else None for c in columns]
+    return rows.select(*(F.lit("-").alias(c) if own is None else F.coalesce(fixed(c) if c in DIGITS else F.col(c).cast("string"), F.lit("-")).alias(c) for c, own in zip(columns, there, strict=True)))
+
+
 def _table(rows: DataFrame, columns: tuple[str, ...]) -> list[str]:
-    shown = rows.select(*(F.coalesce(fixed(c) if c in DIGITS else F.col(c).cast("string"), F.lit("-")).alias(c) for c in columns))
     head = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    return head + ["| " + " | ".join(r) + " |" for r in shown.toLocalIterator()]
+    return head + ["| " + " | ".join(r) + " |" for r in shown(rows, columns).toLocalIterator()]
 
 
 def report(rows: DataFrame, title: str = "Results") -> str:

@@ -3,6 +3,7 @@ import pytest
 
 from coomat.operators import packed
 from coomat.operators import pagerank as pr
+from coomat.operators.spent import Spent, measured
 from coomat.plans import results
 from coomat.sources import metrics, vectors
 from coomat.sources.graph import Graph, dataset_name, parse_edges, read_snap
@@ -145,7 +146,19 @@ def test_hot_nodes_are_salted(spark, monkeypatch, strategy):
     want, _ = numpy_ranks(edges, 30)
     done = pr.pagerank(Graph.of(spark.createDataFrame(edges, "src bigint, dst bigint"), base=0, n=30), strategy=strategy)
     assert np.abs(np.array([r["rank"] for r in done.ranks.orderBy("node").collect()]) - want).sum() < 1e-12
-    assert done.stats.row("x")["comm_pct"] is None and done.stats.mpi_ranks > 1
+    row = done.stats.row("x")
+    assert 0 <= row["comm_pct"] < 100 and row["comm_pct"] + row["comp_pct"] == pytest.approx(100) and done.stats.mpi_ranks > 1
+
+
+def test_times_of_tasks(spark):
+    spent = Spent()
+    with measured(spark, spent):
+        spark.range(200_000).selectExpr("id % 1000 AS k", "id").groupBy("k").sum("id").repartition(3, "k").count()
+    assert 0 < spent.moving < spent.tasks and 0 < spent.share_moving < 1
+    other = Spent()
+    with measured(spark, other):
+        pass
+    assert other.tasks == 0 and other.share_moving == 0.0
 
 
 def test_not_converged_and_compare(spark):
