@@ -346,3 +346,17 @@ def sanitise(docs: DataFrame, disclosure: float = DISCLOSURE) -> DataFrame:
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return clean.toDF(*names)
+
+
+def base_sql(table: str = "documents") -> str:
+    """Counts of the base spans for DuckDB."""
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
+ip AS (SELECT rid, count(*) AS n FROM (SELECT rid, m, bool_and(CASE WHEN length(ltrim(p, '0')) <= 3 THEN coalesce(nullif(ltrim(p, '0'), ''), '0')::integer <= 255 ELSE false END) AS fits
+  FROM (SELECT rid, k, m, unnest(string_split(m, '.')) AS p FROM (SELECT rid, unnest(ms) AS m, generate_subscripts(ms, 1) AS k FROM (SELECT rid, regexp_extract_all(t, '[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)') AS ms FROM d))) GROUP BY rid, k, m) WHERE fits GROUP BY rid),
+numbers AS (SELECT rid, k, digits FROM (SELECT rid, generate_subscripts(ms, 1) AS k, regexp_replace(unnest(ms), '[^0-9]', '', 'g') AS digits FROM (SELECT rid, regexp_extract_all(t, '[0-9](?:[\\x20-]?[0-9])+') AS ms FROM d)) WHERE length(digits) BETWEEN 16 AND 19),
+card AS (SELECT rid, count(*) AS n FROM (SELECT rid, k, sum(CASE WHEN i % 2 = 1 THEN x WHEN x > 4 THEN 2 * x - 9 ELSE 2 * x END) % 10 AS rest
+  FROM (SELECT rid, k, i, substr(reverse(digits), i::integer, 1)::integer AS x FROM numbers, range(1, 20) r(i) WHERE i <= length(digits)) GROUP BY rid, k) WHERE rest = 0 GROUP BY rid),
+phone AS (SELECT rid, count(*) AS n FROM (SELECT rid, regexp_replace(unnest(regexp_extract_all(t, '\\+[0-9][\\x20().0-9-]+[0-9]')), '[^0-9]', '', 'g') AS digits FROM d) WHERE length(digits) BETWEEN 8 AND 15 GROUP BY rid)
+SELECT doc_id, len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+'))::bigint AS n_email, coalesce(ip.n, 0)::bigint AS n_ip, coalesce(card.n, 0)::bigint AS n_card, coalesce(phone.n, 0)::bigint AS n_phone
+FROM d LEFT JOIN ip USING (rid) LEFT JOIN card USING (rid) LEFT JOIN phone USING (rid)"""

@@ -67,6 +67,16 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.proven_documents(table(spark, sf_dir, "documents"))
 
 
+def personal_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op6 SQL can say."""
+    return op6_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def quality_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op7 SQL can say."""
+    return op7_quality_rules(spark, sf_dir).select("doc_id", *weak_rules.BASE, "base_failed")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_url_filters": op1_url_filters,
@@ -80,6 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_decontamination": op9_decontamination,
         "op10_sharding": op10_sharding,
         "op11_secret_scans": op11_secret_scans,
+        "personal_base_counts": personal_base_counts,
+        "quality_base": quality_base,
         "secret_base_spans": secret_base_spans,
         "op12_merkle_manifest": op12_merkle_manifest,
     }
@@ -89,6 +101,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_url_filters": url_filter.oracle_sql(),
         "op5_ngram_jaccard_join": ngram_join.oracle_sql(),
+        "personal_base_counts": pii.base_sql(),
+        "quality_base": weak_rules.base_sql(),
         "secret_base_spans": credentials.base_sql(),
         "op12_merkle_manifest": merkle.oracle_sql(),
     }

@@ -232,3 +232,19 @@ def good_documents(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     table, keyed = membership(bad, "_key", bad.count()), docs.withColumn("_key", F.xxhash64("text"))
     again = figures(maybe_in(keyed, F.col("_key"), table)).filter(good).drop("_figures", "_key")
     return maybe_in(keyed, F.col("_key"), table, negate=True).drop("_key").union(again).toDF(*names)
+
+
+def base_sql(table: str = "documents") -> str:
+    """The base figures and base_failed for DuckDB."""
+    words = "[^\\x20\\x09-\\x0D]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM {table}),
+w AS (SELECT rid, regexp_extract_all(t, '{words}+') AS ws FROM d),
+f AS (SELECT rid, unnest(ws) AS a, generate_subscripts(ws, 1) AS pos FROM w),
+g AS (SELECT rid, pos, a, lead(a, 1) OVER p AS b, lead(a, 2) OVER p AS c, lead(a, 3) OVER p AS d, lead(a, 4) OVER p AS e FROM f WINDOW p AS (PARTITION BY rid ORDER BY pos)),
+n AS (SELECT rid, pos, count(*) OVER (PARTITION BY rid, a, b, c, d, e) AS times FROM g WHERE e IS NOT NULL),
+r AS (SELECT rid, count(DISTINCT pos + k) AS repeated FROM n, range({WINDOW}) x(k) WHERE times > 1 GROUP BY rid),
+l AS (SELECT rid, count(*) - count(DISTINCT line) AS dup FROM (SELECT rid, unnest(string_split(t, chr(10))) AS line FROM d) WHERE regexp_matches(line, '{words}') GROUP BY rid),
+x AS (SELECT doc_id, len(ws)::bigint AS n_words, length(array_to_string(ws, ''))::bigint AS word_chars, len(regexp_extract_all(t, '{SYMBOLS}'))::bigint AS n_symbols, coalesce(dup, 0)::bigint AS n_dup_lines, coalesce(repeated, 0)::bigint AS n_repeat_words
+  FROM d JOIN w USING (rid) LEFT JOIN r USING (rid) LEFT JOIN l USING (rid))
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM x"""

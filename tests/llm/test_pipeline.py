@@ -33,7 +33,7 @@ def test_stages(spark):
     assert again == {(r.doc_id, r.piece, r.length) for r in docs.collect()}
 
 
-@pytest.mark.parametrize("name", ["op1_url_filters", "op5_ngram_jaccard_join", "secret_base_spans"])
+@pytest.mark.parametrize("name", ["op1_url_filters", "op5_ngram_jaccard_join", "personal_base_counts", "quality_base", "secret_base_spans"])
 def test_queries_equal_sql(spark, name):
     c = duckdb.connect()
     for t in ("documents", "pages"):
