@@ -3,7 +3,7 @@
 A document's set holds the distinct 5-word shingles of its whole text (one shingle of the whole sequence if it
 has fewer words).  Two sets link when 100 * |A & B| >= 75 * |A | B|.  The steps:
 
-1. A count sketch of all shingles (2**18 counters, summed over all documents) fixes one global rare-first order.
+1. A count sketch of all shingles (2**20 counters, summed over all documents) fixes one global rare-first order.
    Any order gives right results; rare-first keeps common passages out of the prefixes.
 2. Each set sends the first n - ceil(0.75 n) + 1 shingles in that order (its prefix).  Two sets that link share one.
 3. Prefix shingles are dealt to buckets and meet there.  Equal sets are one node, so exact copies never pair.
@@ -34,7 +34,7 @@ from coomat.llm import kernels as K
 from coomat.llm.components import components
 from coomat.llm.tables import aside, compact, maybe_in, membership, only, settled
 
-SKETCH_BITS = 18
+SKETCH_BITS = 20
 CHUNK = 1 << 12
 #: Least bits of the suffix filter's sketches; larger sets have at least two bits a shingle.
 BITS = 2048
