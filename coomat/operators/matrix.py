@@ -187,10 +187,13 @@ class Matrix:
         return self._with(self.df.filter(nonzero(F.col("v"), eps)), is_sparse=True)
 
     def to_dense(self) -> Matrix:
-        """All cells.  The grid is made by rows and joined with the cells there are; a dense matrix is kept as it is."""
+        """All cells.  The grid is made by rows and joined with the cells there are; a dense matrix is kept as it is.
+
+        The planner takes the grid for as small as its column of row numbers, so it is told not to broadcast it.
+        """
         if not self.is_sparse:
             return self
-        grid = Matrix.filled(self.df.sparkSession, self.n_rows, self.n_cols).df.select("i", "j")
+        grid = Matrix.filled(self.df.sparkSession, self.n_rows, self.n_cols).df.select("i", "j").hint("merge")
         return self._with(grid.join(self.df, ["i", "j"], "left").select("i", "j", F.coalesce("v", F.lit(0.0)).alias("v")), is_sparse=False)
 
     def by_rows(self, parts: int | None = None) -> Matrix:

@@ -242,3 +242,15 @@ def test_compressed_tables_are_checked(spark):
     assert cells(Matrix.from_values(values, 2, 1)) == [(0, 0, 1.0), (1, 0, 2.0)]
     with pytest.raises(ValueError):
         Matrix.from_values(values, 2, 2)
+
+
+def test_grid_is_never_broadcast(spark):
+    m = Matrix.sparse(spark.range(40).selectExpr("id % 9 AS i", "id % 5 AS j", "1.0 AS v"), 9, 12)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        steps = m.to_dense().from_dense().df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in steps and "Broadcast" not in steps
+        assert cells(m.to_dense().from_dense()) == cells(m)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
