@@ -6,7 +6,8 @@ One step is a product of the transition cells with the ranks.  The engines diffe
 * ``hybrid``: cells of sources with many of them meet their ranks in a broadcast join, the rest in a sort-merge join;
 * ``broadcast``: ranks (counted under BROADCAST_ROWS) go to all tasks, cells are cached by destination, a step moves ranks;
 * ``shuffle``: cells are cached by source and meet the ranks in a sort-merge join, whatever their number;
-* ``serial``: the cells (counted, at most LOCAL_CELLS) go to one task that does all steps on arrays; only if asked for;
+* ``serial``: the cells (counted, at most LOCAL_CELLS) go to one task that does all steps on arrays; only if asked for,
+  and beyond that number the steps are those of ``auto``;
 * ``dense``: like broadcast, over all N * N cells, up to DENSE_ROWS nodes;
 * ``auto``: packed up to BROADCAST_ROWS nodes, hybrid beyond.
 
@@ -184,19 +185,17 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
         raise ValueError(f"no such strategy: {strategy}")
     if strategy == "dense" and graph.n > DENSE_ROWS:
         raise ValueError(f"more than {DENSE_ROWS} nodes for the dense strategy")
-    if strategy == "broadcast" and graph.n > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} nodes for the broadcast strategy")
-    if strategy == "packed" and graph.n > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} nodes for the packed strategy")
     spark, n, timer = graph.edges.sparkSession, graph.n, Timer()
     before = rss_kb()
     # one pass over the edges; degrees, dangling nodes and counts come from these
     counted = graph.edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
     nnz, edges = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     fits = nnz <= LOCAL_CELLS and n <= BROADCAST_ROWS
-    if strategy == "serial" and not fits:
-        raise ValueError(f"more than {LOCAL_CELLS} cells or {BROADCAST_ROWS} nodes for the serial strategy")
-    way = strategy if strategy != "auto" else "packed" if n <= BROADCAST_ROWS else "hybrid"
+    way = "packed" if n <= BROADCAST_ROWS else "hybrid"
+    if strategy == "broadcast" and n > BROADCAST_ROWS:
+        way = "shuffle"
+    elif strategy in ("hybrid", "broadcast", "shuffle", "dense") or strategy == "serial" and fits:
+        way = strategy
     if way == "serial" and not nnz:
         way = "packed"
     stats = Stats(strategy, n, edges, nnz, damping, tol, load_time_s=load_time_s, mem_before_kb=before)

@@ -228,3 +228,14 @@ def test_timer_and_stream(spark, tmp_path):
     q = stream_out_degree(stream_edges(spark, str(folder))).writeStream.outputMode("complete").format("memory").queryName("deg").trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert sorted(map(tuple, spark.table("deg").collect())) == [(0, 2), (1, 1)]
+
+
+def test_serial_does_larger_graphs_as_auto_does(spark, monkeypatch):
+    edges = [(a, (a * 7 + 1) % 12) for a in range(9)] + [(2, 3), (2, 3)]
+    g = Graph(spark.createDataFrame(edges, "src bigint, dst bigint"), 12)
+    want, _ = numpy_ranks(edges, 12)
+    for name in ("LOCAL_CELLS", "BROADCAST_ROWS"):
+        monkeypatch.setattr(pr, name, 2)
+        done = pr.pagerank(g, strategy="serial")
+        assert np.abs(np.array([r["rank"] for r in done.ranks.orderBy("node").collect()]) - want).sum() < 1e-12
+        assert done.stats.mpi_ranks > 1 and done.stats.converged
