@@ -222,6 +222,10 @@ def _top10(t: Tables) -> DataFrame:
     return _rounded(pr.top_k(_ranks(t).select("node", F.round("rank", 10).alias("rank"))))
 
 
+def _with_transpose(a: Matrix) -> Matrix:
+    return mul.matmul(a, a.transpose(), "gustavson")
+
+
 def _scattered_products(t: Tables) -> DataFrame:
     """A x and A 1 over one scattered A."""
     a = t.a().scatter("j")
@@ -268,7 +272,7 @@ CATALOGUE: dict[str, tuple[Callable[[Tables], DataFrame], str | None]] = {
     "dense_dense_blocked": (lambda t: _cells(mul.blocked_matmul(t.e(), t.w(), 32)).select("i", "j", F.round("v", 6).alias("v")), f"WITH {_E}, {_W} SELECT E.i, W.j, round(sum(E.v * W.v), 6) AS v FROM E JOIN W ON E.j = W.i GROUP BY 1, 2"),
     "csr_csr": (lambda t: _cells(mul.matmul(t.a(), t.b())), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
     "csr_csr_shuffle": (lambda t: _cells(mul.matmul(t.a(), t.b(), "shuffle")), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
-    "csr_csc": (lambda t: _cells(mul.matmul(t.a(), t.a().transpose(), "gustavson")), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
+    "csr_csc": (lambda t: _cells(_with_transpose(t.a().scatter("j"))), f"WITH {_A} SELECT x.i, y.i AS j, sum(x.v * y.v) AS v FROM A x JOIN A y ON x.j = y.j GROUP BY 1, 2 HAVING abs(sum(x.v * y.v)) > 1e-15"),
     "product_bounds": (lambda t: mul.product_bounds(t.a(), t.b()), f"WITH {_A}, {_B}, K AS (SELECT i, count(*) AS c FROM B GROUP BY i) SELECT A.i, sum(K.c)::bigint AS bound FROM A JOIN K ON A.j = K.i GROUP BY A.i"),
     "csr_csr_blocks": (lambda t: _cells(mul.blocked_matmul(t.a(), t.b(), 64)), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),
     "csr_csr_gustavson": (lambda t: _cells(mul.matmul(t.a(), t.b(), "gustavson")), f"WITH {_A}, {_B}, P AS ({_AB}) SELECT i, j, v FROM P WHERE abs(v) > 1e-15"),

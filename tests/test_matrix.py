@@ -280,3 +280,21 @@ def test_dense_products_of_any_number_of_rows(spark, monkeypatch):
         with np.errstate(invalid="ignore"):
             want = (full * x).sum(axis=1)
         assert np.array_equal(mul.spmv(m, Vector.of(spark, x.tolist()), "dense").collect(), want, equal_nan=True)
+
+
+def test_two_phase_product_sends_a_piece_to_a_part_once(spark, monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(mul, "CHUNK", 7)
+    own = random_cells(9, 20, 15, 120, [(i, 5) for i in range(20)])
+    a = handle(spark, own, 20, 15).scatter("j")
+    seen = []
+    monkeypatch.setattr(mul, "row_parts", lambda bounds, n, f=mul.row_parts: seen.append(n) or f(bounds, n))
+    got = mul.matmul(a, a.transpose(), "gustavson")
+    assert {(r.i, r.j): r.v for r in got.df.collect()} == pytest.approx(plain_product(own, {(j, i): v for (i, j), v in own.items()}))
+    assert seen == [mul.PRODUCTS]  # one part: every inner index is one row of the join, for all its cells
+    batch = pa.record_batch({"rows": [[1, 2], [3]], "lefts": [[1.0, 2.0], [3.0]], "cols": [[4, 5, 6, 7], []], "vals": [[1.0] * 4, []]}, pa.schema([("rows", pa.list_(pa.int64())), ("lefts", pa.list_(pa.float64())), ("cols", pa.list_(pa.int64())), ("vals", pa.list_(pa.float64()))]))
+    for part in (batch, batch.slice(0, 1)):
+        i, c, x = map(np.concatenate, zip(*mul.expanded(part), strict=True))
+        assert i.tolist() == [1] * 4 + [2] * 4 and c.tolist() == [4, 5, 6, 7] * 2 and x.tolist() == [1.0] * 4 + [2.0] * 4
