@@ -274,11 +274,15 @@ class Matrix:
         return self._with(self.df.select(F.col("j").alias("i"), F.col("i").alias("j"), "v"), self.n_cols, self.n_rows)
 
     def mismatches(self, other: Matrix) -> DataFrame:
-        """One row: cells that differ (n).  Missing sparse cells are 0.0; NaN equals nothing."""
-        fill = lambda c: F.coalesce(c, F.lit(0.0))
-        a, b = self.df.select("i", "j", F.col("v").alias("a")), other.df.select("i", "j", F.col("v").alias("b"))
-        x, y = fill(F.col("a")), fill(F.col("b"))
-        return a.join(b, ["i", "j"], "full").agg(F.coalesce(F.sum(((x != y) | F.isnan(x) | F.isnan(y)).cast("bigint")), F.lit(0)).alias("n"))
+        """One row: cells that differ (n).  Missing sparse cells are 0.0; NaN equals nothing.
+
+        Both sides are grouped by cell together: a join would sort both in one task.
+        """
+        fill = lambda c: F.coalesce(F.max(c), F.lit(0.0)).alias(c)  # noqa: E731 - of one value or none
+        none = F.lit(None).cast("double")
+        both = self.df.select("i", "j", F.col("v").alias("a"), none.alias("b")).unionAll(other.df.select("i", "j", none.alias("a"), F.col("v").alias("b")))
+        x, y = F.col("a"), F.col("b")
+        return both.groupBy("i", "j").agg(fill("a"), fill("b")).agg(F.coalesce(F.sum(((x != y) | F.isnan(x) | F.isnan(y)).cast("bigint")), F.lit(0)).alias("n"))
 
     def equals(self, other: Matrix) -> bool:
         return (self.n_rows, self.n_cols) == (other.n_rows, other.n_cols) and self.mismatches(other).first().n == 0

@@ -256,14 +256,6 @@ def test_grid_is_never_broadcast(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
-def test_block_products_are_summed_in_their_task(spark, monkeypatch):
-    a, b = random_cells(7, 6, 40, 90), random_cells(8, 40, 3, 60)
-    for held in (1 << 22, 1):
-        monkeypatch.setattr(mul, "HELD", held)
-        product = mul.blocked_matmul(handle(spark, a, 6, 40).scatter("j", 1), handle(spark, b, 40, 3).scatter("i", 1), 4)
-        assert {(r.i, r.j): r.v for r in product.df.collect()} == pytest.approx(plain_product(a, b))
-
-
 def test_dense_products_of_any_number_of_rows(spark, monkeypatch):
     import numpy as np
 
@@ -282,6 +274,21 @@ def test_dense_products_of_any_number_of_rows(spark, monkeypatch):
         assert np.array_equal(mul.spmv(m, Vector.of(spark, x.tolist()), "dense").collect(), want, equal_nan=True)
 
 
+def test_block_products_are_summed_in_their_task(spark, monkeypatch):
+    a, b = random_cells(7, 6, 40, 90), random_cells(8, 40, 3, 60)
+    for held in (1 << 22, 1):
+        monkeypatch.setattr(mul, "HELD", held)
+        product = mul.blocked_matmul(handle(spark, a, 6, 40).scatter("j", 1), handle(spark, b, 40, 3).scatter("i", 1), 4)
+        assert {(r.i, r.j): r.v for r in product.df.collect()} == pytest.approx(plain_product(a, b))
+
+
+def test_mismatches_join_nothing(spark):
+    a = Matrix.from_entries(spark, [(0, 0, 1), (0, 1, float("nan")), (1, 0, -0.0), (1, 1, 4)], 2, 2)
+    b = Matrix.from_entries(spark, [(0, 0, 1), (0, 1, float("nan")), (1, 1, 5)], 2, 2)
+    n = a.mismatches(b)
+    assert n.first().n == 2 and "Join" not in n._jdf.queryExecution().executedPlan().toString()
+
+
 def test_two_phase_product_sends_a_piece_to_a_part_once(spark, monkeypatch):
     import numpy as np
     import pyarrow as pa
