@@ -7,20 +7,25 @@ partial sum for each row of a block.  Blocks are bounded: a range with more cell
 column, so no row or range, however hot, lies in one task, and partial sums are added.
 
 The vector has at most BROADCAST_ROWS values (checked), and so have the sums.
+
+Tiles are for a vector that is spread, too: pieces of SIDE values are rows of a table, and the cells of a piece's columns
+lie together.  A product then moves pieces to tiles and partial sums to pieces, and the driver has no part of either.
 """
 
 from __future__ import annotations
 
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coomat.operators.multiply import BROADCAST_ROWS
+from coomat.session import settled
 
 #: Cells of a block, some 12 MB packed; small matrices are cut finer, so that all tasks have some, but not below LEAST.
 BLOCK = 1 << 20
@@ -30,6 +35,10 @@ RANGE = 1 << 16
 #: Partial sums that come to the driver at once; beyond, those of a range are added before.
 GATHERED = 8 * BROADCAST_ROWS
 
+#: Values of a piece of a spread vector, and cells of a tile, some 4 MB packed.
+SIDE = 1 << 14
+TILE = 1 << 18
+
 _PACKED = "range bigint, rows binary, starts binary, cols binary, vals binary"
 
 
@@ -135,3 +144,50 @@ def as_rows(like: DataFrame, values: np.ndarray, key: str, value: str) -> DataFr
             yield pa.RecordBatch.from_arrays([at, pa.array(shared.value[at.to_numpy()])], [key, value])
 
     return spark.range(len(values)).mapInArrow(rows, f"{key} bigint, {value} double")
+
+
+def piece_of(column: str) -> Column:
+    return F.expr(f"{column} div {SIDE}")
+
+
+def tiles(cells: DataFrame, nnz: int) -> tuple[DataFrame, DataFrame]:
+    """(i, j, v), each cell once -> packed tiles (c, sub, rows, starts, cols, vals), and (c, subs) of each piece c of columns.
+
+    The cells of a piece are dealt to tiles by row, so a tile has about TILE of them, or those of a row, at most SIDE.
+    """
+    size = max(LEAST, min(TILE, -(-nnz // (2 * cells.sparkSession.sparkContext.defaultParallelism))))
+    ranged = cells.select(piece_of("j").alias("c"), "i", "j", "v")
+    subs = settled(ranged.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("subs")))  # a row for SIDE columns
+    dealt = ranged.join(subs, "c").select("c", F.pmod(F.xxhash64("i"), F.col("subs")).cast("int").alias("sub"), "i", "j", "v")
+
+    def packed(key, table):
+        i, j, v = (table.column(c).to_numpy() for c in ("i", "j", "v"))
+        by = np.lexsort((j, i))
+        i, j, v = i[by], j[by], v[by]
+        starts = np.flatnonzero(np.append(True, i[1:] != i[:-1]))
+        blobs = [i[starts].astype("<i8"), starts.astype("<i4"), (j - key[0].as_py() * SIDE).astype("<i4"), v.astype("<f8")]
+        return pa.table({"c": [key[0].as_py()], "sub": pa.array([key[1].as_py()], pa.int32()), **{n: pa.array([x.tobytes()], pa.binary()) for n, x in zip(("rows", "starts", "cols", "vals"), blobs, strict=True)}})
+
+    return dealt.groupBy("c", "sub").applyInArrow(packed, "c bigint, sub int, rows binary, starts binary, cols binary, vals binary"), subs
+
+
+def tile_sums(held: DataFrame, subs: DataFrame, pieces: DataFrame) -> DataFrame:
+    """Tiles, and pieces (c, x binary) of a vector -> partial sums (r, rows, sums) of pieces r of the product; rows as places in r."""
+    copies = pieces.join(subs, "c").select("c", "x", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)).alias("sub"))
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                rows, starts, cols, vals, x = (_numbers(b.column(n)[k], kind) for n, kind in (("rows", "<i8"), ("starts", "<i4"), ("cols", "<i4"), ("vals", "<f8"), ("x", "<f8")))
+                sums = np.add.reduceat(vals * x[cols], starts)
+                r = rows // SIDE
+                at = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
+                parts = list(zip(at, [*at[1:], len(r)], strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(r[at]), pa.array([(rows[lo:hi] - r[lo] * SIDE).astype("<i4").tobytes() for lo, hi in parts], pa.binary()), pa.array([sums[lo:hi].tobytes() for lo, hi in parts], pa.binary())], ["r", "rows", "sums"])
+
+    return held.join(copies.hint("merge"), ["c", "sub"]).select("rows", "starts", "cols", "vals", "x").mapInArrow(times, "r bigint, rows binary, sums binary")
+
+
+def added_to(total: np.ndarray, rows: pa.Scalar, sums: pa.Scalar) -> None:
+    """Adds one partial sum, whose rows are different ones."""
+    total[_numbers(rows, "<i4")] += _numbers(sums, "<f8")

@@ -2,7 +2,7 @@
 
 One step is a product of the transition cells with the ranks.  The engines differ in their plans:
 
-* ``packed``: cells lie in the executors as arrays by rows, ranks (at most BROADCAST_ROWS) go to all tasks as one array;
+* ``packed``: cells lie in the executors as arrays by pieces of sources, ranks as arrays by pieces of nodes, a step moves those;
 * ``hybrid``: cells of sources with many of them meet their ranks in a broadcast join, the rest in a sort-merge join;
 * ``broadcast``: ranks (counted under BROADCAST_ROWS) go to all tasks, cells are cached by destination, a step moves ranks;
 * ``shuffle``: cells are cached by source and meet the ranks in a sort-merge join, whatever their number;
@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import os
 import time
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coomat.functions.scalars import percent_of
-from coomat.operators.matrix import Matrix
+from coomat.operators.matrix import Matrix, span
 from coomat.operators.multiply import BROADCAST_ROWS, DENSE_ROWS
-from coomat.operators.packed import Packed, as_array, as_rows
+from coomat.operators.packed import SIDE, added_to, piece_of, tile_sums, tiles
 from coomat.operators.partition import scattered
 from coomat.operators.spent import Spent, measured
 from coomat.session import settled
@@ -178,8 +180,7 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
     Starts at 1 / N; each step gives a node d * (what flows in) + (d * (old mass of dangling nodes) + 1 - d) / N.  Stops
     when the sum of absolute changes is under tol; the step that gets there counts.
 
-    For packed ranks computation is the slowest block's time of each step, and communication the rest of the product's.
-    For joins communication is the share of task time that went into shuffles, and the damping is part of the product.
+    Communication is the share of task time that went into shuffles, and the damping is part of the product.
     """
     if strategy not in STRATEGIES:
         raise ValueError(f"no such strategy: {strategy}")
@@ -217,28 +218,74 @@ def shares(counted: DataFrame) -> DataFrame:
     return counted.join(degrees(counted), "src").select("src", "dst", (F.col("c") / F.col("deg")).alias("v"))
 
 
+_STATE = "r bigint, rank binary, degree binary, change double, lost double"
+
+
 def _packed(graph: Graph, counted: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:
-    """Ranks are an array on the driver (at most BROADCAST_ROWS); damping, error and lost mass are sums over it."""
-    n = graph.n
-    degree = as_array(degrees(counted), "src", "deg", n)
-    ends, each = degree == 0, np.where(degree == 0, 1.0, degree)
-    matrix = Packed.of(counted.select(F.col("dst").alias("i"), F.col("src").alias("j"), F.col("c").cast("double").alias("v")), n, n, stats.csr_nnz)
-    rank, stats.comp_time_s, stats.damp_time_s = np.full(n, 1.0 / n), 0.0, 0.0
-    for k in range(1, max_iter + 1):
-        began = time.perf_counter()
-        flow, slowest = matrix.multiply(rank / each)
-        between = time.perf_counter()
-        new = damping * flow + (damping * rank[ends].sum() + (1 - damping)) / n
-        error, rank = float(np.abs(new - rank).sum()), new
-        stats.iterations, stats.final_error, stats.converged = k, error, error < tol
-        stats.spmv_time_s += between - began
-        stats.comp_time_s += slowest
-        stats.damp_time_s += time.perf_counter() - between
-        if stats.converged:
-            break
-    stats.comm_time_s = stats.spmv_time_s - stats.comp_time_s
-    matrix.drop()
-    return settled(as_rows(counted, rank, "node", "rank"))
+    """Ranks and degrees are pieces of SIDE nodes, as arrays; only the change and the lost mass come to the driver."""
+    n, spark = graph.n, graph.edges.sparkSession
+    size = lambda r: min(SIDE, n - r * SIDE)
+    batch = lambda r, rank, degree, change: pa.RecordBatch.from_arrays([pa.array([r]), pa.array([rank.tobytes()], pa.binary()), pa.array([degree.tobytes()], pa.binary()), pa.array([change]), pa.array([float(rank[degree == 0].sum())])], ["r", "rank", "degree", "change", "lost"])
+
+    def first(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = key[0].as_py()
+        degree = np.zeros(size(r))
+        for x in batches:
+            known = x.filter(pa.compute.is_valid(x.column("src")))
+            degree[known.column("src").to_numpy() - r * SIDE] = known.column("deg").to_numpy()
+        yield batch(r, np.full(size(r), 1.0 / n), degree, 0.0)
+
+    none = F.lit(None).cast("bigint")
+    every = span(spark, -(-n // SIDE), "r").select("r", none.alias("src"), none.alias("deg"))
+    state = settled(degrees(counted).select(piece_of("src").alias("r"), "src", F.col("deg").cast("bigint").alias("deg")).unionAll(every).groupBy("r").applyInArrow(first, _STATE))
+    lost = state.agg(F.sum("lost")).first()[0]
+    held, subs = tiles(counted.select(F.col("dst").alias("i"), F.col("src").alias("j"), F.col("c").cast("double").alias("v")), stats.csr_nnz)
+    held = scattered(held, "c", "sub")
+
+    def shares_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What each node sends along an edge."""
+        for x in batches:
+            for k in range(x.num_rows):
+                rank, degree = (np.frombuffer(x.column(c)[k].as_buffer()) for c in ("rank", "degree"))
+                yield pa.RecordBatch.from_arrays([x.column("r").slice(k, 1), pa.array([(rank / np.where(degree == 0, 1.0, degree)).tobytes()], pa.binary())], ["c", "x"])
+
+    def step(lost: float):
+        def stepped(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            r = key[0].as_py()
+            flow, rank, degree = np.zeros(size(r)), None, None
+            for x in batches:
+                for k in range(x.num_rows):
+                    if x.column("rank")[k].is_valid:
+                        rank, degree = (np.frombuffer(x.column(c)[k].as_buffer()) for c in ("rank", "degree"))
+                    else:
+                        added_to(flow, x.column("rows")[k], x.column("sums")[k])
+            new = damping * flow + (damping * lost + (1 - damping)) / n
+            yield batch(r, new, degree, float(np.abs(new - rank).sum()))
+
+        return stepped
+
+    spent, began, nothing = Spent(), time.perf_counter(), F.lit(None).cast("binary")
+    with measured(spark, spent):
+        for k in range(1, max_iter + 1):
+            sums = tile_sums(held, subs, state.select("r", "rank", "degree").mapInArrow(shares_of, "c bigint, x binary"))
+            both = sums.select("r", "rows", "sums", nothing.alias("rank"), nothing.alias("degree")).unionAll(state.select("r", nothing.alias("rows"), nothing.alias("sums"), "rank", "degree"))
+            state = settled(both.groupBy("r").applyInArrow(step(lost), _STATE))
+            error, lost = state.agg(F.sum("change"), F.sum("lost")).first()
+            stats.iterations, stats.final_error, stats.converged = k, error, error < tol
+            if stats.converged:
+                break
+    stats.spmv_time_s = time.perf_counter() - began
+    stats.comm_time_s = stats.spmv_time_s * spent.share_moving
+    stats.comp_time_s = stats.spmv_time_s - stats.comm_time_s
+    held.unpersist()
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            for k in range(x.num_rows):
+                rank = np.frombuffer(x.column("rank")[k].as_buffer())
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(rank)) + x.column("r")[k].as_py() * SIDE), pa.array(rank)], ["node", "rank"])
+
+    return settled(state.select("r", "rank").mapInArrow(rows, "node bigint, rank double"))
 
 
 def _local(graph: Graph, counted: DataFrame, way: str, damping: float, max_iter: int, tol: float, stats: Stats) -> DataFrame:

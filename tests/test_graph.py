@@ -239,3 +239,22 @@ def test_serial_does_larger_graphs_as_auto_does(spark, monkeypatch):
         done = pr.pagerank(g, strategy="serial")
         assert np.abs(np.array([r["rank"] for r in done.ranks.orderBy("node").collect()]) - want).sum() < 1e-12
         assert done.stats.mpi_ranks > 1 and done.stats.converged
+
+
+def test_packed_ranks_stay_in_the_executors(spark, monkeypatch):
+    for module, name, size in ((packed, "SIDE", 8), (pr, "SIDE", 8), (packed, "TILE", 20), (packed, "LEAST", 1)):
+        monkeypatch.setattr(module, name, size)
+    seen = []
+    monkeypatch.setattr(pr, "tile_sums", lambda held, subs, pieces, f=pr.tile_sums: seen.append((held.selectExpr("octet_length(cols) n").collect(), plan(f(held, subs, pieces)))) or f(held, subs, pieces))
+    monkeypatch.setattr(pr, "piece_of", packed.piece_of)
+    collected = []
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", lambda self: collected.append(self))
+    edges = [(0, b) for b in range(1, 60)] + [(a, 9) for a in range(20, 50)] + [(3, 4), (3, 4)]
+    want, steps = numpy_ranks(edges, 61)
+    done = pr.pagerank(Graph(spark.createDataFrame(edges, "src bigint, dst bigint"), 61), strategy="packed")
+    got = np.array([r["rank"] for r in done.ranks.orderBy("node").collect()])
+    assert len(got) == 61 and np.abs(got - want).sum() < 1e-12 and done.stats.iterations == steps and not collected
+    sizes = [r.n // 4 for r in seen[0][0]]
+    assert sum(sizes) == len(set(edges)) and max(sizes) < 40 and len(sizes) > 5
+    moved, _, _ = seen[0][1][seen[0][1].index("SortMergeJoin") :].partition("InMemoryRelation")
+    assert "InMemoryTableScan" in moved and "Exchange" not in moved
