@@ -174,7 +174,7 @@ def local_steps(cells: DataFrame, n: int, damping: float, max_iter: int, tol: fl
     return cells.select("src", "dst", "v").coalesce(1).mapInArrow(run, "node bigint, rank double, steps bigint, error double, spmv double, damp double")
 
 
-def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, strategy: str = "auto", load_time_s: float = 0.0) -> Result:
+def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: float = 1e-6, strategy: str = "auto", load_time_s: float = 0.0, counted: DataFrame | None = None) -> Result:
     """Ranks (node, rank) of all nodes.
 
     Starts at 1 / N; each step gives a node d * (what flows in) + (d * (old mass of dangling nodes) + 1 - d) / N.  Stops
@@ -188,8 +188,9 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
         raise ValueError(f"more than {DENSE_ROWS} nodes for the dense strategy")
     spark, n, timer = graph.edges.sparkSession, graph.n, Timer()
     before = rss_kb()
-    # one pass over the edges; degrees, dangling nodes and counts come from these
-    counted = graph.edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+    own = counted is None
+    if own:
+        counted = counted_cells(graph)
     nnz, edges = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("c"), F.lit(0))).first()
     fits = nnz <= LOCAL_CELLS and n <= BROADCAST_ROWS
     way = "packed" if n <= BROADCAST_ROWS else "hybrid"
@@ -204,10 +205,16 @@ def pagerank(graph: Graph, damping: float = 0.85, max_iter: int = 100, tol: floa
     timer.start("total")
     ranks = {"packed": _packed, "serial": _local}.get(way, _distributed)(graph, counted, way, damping, max_iter, tol, stats)
     stats.total_time_s, stats.mem_after_kb = timer.stop("total"), rss_kb()
-    counted.unpersist()
+    if own:
+        counted.unpersist()
     return Result(ranks, stats)
 
 
+def counted_cells(graph: Graph) -> DataFrame:
+    """(dst, src, c) in the executors: one pass over the edges; degrees, dangling nodes and counts come from these."""
+    return graph.edges.groupBy("dst", "src").agg(F.count(F.lit(1)).alias("c")).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def degrees(counted: DataFrame) -> DataFrame:
     """(src, deg) of counted cells."""
     return counted.groupBy("src").agg(F.sum("c").alias("deg"))
@@ -388,16 +395,17 @@ def skips(graph: Graph, strategy: str) -> str | None:
 
 
 def compare(graph: Graph, dataset: str, strategies: tuple[str, ...] = ("auto", "broadcast", "shuffle"), reference: DataFrame | None = None, skipped: dict[str, str] | None = None, **how) -> list[dict]:
-    """A metrics row for each strategy; those that can't take the graph go to ``skipped`` with the reason."""
-    rows = []
+    """A metrics row for each strategy; those that can't take the graph go to ``skipped``, if given, with the reason, and
+    else do it by the way that takes any size.  All share the counted cells, so the edges are read once."""
+    rows, counted = [], counted_cells(graph)
     for s in strategies:
-        if (why := skips(graph, s)) is not None:
-            if skipped is not None:
-                skipped[s] = why
+        if skipped is not None and (why := skips(graph, s)) is not None:
+            skipped[s] = why
             continue
-        done = pagerank(graph, strategy=s, **how)
+        done = pagerank(graph, strategy=s, counted=counted, **how)
         l1 = l1_distance(done.ranks, reference).first().l1 if reference is not None else -1.0
         rows.append(done.stats.row(dataset, l1, top_match(done.ranks, reference) if reference is not None else 0))
+    counted.unpersist()
     return rows
 
 

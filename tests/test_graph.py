@@ -241,6 +241,16 @@ def test_serial_does_larger_graphs_as_auto_does(spark, monkeypatch):
         assert done.stats.mpi_ranks > 1 and done.stats.converged
 
 
+def test_engines_share_the_edges_and_none_is_left_out_unasked(spark, monkeypatch):
+    g = Graph(spark.createDataFrame([(0, 1), (1, 2), (2, 0), (0, 2), (0, 2)], "src bigint, dst bigint"), 4)
+    calls = []
+    monkeypatch.setattr(pr, "counted_cells", lambda g, f=pr.counted_cells: calls.append(1) or f(g))
+    monkeypatch.setattr(pr, "BROADCAST_ROWS", 2)
+    engines = ("auto", "broadcast", "packed", "serial")
+    rows = pr.compare(g, "x", engines, max_iter=3)
+    assert [r["engine"] for r in rows] == list(engines) and len(calls) == 1 and len({round(r["final_error"], 12) for r in rows}) == 1
+
+
 def test_packed_ranks_stay_in_the_executors(spark, monkeypatch):
     for module, name, size in ((packed, "SIDE", 8), (pr, "SIDE", 8), (packed, "TILE", 20), (packed, "LEAST", 1)):
         monkeypatch.setattr(module, name, size)
