@@ -37,10 +37,16 @@ def named(column: str) -> Column:
     return F.coalesce(F.when(F.col(column) != "", F.col(column)), F.lit("_"))
 
 
+def word_counts(documents: DataFrame) -> DataFrame:
+    """(lang, source, text) -> lang, source, word, n.  Words are counted as they are written, and only what differs is lower-cased."""
+    written = documents.select(named("lang").alias("lang"), named("source").alias("source"), F.explode(F.split("text", SPACES)).alias("word")).filter("word <> ''")
+    counts = written.groupBy("lang", "source", "word").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("lang", "source", F.translate("word", UPPER, LOWER).alias("word")).agg(F.sum("n").alias("n"))
+
+
 def weights(documents: DataFrame) -> DataFrame:
     """(lang, source, text) -> lang, source, word, v > 0; the squares of a source's v sum to 1."""
-    words = documents.select(named("lang").alias("lang"), named("source").alias("source"), F.explode(F.split(F.translate("text", UPPER, LOWER), SPACES)).alias("word")).filter("word <> ''")
-    counts = settled(words.groupBy("lang", "source", "word").agg(F.count(F.lit(1)).alias("n")))
+    counts = settled(word_counts(documents))
     sources = counts.select("lang", "source").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     spread = counts.groupBy("lang", "word").agg(F.count(F.lit(1)).alias("with_word")).join(sources, "lang").filter("with_word < sources")
     rated = counts.join(spread, ["lang", "word"]).select("lang", "source", "word", (F.col("n") * F.log(F.col("sources") / F.col("with_word"))).alias("v"))

@@ -137,3 +137,11 @@ def test_command_line(spark, tmp_path):
     done = subprocess.run([sys.executable, "-m", "jobs.link_ranks", "--config", str(tmp_path / "c.json"), "--pages", str(tmp_path / "pages"), "--output", str(tmp_path / "out")], cwd=ROOT, capture_output=True, text=True, timeout=300, check=False)
     assert done.returncode == 0, done.stderr
     assert "read 8 new pages" in done.stderr and len(read(spark, str(tmp_path / "out"))) == 6
+
+
+def test_texts_are_not_lower_cased_before_words_are_counted(spark):
+    docs = spark.createDataFrame([("en", "a", "The the\tTHE \u00c4b"), (None, "", "x"), ("en", "a", None)], "lang string, source string, text string")
+    counts = source_profiles.word_counts(docs)
+    steps = counts._jdf.queryExecution().optimizedPlan().toString()
+    assert "translate" in steps and "translate" not in steps[steps.index("Generate") :]
+    assert sorted(map(tuple, counts.collect())) == [("_", "_", "x", 1), ("en", "a", "the", 3), ("en", "a", "\u00c4b", 1)]
